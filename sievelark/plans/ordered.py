@@ -60,7 +60,7 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def add_positions(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,
-                  unique: bool = False, slice_rows: int | None = None) -> DataFrame:
+                  unique: bool = False, slice_rows: int = GROUP_ROWS // 2) -> DataFrame:
     """``__position`` (from 0) of each row in its group, by a range shuffle of all rows.
 
     ``unique`` says that keys and order columns identify a row. Otherwise the rows are
@@ -73,7 +73,8 @@ def add_positions(df: DataFrame, keys: list[str], order: list[str], descending:
         stored = write_shared(df, "rows")
         df = stored.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("__place"))
         place = [F.col("__place.file_name"), F.col("__place.row_index")]
-    slices = max(2, ceil(rows / (slice_rows or max(1, GROUP_ROWS // 2))))
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(usual, ceil(rows / slice_rows))
     by = _sort_columns(keys, order, descending) + place
     sliced = (
         df.repartitionByRange(slices, *by)
@@ -122,7 +123,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
         cold = null_safe_join(df, large, keys, "left_anti")
 
     block_rows = max(group_rows, before, after)
-    placed = add_positions(hot, keys, order, descending, total, unique, block_rows)
+    placed = add_positions(hot, keys, order, descending, total, unique)
     inside = F.col(POSITION) % block_rows
     home = F.floor(F.col(POSITION) / block_rows).cast("long")
     copies = [F.col(HOME)]

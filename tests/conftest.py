@@ -20,6 +20,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__checkpoint__dir=shared,
         spark__driver__memory="4g",
+        spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
