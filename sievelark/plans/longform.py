@@ -62,3 +62,15 @@ def all_rows_distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return value_counts(df, columns).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_values")
     )
+
+
+def per_column(df: DataFrame, columns: list[str], metrics: dict) -> DataFrame:
+    """(column, metric...) with one row per column, from a single aggregate over ``df``.
+
+    ``metrics`` maps a result name to a function from Column to aggregate Column.
+    """
+    rows = [
+        F.struct(F.lit(c).alias("column"), *[make(quoted(c)).alias(name) for name, make in metrics.items()])
+        for c in columns
+    ]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
