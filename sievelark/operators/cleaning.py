@@ -285,20 +285,25 @@ def apply_rules(df: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, S
     """
     rules = rules or Rules()
     done = Summary(initial_rows=df.count())
+    shown, order = df.columns, rules.order_by
+    if rules.fill_missing and rules.fill_strategy in ("forward_fill", "backward_fill") and not order:
+        df, order = with_row_index(df, "__index"), ["__index"]  # file order, kept through the next step
     if rules.remove_duplicates:
-        df = write_shared(remove_duplicates(df), "without-copies")
+        single = remove_duplicates(df) if df.columns == shown else remove_duplicates(df, shown, "first", order)
+        df = write_shared(single, "without-copies")
         done.removed_duplicates = done.initial_rows - df.count()
     if rules.fill_missing:
-        done.had_nulls = gap_counts(df)
+        done.had_nulls = gap_counts(df.select(*[quoted(c) for c in shown]))
         gaps = list(done.had_nulls)
         if gaps:
             fillable = [c for c in gaps if rules.fill_strategy not in ("mean", "median")
                         or c in roles.numeric_columns(df)]
             if fillable:
-                df = fill_missing(df, rules.fill_strategy, rules.fill_value, rules.order_by, fillable)
+                df = fill_missing(df, rules.fill_strategy, rules.fill_value, order, fillable)
                 left = gap_counts(df.select(*[quoted(c) for c in fillable]))
                 done.filled = {c: done.had_nulls[c] - left.get(c, 0) for c in fillable
                                if done.had_nulls[c] > left.get(c, 0)}
+    df = df.select(*[quoted(c) for c in shown])
     if rules.normalize_text:
         done.normalized_text_columns = len(roles.lowercase_columns(df))
         df = normalize_text(df)
