@@ -34,20 +34,20 @@ SELECT e.event_type, event_id, 'z_score' AS method, 'value' AS "column", round(v
 FROM events e JOIN (SELECT event_type, {_STATS} FROM events GROUP BY 1) g ON e.event_type = g.event_type
 WHERE abs(value - m) / p > 2.5""")
 _FENCES = "quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3"
-_IQR = """round(value, 4) AS value, 1.5::DOUBLE AS threshold,
-  round(least(abs(value - (q1 - 1.5 * (q3 - q1))), abs(value - (q3 + 1.5 * (q3 - q1)))), 4) AS score,
-  round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound"""
+_IQR = """round(value, 6) AS value, 1.5::DOUBLE AS threshold,
+  round(least(abs(value - (q1 - 1.5 * (q3 - q1))), abs(value - (q3 + 1.5 * (q3 - q1)))), 6) AS score,
+  round(q1 - 1.5 * (q3 - q1), 6) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 6) AS upper_bound"""
 _OUT = "value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"
 _add("a03_iqr", lambda spark, sf: anomaly.iqr(_events(spark, sf), ["event_id"]), f"""
 SELECT event_id, 'iqr' AS method, 'value' AS "column", {_IQR}
-FROM events, (SELECT {_FENCES} FROM events) WHERE {_OUT}""")
+FROM events, (SELECT {_FENCES} FROM events) WHERE {_OUT}""", 6)
 _GROUPED = f"""
 SELECT e.event_type, event_id, 'iqr' AS method, 'value' AS "column", {_IQR}
 FROM events e JOIN (SELECT event_type, {_FENCES} FROM events GROUP BY 1) g ON e.event_type = g.event_type
 WHERE {_OUT}"""
-_add("a03_iqr_by_type", lambda spark, sf: anomaly.iqr(_events(spark, sf), ["event_id"], by=["event_type"]), _GROUPED)
+_add("a03_iqr_by_type", lambda spark, sf: anomaly.iqr(_events(spark, sf), ["event_id"], by=["event_type"]), _GROUPED, 6)
 _add("a03_iqr_by_type_search", lambda spark, sf: anomaly.iqr(
-    _events(spark, sf), ["event_id"], by=["event_type"], limit=500), _GROUPED)
+    _events(spark, sf), ["event_id"], by=["event_type"], limit=500), _GROUPED, 6)
 _add("u01_united_findings", lambda spark, sf: anomaly.unite([
     anomaly.z_scores(_events(spark, sf), ["event_id"], 2.5), anomaly.iqr(_events(spark, sf), ["event_id"])],
     ["event_id"]).select("event_id", "method_count"), f"""
