@@ -13,16 +13,6 @@ def pearson(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def skewness(c: Column) -> Column:
-    """Population skewness, NULL for a constant column."""
-    return F.when(F.stddev_pop(c) > 0, F.skewness(c))
-
-
-def kurtosis(c: Column) -> Column:
-    """Excess population kurtosis, NULL for a constant column."""
-    return F.when(F.stddev_pop(c) > 0, F.kurtosis(c))
-
-
 def percent(part: Column, whole: Column) -> Column:
     return F.try_divide(part * F.lit(100.0), whole)
 

@@ -15,7 +15,8 @@ from sievelark.functions import roles
 from sievelark.operators.explore import as_time
 from sievelark.operators.isolation import CONTAMINATION, isolation_forest
 from sievelark.plans.joins import null_safe_join
-from sievelark.plans.longform import cells, per_column, quoted
+from sievelark.plans.longform import cells, quoted
+from sievelark.plans.moments import moments
 from sievelark.plans.ordered import GROUP_ROWS, ordered
 from sievelark.plans.quantiles import QUANTILE_ROWS, collect_quantiles, quantiles
 
@@ -42,19 +43,14 @@ def z_scores(df: DataFrame, ids: list[str], threshold: float = Z_THRESHOLD, colu
     columns = _features(df, columns, ids, by)
     if by:
         return _z_by_group(df, ids, by, columns, threshold)
-    stats = {
-        r["column"]: r for r in per_column(df, columns, {
-            "mean": lambda c: F.avg(c.cast("double")), "pop": lambda c: F.stddev_pop(c.cast("double")),
-            "std": lambda c: F.stddev_samp(c.cast("double")),
-        }).collect()
-    } if columns else {}
+    stats = moments(df, columns, powers=2) if columns else {}
     found = []
     for c in columns:
         s = stats[c]
-        if not s["pop"]:
+        if not s.varies:
             continue
-        z = F.abs((quoted(c) - s["mean"]) / s["pop"])
-        found.append(F.when(z > threshold, _z_record(c, quoted(c), z, F.lit(s["mean"]), F.lit(s["std"]), threshold)))
+        z = F.abs((quoted(c) - s.mean) / s.std_pop)
+        found.append(F.when(z > threshold, _z_record(c, quoted(c), z, F.lit(s.mean), F.lit(s.std), threshold)))
     if not found:
         return _z_by_group(df, ids, [], [], threshold)
     return _findings(df, ids, found)

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 from sievelark.functions import roles
 from sievelark.functions.predicates import parse_date
-from sievelark.functions.statistics import kurtosis, skewness
 from sievelark.plans.copies import HASHED_ROWS, count_copies
 from sievelark.plans.longform import all_rows_distinct_counts, per_column, quoted
-from sievelark.plans.quantiles import QUANTILE_ROWS, quantiles
+from sievelark.plans.moments import moments
+from sievelark.plans.quantiles import QUANTILE_ROWS, collect_quantiles
 
 
 def missing(c: Column) -> Column:
@@ -69,35 +69,27 @@ def unique_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+SUMMARY_SCHEMA = (
+    "column string, count long, mean double, median double, std double, min double, max double, "
+    "q25 double, q50 double, q75 double, skewness double, kurtosis double"
+)
+
+
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
-                    rows: int | None = None, limit: int = QUANTILE_ROWS) -> DataFrame:
+                    limit: int = QUANTILE_ROWS) -> DataFrame:
     """count, mean, median, std (n-1), min, max, quartiles, skewness and kurtosis per column.
 
-    All moments of all columns come from one aggregate; the quartiles share its pass when
-    the frame is small enough for the built-in percentile.
+    All columns share two passes of plain sums for the moments, and the quantile passes.
     """
     columns = roles.existing(df, columns, roles.numeric_columns(df))
-    metrics = {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max,
-        "skewness": skewness, "kurtosis": kurtosis,
-    }
-    cast = df.select(*[quoted(c).cast("double").alias(c) for c in columns])
-    if not approx and rows is None:
-        rows = df.count()
-    probabilities = [0.25, 0.5, 0.75]
-    if approx:
-        metrics["quantiles"] = lambda c: F.percentile_approx(c, probabilities, 10_000)
-    elif rows <= limit:
-        metrics["quantiles"] = lambda c: F.percentile(c, F.array(*map(F.lit, probabilities)))
-    found = per_column(cast, columns, metrics)
-    if "quantiles" not in metrics:
-        searched = quantiles(cast, columns, probabilities, rows=rows, limit=limit)
-        found = found.join(searched, "column", "left")
-    part = F.col("quantiles")
-    return found.select(
-        "column", "count", "mean", part[1].alias("median"), "std", "min", "max",
-        part[0].alias("q25"), part[1].alias("q50"), part[2].alias("q75"), "skewness", "kurtosis",
-    )
+    found = moments(df, columns) if columns else {}
+    rows = max((m.rows for m in found.values()), default=0)
+    quartiles = collect_quantiles(df, columns, [0.25, 0.5, 0.75], approx=approx, rows=rows, limit=limit) if columns else {}
+    listed = []
+    for c, m in found.items():
+        q25, q50, q75 = quartiles[c]
+        listed.append((c, m.count, m.mean, q50, m.std, m.min, m.max, q25, q50, q75, m.skewness, m.kurtosis))
+    return df.sparkSession.createDataFrame(listed, SUMMARY_SCHEMA)
 
 
 def numeric_stats(df: DataFrame, approx: bool = False) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact quantiles without holding a whole column in one task.
 
-Up to ``QUANTILE_ROWS`` rows the built-in ``percentile`` is used. It keeps every distinct
-value in one task, so beyond that the rank is searched: each pass brackets the wanted rank
-between two values of a mergeable sketch and counts exactly how many rows lie below and
-inside the bracket. The bracket narrows by some hundredfold per pass, until what is inside
-is small enough to be ranked. The counts are exact, so the result is exact too.
+Small frames use the built-in ``percentile``. It keeps every distinct value in one task,
+so beyond ``QUANTILE_ROWS`` the wanted ranks are searched: each pass counts the values of
+the current bracket in bins and goes on with the bin that holds the rank. Bins are counted
+exactly and combined before the shuffle, so a pass moves a few thousand rows per task and
+the result is exact. When few values are left in the bracket they are ranked.
 """
 
 from __future__ import annotations
@@ -17,11 +17,14 @@ from sievelark.plans.longform import cells, quoted
 from sievelark.plans.shared import write_shared
 
 QUANTILE_ROWS = 1_000_000
-"""Most rows per group for the built-in aggregate, and most distinct values ranked at last."""
+"""Most rows per group for the built-in aggregate."""
 
-_GRID = 512
-_ACCURACY = 16_384
-_MOST_PASSES = 8
+RANKED_ROWS = 200_000
+"""Most values left in a bracket when they are ranked one by one."""
+
+_BINS = 4096
+_MOST_PASSES = 12
+_ACCURACY = 10_000
 
 
 def quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
@@ -58,90 +61,94 @@ def _approximate(column: str, probabilities: list[float]) -> Column:
     return F.percentile_approx(quoted(column).cast("double"), probabilities, _ACCURACY)
 
 
-def _sketch(value: Column) -> Column:
-    return F.percentile_approx(value, [i / _GRID for i in range(_GRID + 1)], _ACCURACY)
-
-
 def _searched(long: DataFrame, keys: list[str], probabilities: list[float], limit: int) -> DataFrame:
     """Rank search for all groups and probabilities at once.
 
-    ``targets`` has one row per group and probability: the wanted 0-based ranks ``low`` and
-    ``high``, the current bracket [``least``, ``most``], how many values lie ``below`` it
-    and ``inside`` it, and a sketch of the values inside.
+    ``targets`` has one row per group and wanted 0-based rank: the bracket [``least``,
+    ``most``] that holds it, the number of values ``below`` and ``inside`` the bracket.
     """
-    value = F.col("value")
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("which"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)
-    ])
-    start = (
-        long.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
-             _sketch(value).alias("grid"))
-        .withColumn("target", F.explode(wanted))
-        .select(*keys, "target.which", "n", "least", "most", "grid",
-                (F.col("target.p") * (F.col("n") - 1)).alias("rank"))
-    )
+    few = min(limit, RANKED_ROWS)
+    spread = long.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    position = [F.lit(float(p)) * (F.col("n") - 1) for p in probabilities]
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor(x).cast("long"), F.ceil(x).cast("long")) for x in position])))
     targets = write_shared(
-        start.withColumns({
-            "low": F.floor("rank").cast("long"), "high": F.ceil("rank").cast("long"),
-            "below": F.lit(0).cast("long"), "inside": F.col("n"),
+        spread.withColumn("rank", F.explode(ranks)).withColumns({
+            "below": F.lit(0).cast("long"), "inside": F.col("n"), "curved": F.lit(False),
         }), "quantile-targets")
-
+    is_open = (F.col("inside") > few) & (F.col("least") < F.col("most"))
     for _ in range(_MOST_PASSES):
-        open_targets = targets.filter((F.col("inside") > limit) & (F.col("least") < F.col("most")))
-        if open_targets.isEmpty():
+        if targets.filter(is_open).isEmpty():
             break
-        targets = write_shared(_narrowed(long, targets, keys, limit), "quantile-targets")
-
-    brackets = targets.select(*keys, "which", "least", "most")
-    inside = null_safe_join(long, brackets, keys, "inner").filter(value.between(F.col("least"), F.col("most")))
-    counted = inside.groupBy(*keys, "which", "value").agg(F.count(F.lit(1)).alias("copies"))
-    ranked = null_safe_join(counted, targets.select(*keys, "which", "rank", "low", "high", "below"),
-                            [*keys, "which"], "inner")
-    upto = Window.partitionBy(*keys, "which").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.col("below") + F.sum("copies").over(upto)
-    at = ranked.withColumn("end", end).groupBy(*keys, "which").agg(
-        F.min(F.when(F.col("end") > F.col("low"), value)).alias("x0"),
-        F.min(F.when(F.col("end") > F.col("high"), value)).alias("x1"),
-        F.first(F.col("rank") - F.col("low")).alias("part"),
-    )
-    result = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")
-    return at.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("which", result.alias("q")))).alias("qs")
-    ).select(*keys, F.transform("qs", lambda s: s["q"]).alias("quantiles"))
-
-
-def _narrowed(long: DataFrame, targets: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """One pass: propose a smaller bracket from the sketch and count against it."""
-    share = F.greatest(F.lit(0.0), (F.col("low") - F.col("below")) / F.col("inside"))
-    share_high = F.least(F.lit(1.0), (F.col("high") - F.col("below") + 1) / F.col("inside"))
-    first = F.greatest(F.lit(1), F.floor(share * _GRID).cast("int"))  # 1-based, one step of slack
-    last = F.least(F.lit(_GRID + 1), F.ceil(share_high * _GRID).cast("int") + 2)
-    is_open = (F.col("inside") > limit) & (F.col("least") < F.col("most"))
-    proposed = targets.withColumns({
-        "try_least": F.when(is_open, F.element_at("grid", first)).otherwise(F.col("least")),
-        "try_most": F.when(is_open, F.element_at("grid", last)).otherwise(F.col("most")),
-    })
+        targets = write_shared(_narrowed(long, targets, keys, is_open), "quantile-targets")
+
+    found = _ranked(long, targets, keys)
+    at = F.map_from_entries(F.collect_list(F.struct("rank", "value")))
+    sizes = targets.groupBy(*keys).agg(F.first("n").alias("n"))
+    values = null_safe_join(found.groupBy(*keys).agg(at.alias("at")), sizes, keys, "inner")
+    picked = []
+    for p in probabilities:
+        x = F.lit(float(p)) * (F.col("n") - 1)
+        low, high = F.floor(x).cast("long"), F.ceil(x).cast("long")
+        x0, x1 = F.element_at("at", low), F.element_at("at", high)
+        picked.append(x0 + (x1 - x0) * (x - low))
+    return values.select(*keys, F.array(*picked).alias("quantiles"))
+
+
+def _in_brackets(long: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    return null_safe_join(long, brackets, keys, "inner").filter(
+        F.col("value").between(F.col("least"), F.col("most")))
+
+
+def _narrowed(long: DataFrame, targets: DataFrame, keys: list[str], is_open: Column) -> DataFrame:
+    """One pass: count the open brackets in bins, keep the bin of each rank.
+
+    A bin is known by its own smallest and largest value, and bins grow with the value, so
+    what lies between these two is what was counted. When equal widths did not halve the
+    bracket (a few huge values), the next pass spaces the bins by logarithm.
+    """
     value = F.col("value")
-    within = value.between(F.col("try_least"), F.col("try_most"))
-    brackets = proposed.filter(is_open).select(*keys, "which", "least", "most", "try_least", "try_most")
-    seen = (
-        null_safe_join(long, brackets, keys, "inner")
-        .filter(value.between(F.col("least"), F.col("most")))
-        .groupBy(*keys, "which")
-        .agg(F.count_if(value < F.col("try_least")).alias("more_below"),
-             F.count_if(within).alias("now_inside"),
-             _sketch(F.when(within, value)).alias("now_grid"))
+    bracket = [*keys, "least", "most", "curved"]
+    brackets = targets.filter(is_open).select(*bracket).distinct()
+
+    def curve(c: Column) -> Column:
+        return F.signum(c) * F.log1p(F.abs(c))
+
+    def share(c: Column, low: Column, high: Column) -> Column:
+        return F.coalesce(F.try_divide(c / 4 - low / 4, high / 4 - low / 4), F.lit(0.0))  # no overflow
+
+    least, most = F.col("least"), F.col("most")
+    part = F.when(F.col("curved"), share(curve(value), curve(least), curve(most))).otherwise(
+        share(value, least, most))
+    bins = (
+        _in_brackets(long, brackets, keys)
+        .groupBy(*bracket, F.floor(part * _BINS).cast("int").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("now_inside"), F.min("value").alias("now_least"), F.max("value").alias("now_most"))
     )
-    joined = null_safe_join(proposed, seen, [*keys, "which"], "left")
-    below = F.col("below") + F.col("more_below")
-    # The exact counts decide; a proposal that misses the rank leaves the bracket as it was.
-    holds = F.coalesce((below <= F.col("low")) & (F.col("high") < below + F.col("now_inside")), F.lit(False))
-    return joined.select(
-        *keys, "which", "n", "rank", "low", "high",
-        F.when(holds, F.col("try_least")).otherwise(F.col("least")).alias("least"),
-        F.when(holds, F.col("try_most")).otherwise(F.col("most")).alias("most"),
-        F.when(holds, below).otherwise(F.col("below")).alias("below"),
-        F.when(holds, F.col("now_inside")).otherwise(F.col("inside")).alias("inside"),
-        F.when(holds, F.col("now_grid")).otherwise(F.col("grid")).alias("grid"),
+    upto = Window.partitionBy(*bracket).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = bins.withColumn("end", F.sum("now_inside").over(upto)).drop("bin")
+    wanted = F.col("rank") - F.col("below")
+    joined = null_safe_join(targets.filter(is_open), bins, bracket, "inner").filter(
+        (wanted < F.col("end")) & (wanted >= F.col("end") - F.col("now_inside")))
+    found = joined.select(
+        *keys, "n", F.col("now_least").alias("least"), F.col("now_most").alias("most"), "rank",
+        (F.col("below") + F.col("end") - F.col("now_inside")).alias("below"), F.col("now_inside").alias("inside"),
+        (~F.col("curved") & (F.col("now_inside") * 2 > F.col("inside"))).alias("curved"),
     )
+    return targets.filter(~is_open).unionByName(found)
+
+
+def _ranked(long: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., rank, value): equal values are counted first, then numbered in order."""
+    bracket = [*keys, "least", "most"]
+    known = targets.filter(F.col("least") == F.col("most")).select(*keys, "rank", F.col("least").alias("value"))
+    left = targets.filter(F.col("least") < F.col("most"))
+    counted = _in_brackets(long, left.select(*bracket).distinct(), keys).groupBy(*bracket, "value").agg(
+        F.count(F.lit(1)).alias("copies"))
+    upto = Window.partitionBy(*bracket).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = counted.withColumn("end", F.sum("copies").over(upto))
+    wanted = F.col("rank") - F.col("below")
+    found = null_safe_join(left, numbered, bracket, "inner").filter(
+        (wanted < F.col("end")) & (wanted >= F.col("end") - F.col("copies")))
+    return known.unionByName(found.select(*keys, "rank", "value"))
