@@ -69,7 +69,7 @@ def kpi_record(t: DataFrame) -> DataFrame:
     figure is a small aggregate; they are stacked as (name, value) and turned into one row,
     so nothing is joined without a key. Region and category sales are maps.
     """
-    amount, cost = sales.AMOUNT, sales.COST
+    amount, cost = sales.amount(), sales.cost()
 
     def newest(frame: DataFrame, order: str, value: str, name: str) -> DataFrame:
         return frame.filter(F.col(value).isNotNull()).agg(F.max_by(value, order).cast("double").alias(name))
@@ -83,7 +83,7 @@ def kpi_record(t: DataFrame) -> DataFrame:
             F.sum(F.when(cost.isNotNull(), amount - cost)).alias("total_profit"),
             percent(F.sum(F.when(cost.isNotNull(), amount - cost)),
                     F.sum(F.when(cost.isNotNull(), amount))).alias("profit_margin"),
-            F.try_divide(F.sum(sales.QUANTITY), F.count_distinct("product_id")).alias("inventory_turnover"),
+            F.try_divide(F.sum(sales.quantity()), F.count_distinct("product_id")).alias("inventory_turnover"),
         ),
         newest(sales.customer_retention(t), "current_month", "retention_rate", "customer_retention_rate"),
         sales.repeat_customers(t).agg(F.count(F.lit(1)).cast("double").alias("repeat_customers")),

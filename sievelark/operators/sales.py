@@ -19,11 +19,6 @@ from sievelark.plans.joins import null_safe_join
 from sievelark.plans.ordered import GROUP_ROWS, ordered, running_sum
 from sievelark.plans.quantiles import QUANTILE_ROWS, quantiles
 
-AMOUNT = to_number(F.col("amount"))
-COST = to_number(F.col("cost"))
-QUANTITY = to_number(F.col("quantity"))
-WHEN = F.col("transaction_date")
-
 # Limits of the customer, revenue and frequency classes.
 SEGMENTS = ((5000, "Premium"), (1000, "Gold"), (100, "Silver"))
 LOWEST_SEGMENT = "Bronze"
@@ -36,6 +31,22 @@ NEWEST_ROWS = 1000
 ROLLING_ROWS = 30
 
 
+def amount() -> Column:
+    return to_number(F.col("amount"))
+
+
+def cost() -> Column:
+    return to_number(F.col("cost"))
+
+
+def quantity() -> Column:
+    return to_number(F.col("quantity"))
+
+
+def sold_at() -> Column:
+    return F.col("transaction_date")
+
+
 def month_of(c: Column) -> Column:
     return F.trunc(c, "month")
 
@@ -57,11 +68,11 @@ def _count() -> Column:
 
 
 def total_revenue(t: DataFrame) -> DataFrame:
-    return _known(t, "amount").agg(F.sum(AMOUNT).alias("total_revenue"))
+    return _known(t, "amount").agg(F.sum(amount()).alias("total_revenue"))
 
 
 def average_transaction_value(t: DataFrame) -> DataFrame:
-    return _known(t, "amount").agg(F.avg(AMOUNT).alias("avg_value"))
+    return _known(t, "amount").agg(F.avg(amount()).alias("avg_value"))
 
 
 def transaction_count(t: DataFrame) -> DataFrame:
@@ -81,17 +92,17 @@ def customer_segmentation(t: DataFrame) -> DataFrame:
     return (
         _known(t, "customer_id", "amount")
         .groupBy("customer_id")
-        .agg(_count().alias("transaction_count"), F.sum(AMOUNT).alias("total_spent"),
-             F.avg(AMOUNT).alias("avg_transaction"),
-             calendar_days(F.min(WHEN), F.max(WHEN)).alias("days_as_customer"))
+        .agg(_count().alias("transaction_count"), F.sum(amount()).alias("total_spent"),
+             F.avg(amount()).alias("avg_transaction"),
+             calendar_days(F.min(sold_at()), F.max(sold_at())).alias("days_as_customer"))
         .withColumn("segment", segment.otherwise(LOWEST_SEGMENT))
     )
 
 
 def repeat_customers(t: DataFrame) -> DataFrame:
     """Two steps: first per customer and day, which the distinct day count needs anyway."""
-    per_day = _known(t, "customer_id").groupBy("customer_id", F.to_date(WHEN).alias("day")).agg(
-        _count().alias("n"), F.min(WHEN).alias("first"), F.max(WHEN).alias("last")
+    per_day = _known(t, "customer_id").groupBy("customer_id", F.to_date(sold_at()).alias("day")).agg(
+        _count().alias("n"), F.min(sold_at()).alias("first"), F.max(sold_at()).alias("last")
     )
     return (
         per_day.groupBy("customer_id")
@@ -103,7 +114,7 @@ def repeat_customers(t: DataFrame) -> DataFrame:
 
 def active_months(t: DataFrame) -> DataFrame:
     """Distinct (month, customer): at most one row per customer and month."""
-    return t.select(month_of(WHEN).alias("month"), "customer_id").distinct()
+    return t.select(month_of(sold_at()).alias("month"), "customer_id").distinct()
 
 
 def customer_retention(t: DataFrame) -> DataFrame:
@@ -136,9 +147,9 @@ def customer_lifetime_value(t: DataFrame) -> DataFrame:
     return (
         _known(t, "customer_id", "amount")
         .groupBy("customer_id")
-        .agg(F.sum(AMOUNT).alias("lifetime_value"), _count().alias("total_purchases"),
-             F.avg(AMOUNT).alias("avg_purchase"),
-             calendar_days(F.min(WHEN), F.max(WHEN)).alias("customer_lifetime_days"))
+        .agg(F.sum(amount()).alias("lifetime_value"), _count().alias("total_purchases"),
+             F.avg(amount()).alias("avg_purchase"),
+             calendar_days(F.min(sold_at()), F.max(sold_at())).alias("customer_lifetime_days"))
         .withColumn("daily_value", F.round(F.try_divide("lifetime_value", days), 2))
     )
 
@@ -150,9 +161,9 @@ def sales_by_region(t: DataFrame) -> DataFrame:
     return (
         _known(t, "region", "amount")
         .groupBy("region")
-        .agg(_count().alias("transaction_count"), F.sum(AMOUNT).alias("total_sales"),
-             F.avg(AMOUNT).alias("avg_sale"), F.min(AMOUNT).alias("min_sale"),
-             F.max(AMOUNT).alias("max_sale"))
+        .agg(_count().alias("transaction_count"), F.sum(amount()).alias("total_sales"),
+             F.avg(amount()).alias("avg_sale"), F.min(amount()).alias("min_sale"),
+             F.max(amount()).alias("max_sale"))
         .orderBy(F.desc("total_sales"))
     )
 
@@ -164,8 +175,8 @@ def sales_by_category(t: DataFrame) -> DataFrame:
     sum over that small result.
     """
     groups = t.groupBy("category").agg(
-        F.count("amount").alias("transaction_count"), F.sum(AMOUNT).alias("total_sales"),
-        F.avg(AMOUNT).alias("avg_sale"),
+        F.count("amount").alias("transaction_count"), F.sum(amount()).alias("total_sales"),
+        F.avg(amount()).alias("avg_sale"),
     )
     everything = Window.partitionBy()
     return (
@@ -186,14 +197,14 @@ def _ranked_head(totals: DataFrame, by: str, tie: str, n: int) -> DataFrame:
 
 def top_products(t: DataFrame, n: int = TOP_ROWS) -> DataFrame:
     totals = _known(t, "product_id", "amount").groupBy("product_id", "product_name").agg(
-        _count().alias("times_sold"), F.sum(AMOUNT).alias("total_revenue"), F.avg(AMOUNT).alias("avg_price")
+        _count().alias("times_sold"), F.sum(amount()).alias("total_revenue"), F.avg(amount()).alias("avg_price")
     )
     return _ranked_head(totals, "total_revenue", "product_id", n)
 
 
 def top_customers(t: DataFrame, n: int = TOP_ROWS) -> DataFrame:
     totals = _known(t, "customer_id", "amount").groupBy("customer_id", "customer_name").agg(
-        _count().alias("purchase_count"), F.sum(AMOUNT).alias("total_spent")
+        _count().alias("purchase_count"), F.sum(amount()).alias("total_spent")
     )
     return _ranked_head(totals, "total_spent", "customer_id", n)
 
@@ -204,10 +215,10 @@ def top_customers(t: DataFrame, n: int = TOP_ROWS) -> DataFrame:
 def monthly_sales_trend(t: DataFrame) -> DataFrame:
     return (
         _known(t, "transaction_date", "amount")
-        .groupBy(month_of(WHEN).alias("month"))
-        .agg(_count().alias("transaction_count"), F.sum(AMOUNT).alias("total_sales"),
-             F.avg(AMOUNT).alias("avg_transaction"), F.min(AMOUNT).alias("min_transaction"),
-             F.max(AMOUNT).alias("max_transaction"))
+        .groupBy(month_of(sold_at()).alias("month"))
+        .agg(_count().alias("transaction_count"), F.sum(amount()).alias("total_sales"),
+             F.avg(amount()).alias("avg_transaction"), F.min(amount()).alias("min_transaction"),
+             F.max(amount()).alias("max_transaction"))
         .orderBy(F.desc("month"))
     )
 
@@ -222,8 +233,8 @@ def month_over_month_growth(t: DataFrame) -> DataFrame:
     The months are few, so the previous one comes from ``lag`` and a check that it is
     adjacent instead of a second aggregate and a join.
     """
-    months = _known(t, "transaction_date", "amount").groupBy(month_of(WHEN).alias("month")).agg(
-        F.sum(AMOUNT).alias("total_sales")
+    months = _known(t, "transaction_date", "amount").groupBy(month_of(sold_at()).alias("month")).agg(
+        F.sum(amount()).alias("total_sales")
     )
     order = Window.orderBy("month")
     adjacent = F.add_months(F.lag("month").over(order), 1) == F.col("month")
@@ -236,8 +247,8 @@ def month_over_month_growth(t: DataFrame) -> DataFrame:
 
 def year_over_year_growth(t: DataFrame) -> DataFrame:
     months = _known(t, "transaction_date", "amount").groupBy(
-        F.year(WHEN).cast("long").alias("current_year"), F.month(WHEN).cast("long").alias("month")
-    ).agg(F.sum(AMOUNT).alias("current_year_sales"))
+        F.year(sold_at()).cast("long").alias("current_year"), F.month(sold_at()).cast("long").alias("month")
+    ).agg(F.sum(amount()).alias("current_year_sales"))
     order = Window.partitionBy("month").orderBy("current_year")
     adjacent = F.lag("current_year").over(order) + 1 == F.col("current_year")
     return (
@@ -250,8 +261,8 @@ def year_over_year_growth(t: DataFrame) -> DataFrame:
 def daily_sales_summary(t: DataFrame) -> DataFrame:
     """First per day and customer, so that the distinct count needs no second shuffle."""
     per_customer = _known(t, "transaction_date", "amount").groupBy(
-        F.to_date(WHEN).alias("sale_date"), "customer_id"
-    ).agg(_count().alias("n"), F.count(AMOUNT).alias("numbers"), F.sum(AMOUNT).alias("s"), F.max(AMOUNT).alias("m"))
+        F.to_date(sold_at()).alias("sale_date"), "customer_id"
+    ).agg(_count().alias("n"), F.count(amount()).alias("numbers"), F.sum(amount()).alias("s"), F.max(amount()).alias("m"))
     return (
         per_customer.groupBy("sale_date")
         .agg(F.sum("n").alias("transaction_count"), F.count("customer_id").alias("unique_customers"),
@@ -275,15 +286,15 @@ def running_total_sales(t: DataFrame, limit: int | None = NEWEST_ROWS,
     them is one sum. So neither the running total nor the rolling sum needs all rows in
     order. ``limit=None`` gives all rows over the split window.
     """
-    known = _known(t, "amount").withColumn("value", AMOUNT)
+    known = _known(t, "amount").withColumn("value", amount())
     if limit is None:
         return _running_total_of_all(known, group_rows)
     order = [F.desc(c) for c in _TIES]
     newest = known.orderBy(*order).limit(limit + ROLLING_ROWS)
-    oldest = newest.agg(F.min(WHEN).alias("d"), F.count_if(WHEN.isNull()).alias("nulls")).first()
+    oldest = newest.agg(F.min(sold_at()).alias("d"), F.count_if(sold_at().isNull()).alias("nulls")).first()
     # NULL dates sort first in the running order, so they are part of every later total.
-    recent = F.lit(False) if oldest["d"] is None else WHEN >= F.lit(oldest["d"])
-    day = F.when(recent, WHEN)
+    recent = F.lit(False) if oldest["d"] is None else sold_at() >= F.lit(oldest["d"])
+    day = F.when(recent, sold_at())
     per_date = known.groupBy(day.alias("day")).agg(F.sum("value").alias("s"))
     upto = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # at most limit + 31 rows
     totals = per_date.select("day", F.sum("s").over(upto).alias("running_total"))
@@ -299,7 +310,7 @@ def running_total_sales(t: DataFrame, limit: int | None = NEWEST_ROWS,
 
 
 def _running_total_of_all(known: DataFrame, group_rows: int) -> DataFrame:
-    per_date = known.groupBy(WHEN.alias("day")).agg(F.sum("value").alias("s"))
+    per_date = known.groupBy(sold_at().alias("day")).agg(F.sum("value").alias("s"))
     totals = running_sum(per_date, "s", "running_total", [], ["day"], unique=True, group_rows=group_rows)
     rows = ordered(known, [], _TIES, before=ROLLING_ROWS, group_rows=group_rows)
     rolling = rows.finish(rows.df.withColumn(
@@ -317,7 +328,7 @@ def sales_rank_by_customer(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFr
     gets positions from a range shuffle; rank and quartile follow from the position, the
     number of rows and the best position among equal amounts.
     """
-    known = _known(t, "customer_id", "amount").select(*_TIES, AMOUNT.alias("value"))
+    known = _known(t, "customer_id", "amount").select(*_TIES, amount().alias("value"))
     by_date = ["transaction_date", "value", "product_id", "quantity", "cost"]
     by_value = ["value", "transaction_date", "product_id", "quantity", "cost"]
     shown = ["customer_id", "transaction_date", "amount", "purchase_sequence", "amount_rank", "quartile"]
@@ -351,7 +362,7 @@ def _ntile(n: int, place: Column, size: Column) -> Column:
 
 def percentile_sales(t: DataFrame, approx: bool = False, limit: int = QUANTILE_ROWS) -> DataFrame:
     names = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95}
-    known = _known(t, "category", "amount").select("category", AMOUNT.alias("value"))
+    known = _known(t, "category", "amount").select("category", amount().alias("value"))
     found = quantiles(known, ["value"], list(names.values()), ["category"], approx, limit)
     return found.select("category", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
 
@@ -369,8 +380,8 @@ def lag_lead_analysis(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         rows.finish(seen)
         .filter(F.col("previous_amount").isNotNull() | F.col("next_amount").isNotNull())
         .select("customer_id", "transaction_date", "amount", "previous_amount", "next_amount",
-                calendar_days(WHEN, F.col("next_date")).alias("days_to_next_purchase"),
-                (AMOUNT - to_number(F.col("previous_amount"))).alias("change_from_previous"))
+                calendar_days(sold_at(), F.col("next_date")).alias("days_to_next_purchase"),
+                (amount() - to_number(F.col("previous_amount"))).alias("change_from_previous"))
     )
 
 
@@ -378,15 +389,15 @@ def lag_lead_analysis(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def revenue_distribution(t: DataFrame) -> DataFrame:
-    bucket = F.when(AMOUNT < REVENUE_BUCKETS[0][0], REVENUE_BUCKETS[0][1])
+    bucket = F.when(amount() < REVENUE_BUCKETS[0][0], REVENUE_BUCKETS[0][1])
     for below, name in REVENUE_BUCKETS[1:]:
-        bucket = bucket.when(AMOUNT < below, name)
+        bucket = bucket.when(amount() < below, name)
     return (
         _known(t, "amount")
         .groupBy(bucket.otherwise(TOP_BUCKET).alias("revenue_bucket"))
         .agg(_count().alias("transaction_count"), F.count_distinct("customer_id").alias("unique_customers"),
-             F.sum(AMOUNT).alias("total_revenue"), F.avg(AMOUNT).alias("avg_revenue"),
-             F.min(AMOUNT).alias("least"))
+             F.sum(amount()).alias("total_revenue"), F.avg(amount()).alias("avg_revenue"),
+             F.min(amount()).alias("least"))
         .orderBy("least")
         .drop("least")
     )
@@ -398,7 +409,7 @@ def transaction_frequency(t: DataFrame) -> DataFrame:
     for most, name in FREQUENCIES[1:]:
         label = label.when(n <= most, name)
     customers = _known(t, "customer_id").groupBy("customer_id").agg(
-        _count().alias("n"), calendar_days(F.min(WHEN), F.max(WHEN)).alias("days_active")
+        _count().alias("n"), calendar_days(F.min(sold_at()), F.max(sold_at())).alias("days_active")
     )
     return customers.groupBy(label.otherwise(TOP_FREQUENCY).alias("frequency_category")).agg(
         _count().alias("customer_count"), F.round(F.avg("n"), 2).alias("avg_transactions"),
@@ -440,8 +451,8 @@ def customer_churn_analysis(t: DataFrame) -> DataFrame:
 
 def _profit(known: DataFrame, by: str) -> DataFrame:
     return known.groupBy(by).agg(
-        _count().alias("transaction_count"), F.sum(AMOUNT).alias("revenue"), F.sum(COST).alias("cost"),
-        F.avg(AMOUNT - COST).alias("avg_profit_per_transaction"),
+        _count().alias("transaction_count"), F.sum(amount()).alias("revenue"), F.sum(cost()).alias("cost"),
+        F.avg(amount() - cost()).alias("avg_profit_per_transaction"),
     ).withColumn("profit", F.col("revenue") - F.col("cost")).withColumn(
         "profit_margin_pct", F.round(percent(F.col("profit"), F.col("revenue")), 2)
     )
@@ -460,18 +471,18 @@ def profit_by_region(t: DataFrame) -> DataFrame:
 
 
 def inventory_turnover(t: DataFrame) -> DataFrame:
-    sold = F.sum(QUANTITY)
+    sold = F.sum(quantity())
     return _known(t, "product_id", "quantity", "amount").groupBy("product_id", "product_name").agg(
         sold.alias("total_quantity_sold"), _count().alias("times_sold"),
-        F.avg(QUANTITY).alias("avg_quantity_per_sale"),
-        F.try_divide(F.sum(AMOUNT), sold).alias("avg_price_per_unit"),
+        F.avg(quantity()).alias("avg_quantity_per_sale"),
+        F.try_divide(F.sum(amount()), sold).alias("avg_price_per_unit"),
     )
 
 
 def customer_product_affinity(t: DataFrame, n: int = 3) -> DataFrame:
     """Most bought categories per customer; ties by category."""
     counted = _known(t, "customer_id", "category").groupBy("customer_id", "category").agg(
-        _count().alias("purchase_count"), F.sum(AMOUNT).alias("total_spent")
+        _count().alias("purchase_count"), F.sum(amount()).alias("total_spent")
     )
     order = Window.partitionBy("customer_id").orderBy(F.desc("purchase_count"), "category")
     return counted.withColumn("category_rank", F.row_number().over(order).cast("long")).filter(
@@ -485,10 +496,10 @@ def customer_product_affinity(t: DataFrame, n: int = 3) -> DataFrame:
 def create_view_customer_summary(t: DataFrame) -> DataFrame:
     """Registers ``v_customer_summary`` and returns it."""
     summary = _known(t, "customer_id", "amount").groupBy("customer_id").agg(
-        _count().alias("total_purchases"), F.sum(AMOUNT).alias("total_spent"),
-        F.avg(AMOUNT).alias("avg_purchase"), F.min(WHEN).alias("first_purchase"),
-        F.max(WHEN).alias("last_purchase"),
-        calendar_days(F.min(WHEN), F.max(WHEN)).alias("customer_lifetime_days"),
+        _count().alias("total_purchases"), F.sum(amount()).alias("total_spent"),
+        F.avg(amount()).alias("avg_purchase"), F.min(sold_at()).alias("first_purchase"),
+        F.max(sold_at()).alias("last_purchase"),
+        calendar_days(F.min(sold_at()), F.max(sold_at())).alias("customer_lifetime_days"),
     )
     summary.createOrReplaceTempView("v_customer_summary")
     return t.sparkSession.table("v_customer_summary")
@@ -496,10 +507,10 @@ def create_view_customer_summary(t: DataFrame) -> DataFrame:
 
 def create_view_monthly_kpis(t: DataFrame) -> DataFrame:
     """Registers ``v_monthly_kpis`` and returns it."""
-    kpis = _known(t, "transaction_date", "amount").groupBy(month_of(WHEN).alias("month")).agg(
+    kpis = _known(t, "transaction_date", "amount").groupBy(month_of(sold_at()).alias("month")).agg(
         _count().alias("transaction_count"), F.count_distinct("customer_id").alias("unique_customers"),
-        F.sum(AMOUNT).alias("total_revenue"), F.avg(AMOUNT).alias("avg_transaction"),
-        F.max(AMOUNT).alias("max_transaction"),
+        F.sum(amount()).alias("total_revenue"), F.avg(amount()).alias("avg_transaction"),
+        F.max(amount()).alias("max_transaction"),
     )
     kpis.createOrReplaceTempView("v_monthly_kpis")
     return t.sparkSession.table("v_monthly_kpis")
