@@ -99,13 +99,20 @@ def read_json_values(spark: SparkSession, path: str, columns: list[str]) -> Data
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error",
                   partition_by: list[str] | None = None) -> str:
-    """Write ``df`` in parallel, one file per task; JSON goes out as one record per line."""
+    """Write ``df`` in parallel, one file per task; JSON goes out as one record per line.
+
+    Text formats have no form for NaN: it is written as a missing value.
+    """
     kind = format_of(path, fmt)
+    if kind in ("csv", "json"):
+        df = nan_to_null(df)
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
         writer.options(header=True, quote='"', escape='"').csv(path)
+    elif kind == "json":
+        writer.option("ignoreNullFields", False).json(path)
     else:
         getattr(writer, kind)(path)
     return path
