@@ -16,6 +16,7 @@ URL_PATTERN = (
     r"(?::\d+)?(?:/?|[/?]\S+)\z"
 )
 NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
+DATE_START = r"^[0-9]{1,4}[-/][0-9]"
 # Shape of a text and the date formats to try on it, in this order.
 DATE_FORMATS = (
     (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z", ("yyyy-M-d",)),
@@ -58,7 +59,7 @@ def normalize_phone(c: Column, region: str = "US") -> Column:
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """Timestamp of the first format that fits, else NULL.
 
-    The shape test comes first, so the parser only sees texts that can fit and does not
+    Most other texts fail the test of the first characters. The shape test comes first, so the parser only sees texts that can fit and does not
     raise and catch an error per row and format.
     """
     if formats is not None:
@@ -69,7 +70,7 @@ def parse_date(c: Column, formats: list[str] | None = None) -> Column:
         for shape, fmts in DATE_FORMATS
         for fmt in fmts
     ]
-    return F.coalesce(*tries)
+    return F.when(c.rlike(DATE_START), F.coalesce(*tries))
 
 
 def is_date(c: Column, formats: list[str] | None = None) -> Column:

@@ -26,7 +26,9 @@ TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.05
 _DRAWS = 1 << 30
 _SPARE = 3  # candidates drawn per wanted row, so that each tree gets its full sample
 _EULER = 0.5772156649015329
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
+_NODES = "tree int, node int, feature int, threshold double, length double"
+SPREAD_ROWS = 20_000_000
+"""Below this many rows a frame may lie in few partitions and is spread for scoring."""
 
 
 def average_path(n: np.ndarray | float) -> np.ndarray:
@@ -61,54 +63,54 @@ def draw_samples(df: DataFrame, ids: list[str], trees: int, sample: int, seed: i
 
 
 def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes of one tree: (node, feature, threshold, left, right, path length); feature -1 is a leaf."""
+    """Nodes of one tree as a full binary tree: node ``i`` has the children 2i+1 and 2i+2.
+
+    Each tuple is (node, feature, threshold, path length). A leaf above the last level sends
+    all rows to the left; its path length is kept at the bottom of that way.
+    """
     nodes: list[tuple] = []
     waiting = [(0, np.arange(len(values)), 0)]
-    made = 1
     while waiting:
         node, rows, depth = waiting.pop()
         part = values[rows]
-        low, high = (part.min(axis=0), part.max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
-        splittable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or not len(splittable):
-            nodes.append((node, -1, 0.0, -1, -1, depth + float(average_path(len(rows)))))
+        splittable = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(rows) > 1 else ()
+        if depth >= limit or not len(splittable):
+            length = depth + float(average_path(len(rows)))
+            for _ in range(depth, limit):
+                nodes.append((node, 0, np.inf, 0.0))
+                node = 2 * node + 1
+            nodes.append((node, 0, np.inf, length))
             continue
         feature = int(rng.choice(splittable))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        goes_left = part[:, feature] <= cut
-        nodes.append((node, feature, cut, made, made + 1, 0.0))
-        waiting += [(made, rows[goes_left], depth + 1), (made + 1, rows[~goes_left], depth + 1)]
-        made += 2
+        cut = float(rng.uniform(part[:, feature].min(), part[:, feature].max()))
+        goes_right = part[:, feature] > cut
+        nodes.append((node, feature, cut, 0.0))
+        waiting += [(2 * node + 1, rows[~goes_right], depth + 1), (2 * node + 2, rows[goes_right], depth + 1)]
     return nodes
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Node arrays, one row per tree, padded to the largest tree."""
+    """Node arrays, one row per tree; ``length`` holds the path length of the last level."""
 
     columns: list[str]
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
     length: np.ndarray
     depth: int
     sample: int
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         """Negative anomaly score per row: the lower, the more isolated."""
+        flat = np.ascontiguousarray(values).ravel()
+        start = np.arange(len(values), dtype=np.int64) * values.shape[1]
         total = np.zeros(len(values))
-        rows = np.arange(len(values))
-        for t in range(len(self.feature)):
+        for feature, threshold, length in zip(self.feature, self.threshold, self.length):
             at = np.zeros(len(values), dtype=np.int64)
             for _ in range(self.depth):
-                feature = self.feature[t][at]
-                inner = feature >= 0
-                if not inner.any():
-                    break
-                goes_left = values[rows, np.maximum(feature, 0)] <= self.threshold[t][at]
-                at = np.where(inner, np.where(goes_left, self.left[t][at], self.right[t][at]), at)
-            total += self.length[t][at]
+                right = flat.take(start + feature.take(at)) > threshold.take(at)
+                at = 2 * at + 1 + right
+            total += length.take(at)
         usual = max(float(average_path(self.sample)), 1e-12)
         return -np.power(2.0, -(total / len(self.feature)) / usual)
 
@@ -126,23 +128,18 @@ def fit(df: DataFrame, ids: list[str], columns: list[str], trees: int = TREES, s
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["draw", *features])
         tree = int(group["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        nodes = _grow(group[features].to_numpy(dtype=float), limit, rng)
-        listed = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "length"])
-        return listed.assign(tree=tree)[["tree", "node", "feature", "threshold", "left", "right", "length"]]
+        nodes = _grow(group[features].to_numpy(dtype=float), limit, np.random.default_rng([seed, tree]))
+        listed = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "length"])
+        return listed.assign(tree=tree)[["tree", "node", "feature", "threshold", "length"]]
 
     grown = drawn.select("tree", "draw", *features).groupBy("tree").applyInPandas(grow, _NODES).toPandas()
-    size = int(grown["node"].max()) + 1
     numbers = sorted(grown["tree"].unique())
-    shape = (len(numbers), size)
-    arrays = {
-        "feature": np.full(shape, -1), "threshold": np.zeros(shape), "left": np.zeros(shape, dtype=np.int64),
-        "right": np.zeros(shape, dtype=np.int64), "length": np.zeros(shape),
-    }
-    row = grown["tree"].map({t: i for i, t in enumerate(numbers)}).to_numpy()
-    for name, array in arrays.items():
-        array[row, grown["node"].to_numpy()] = grown[name].to_numpy()
-    return Forest(list(columns), **arrays, depth=limit, sample=sample)
+    shape = (len(numbers), 2 ** (limit + 1) - 1)
+    feature, threshold, length = np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.zeros(shape)
+    row, node = grown["tree"].map({t: i for i, t in enumerate(numbers)}).to_numpy(), grown["node"].to_numpy()
+    feature[row, node], threshold[row, node], length[row, node] = (
+        grown[name].to_numpy() for name in ("feature", "threshold", "length"))
+    return Forest(list(columns), feature, threshold, length, limit, sample)
 
 
 def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:
@@ -175,6 +172,8 @@ def isolation_forest(df: DataFrame, ids: list[str] | None = None, columns: list[
     if rows == 0:
         return known.withColumn("anomaly_score", F.lit(None).cast("double"))
     forest = fit(known, ids, columns, trees, sample, seed, rows)
+    if rows <= SPREAD_ROWS:
+        known = known.repartition(df.sparkSession.sparkContext.defaultParallelism, *[quoted(c) for c in ids])
     scored = write_shared(score(known, forest), "isolation-scores")
     cut = collect_quantiles(scored, ["anomaly_score"], [contamination], rows=rows, limit=limit)["anomaly_score"][0]
     return scored.filter(F.col("anomaly_score") < cut)

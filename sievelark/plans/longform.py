@@ -40,11 +40,23 @@ def cells(df: DataFrame, columns: list[str], by: list[str] | None = None,
     return long.withColumnsRenamed({f"__by_{b}": b for b in by})
 
 
+def _numbered_cells(df: DataFrame, columns: list[str], shown: list[Column]) -> DataFrame:
+    """(place, value) with NULL values dropped; the place in ``columns`` is a small key."""
+    pairs = [x for i, c in enumerate(shown) for x in (F.lit(i), c)]
+    return df.select(F.stack(F.lit(len(columns)), *pairs).alias("place", "value")).filter(
+        F.col("value").isNotNull())
+
+
+def _named(place: str, columns: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col(place) + 1).alias("column")
+
+
 def value_counts(df: DataFrame, columns: list[str], as_type: str | None = None) -> DataFrame:
     """(column, value, count): one scan and one shuffle for all columns."""
-    return cells(df, columns, as_type=as_type).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    shown = [quoted(c).cast(as_type) if as_type else as_text(df, c) for c in columns]
+    counted = _numbered_cells(df, columns, shown).groupBy("place", "value").agg(
+        F.count(F.lit(1)).alias("count"))
+    return counted.select(_named("place", columns), "value", "count")
 
 
 def top_values(counts: DataFrame, n: int) -> DataFrame:
@@ -58,10 +70,27 @@ def top_values(counts: DataFrame, n: int) -> DataFrame:
 
 
 def all_rows_distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, unique_values) without NULL, in two aggregations."""
-    return value_counts(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("unique_values")
-    )
+    """(column, unique_values) without NULL.
+
+    Columns of one type are counted together and as they are, so numbers are not turned
+    into text. Each column is read once; the first aggregation combines equal values
+    before the shuffle.
+    """
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        plain = not isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType))
+        by_type.setdefault(kind.simpleString() if plain else "text", []).append(c)
+    counted = None
+    for kind, group in by_type.items():
+        shown = [as_text(df, c) if kind == "text" else quoted(c) for c in group]
+        one = (
+            _numbered_cells(df, group, shown).groupBy("place", "value").agg(F.lit(1).alias("seen"))
+            .groupBy("place").agg(F.count("seen").alias("unique_values"))
+            .select(_named("place", group), "unique_values")
+        )
+        counted = one if counted is None else counted.unionAll(one)
+    return counted
 
 
 def per_column(df: DataFrame, columns: list[str], metrics: dict) -> DataFrame:
