@@ -7,6 +7,7 @@ returned; ``top`` cuts to the most extreme ones with a top-k sort.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,11 @@ def _features(df: DataFrame, columns: list[str] | None, ids: list[str], by: list
     return [c for c in roles.existing(df, columns, roles.numeric_columns(df)) if c not in ids and c not in by]
 
 
-def _findings(df: DataFrame, keys: list[str], found: list[Column]) -> DataFrame:
+def _findings(df: DataFrame, keys: list[str], found: list[Column], outside: list[Column] | None = None) -> DataFrame:
+    """``outside`` holds plain comparisons that any finding satisfies; they reach the scan."""
     present = F.filter(F.array(*found), lambda v: v.isNotNull())
+    if outside:
+        df = df.filter(reduce(or_, outside))
     return df.select(*[quoted(k) for k in keys], F.inline(present))
 
 
@@ -44,16 +48,19 @@ def z_scores(df: DataFrame, ids: list[str], threshold: float = Z_THRESHOLD, colu
     if by:
         return _z_by_group(df, ids, by, columns, threshold)
     stats = moments(df, columns, powers=2) if columns else {}
-    found = []
+    found, outside = [], []
     for c in columns:
         s = stats[c]
         if not s.varies:
             continue
         z = F.abs((quoted(c) - s.mean) / s.std_pop)
+        reach = threshold * s.std_pop
+        slack = 1e-9 * (abs(s.mean) + reach)  # the z-score itself decides at the limit
+        outside.append((quoted(c) < s.mean - reach + slack) | (quoted(c) > s.mean + reach - slack))
         found.append(F.when(z > threshold, _z_record(c, quoted(c), z, F.lit(s.mean), F.lit(s.std), threshold)))
     if not found:
         return _z_by_group(df, ids, [], [], threshold)
-    return _findings(df, ids, found)
+    return _findings(df, ids, found, outside)
 
 
 def _z_record(name: str, value: Column, z: Column, mean: Column, std: Column, threshold: float) -> Column:
@@ -87,15 +94,16 @@ def iqr(df: DataFrame, ids: list[str], multiplier: float = IQR_MULTIPLIER, colum
     columns = _features(df, columns, ids, by)
     if by:
         return _iqr_by_group(df, ids, by, columns, multiplier, limit)
-    found = []
+    found, limits = [], []
     for c, (q1, q3) in collect_quantiles(df, columns, [0.25, 0.75], limit=limit).items():
         if q1 is not None:
             low, high = q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)
             outside = (quoted(c) < low) | (quoted(c) > high)
+            limits.append(outside)
             found.append(F.when(outside, _iqr_record(F.lit(c), quoted(c), F.lit(low), F.lit(high), multiplier)))
     if not found:
         found = [F.when(F.lit(False), _iqr_record(F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0.0), multiplier))]
-    return _findings(df, ids, found)
+    return _findings(df, ids, found, limits)
 
 
 def _iqr_record(name: Column, value: Column, low: Column, high: Column, multiplier: float) -> Column:
