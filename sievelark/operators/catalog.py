@@ -21,6 +21,23 @@ class Report:
     about: str
     build: Callable[[DataFrame], DataFrame]
 
+    def sorted(self, result: DataFrame) -> DataFrame:
+        """In the order the report is read in; small reports come sorted already."""
+        order = _ORDER.get(self.name, "").split()
+        return result.orderBy(*[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order]) if order else result
+
+
+# Order of the reports with a row per customer, product or sale; a minus is descending.
+_ORDER = {
+    "customer_segmentation": "-total_spent",
+    "repeat_customers": "-purchase_count",
+    "customer_lifetime_value": "-lifetime_value",
+    "sales_rank_by_customer": "customer_id -transaction_date",
+    "lag_lead_analysis": "customer_id transaction_date",
+    "inventory_turnover": "-total_quantity_sold",
+    "customer_product_affinity": "customer_id category_rank",
+}
+
 
 def _reports() -> dict[str, Report]:
     listed = [
@@ -78,11 +95,18 @@ def search(text: str) -> dict[str, str]:
     }
 
 
-def run(spark: SparkSession, name: str, limit: int | None = None, table: str = "transactions") -> DataFrame:
-    """A report over the view ``table``; ``limit`` cuts what is shown, not what is read."""
+def run(spark: SparkSession, name: str, limit: int | None = None, table: str = "transactions",
+        in_order: bool = True) -> DataFrame:
+    """A report over the view ``table``; ``limit`` cuts what is shown, not what is read.
+
+    With a limit the order is a top-k sort. Without one, ``in_order=False`` spares the total
+    sort of the reports that have a row per customer or sale.
+    """
     if name not in REPORTS:
         raise KeyError(f"no report named {name!r}")
     result = REPORTS[name].build(spark.table(table))
+    if in_order:
+        result = REPORTS[name].sorted(result)
     return result if limit is None else result.limit(limit)
 
 

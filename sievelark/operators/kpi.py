@@ -13,6 +13,7 @@ from sievelark.functions.statistics import percent
 from sievelark.operators import sales
 from sievelark.operators.explore import as_time
 from sievelark.plans.longform import quoted
+from sievelark.plans.shared import write_shared
 
 
 def kpis(df: DataFrame, date: str | None = None, amount: str | None = None,
@@ -62,13 +63,20 @@ def kpis(df: DataFrame, date: str | None = None, amount: str | None = None,
     return months.agg(*figures)
 
 
-def kpi_record(t: DataFrame) -> DataFrame:
+_READ = ["customer_id", "product_id", "category", "region", "amount", "cost", "quantity", "transaction_date"]
+
+
+def kpi_record(t: DataFrame, store: bool = False) -> DataFrame:
     """One row with the figures of the KPI table, over a ``transactions`` frame.
 
     Retention, new customers and growth are those of the newest month that has them. Each
     figure is a small aggregate; they are stacked as (name, value) and turned into one row,
-    so nothing is joined without a key. Region and category sales are maps.
+    so nothing is joined without a key. Region and category sales are maps. ``store=True``
+    writes the columns it reads to the shared folder first: worth it when ``t`` is a join,
+    because the figures scan their input some nine times.
     """
+    if store:
+        t = write_shared(t.select(*_READ), "kpi-input")
     amount, cost = sales.amount(), sales.cost()
 
     def newest(frame: DataFrame, order: str, value: str, name: str) -> DataFrame:

@@ -25,6 +25,7 @@ GROUP_ROWS = 4_000_000
 POSITION = "__position"
 BLOCK = "__block"
 HOME = "__home"
+PLACE = "__place"
 _SERIAL = "__serial"
 _SLICE = "__slice"
 _SLICE_BITS = 33  # monotonically_increasing_id keeps the partition number above bit 33
@@ -59,32 +60,40 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def add_positions(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,
-                  unique: bool = False, slice_rows: int = GROUP_ROWS // 2) -> DataFrame:
-    """``__position`` (from 0) of each row in its group, by a range shuffle of all rows.
+def located(df: DataFrame) -> DataFrame:
+    """``df`` written once, each row with its place: file and position in the file.
 
-    ``unique`` says that keys and order columns identify a row. Otherwise the rows are
-    written first and their place in the file is the last order column: it splits equal
-    rows over slices too and stays the same when a task runs again.
+    The place tells equal rows apart and stays the same when a task runs again.
     """
-    if unique:
-        place: list[Column] = []
-    else:
-        stored = write_shared(df, "rows")
-        df = stored.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias("__place"))
-        place = [F.col("__place.file_name"), F.col("__place.row_index")]
+    stored = write_shared(df, "rows")
+    return stored.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias(PLACE))
+
+
+def slices_in_order(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,
+                    slice_rows: int) -> DataFrame:
+    """``df`` written in slices that follow one another, with slice number and serial number.
+
+    Keys, order columns and, if the frame has it, the place of the row decide the order, so
+    a group of equal rows is spread over slices like any other.
+    """
+    place = [F.col(f"{PLACE}.file_name"), F.col(f"{PLACE}.row_index")] if PLACE in df.columns else []
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(usual, ceil(rows / slice_rows))
     by = _sort_columns(keys, order, descending) + place
     sliced = (
-        df.repartitionByRange(slices, *by)
+        df.repartitionByRange(max(usual, ceil(rows / slice_rows)), *by)
         .sortWithinPartitions(*by)
         .withColumn(_SERIAL, F.monotonically_increasing_id())
-        .drop("__place")
+        .drop(PLACE)
     )
-    sliced = write_shared(sliced, "slices").withColumn(
+    return write_shared(sliced, "slices").withColumn(
         _SLICE, F.shiftright(F.col(_SERIAL), _SLICE_BITS).cast("int")
     )
+
+
+def add_positions(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,
+                  slice_rows: int = GROUP_ROWS // 2) -> DataFrame:
+    """``__position`` (from 0) of each row in its group, by a range shuffle of all rows."""
+    sliced = slices_in_order(df, keys, order, descending, rows, slice_rows)
     parts = sliced.groupBy(*keys, _SLICE).agg(
         F.count(F.lit(1)).alias("__rows"), F.min(_SERIAL).alias("__first")
     )
@@ -103,7 +112,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
 
     All order columns run in one direction. They should decide the order of any two rows
     that differ in the columns the result shows. The size check is one aggregate over the
-    key columns; only keys above ``group_rows`` take the range shuffle.
+    key columns; only keys above ``group_rows`` take the range shuffle. ``unique`` says that
+    the order columns of a window without keys tell all rows apart.
     """
     keys, order = list(keys), list(order)
     plain = Window.partitionBy(*keys).orderBy(*_sort_columns([], order, descending))
@@ -111,7 +121,7 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
         total = df.count()
         if total <= group_rows:
             return Ordered(df, plain, keys, False)
-        hot, cold = df, None
+        hot, cold = df if unique else located(df), None
     else:
         large = group_sizes(df, keys).filter(F.col("rows") > group_rows)
         found = large.agg(F.sum("rows")).first()[0]
@@ -119,11 +129,12 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
             return Ordered(df, plain, keys, False)
         total = found
         large = write_shared(large.select(*keys), "large-groups")
-        hot = null_safe_join(df, large, keys, "left_semi")
-        cold = null_safe_join(df, large, keys, "left_anti")
+        stored = located(df)  # read twice from here on, instead of computing df twice
+        hot = null_safe_join(stored, large, keys, "left_semi")
+        cold = null_safe_join(stored, large, keys, "left_anti").drop(PLACE)
 
     block_rows = max(group_rows, before, after)
-    placed = add_positions(hot, keys, order, descending, total, unique)
+    placed = add_positions(hot, keys, order, descending, total)
     inside = F.col(POSITION) % block_rows
     home = F.floor(F.col(POSITION) / block_rows).cast("long")
     copies = [F.col(HOME)]

@@ -182,7 +182,7 @@ SELECT count(*) AS total_rows, CAST(10 AS BIGINT) AS total_columns, round(sum(am
 
 
 def _record(spark, sf):
-    row = kpi.kpi_record(transactions(spark, sf))
+    row = kpi.kpi_record(transactions(spark, sf), store=True)
     return rounded(row.withColumns({
         "regions": F.size("sales_by_region").cast("long"),
         "categories": F.size("sales_by_category").cast("long"),

@@ -1,11 +1,13 @@
 """The ways for large groups must give what the plain window or aggregate gives."""
 
+import math
 import random
 
-from pyspark.sql import Window
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievelark.plans.ordered import add_positions, carry_last, ordered, running_sum
+from sievelark.plans.ordered import add_positions, carry_last, located, ordered, running_sum, slices_in_order
 from sievelark.plans.quantiles import quantiles
 
 
@@ -29,7 +31,7 @@ def bag(df):
 
 def test_positions_are_contiguous_and_ordered(spark):
     df = skewed(spark)
-    placed = add_positions(df, ["k"], ["t", "v"], False, df.count(), slice_rows=100)
+    placed = add_positions(located(df), ["k"], ["t", "v"], False, df.count(), slice_rows=100)
     rows = placed.orderBy("k", "__position").collect()
     assert len(rows) == df.count()
     seen = {}
@@ -104,3 +106,26 @@ def test_quantile_search_is_exact(spark):
         for key, values in built_in.items():
             for a, b in zip(values, searched[key]):
                 assert abs(a - b) < 1e-9, (key, values, searched[key])
+
+
+def test_equal_rows_are_spread_over_slices(spark):
+    """A third of all rows are copies of one row; no slice may hold them all."""
+    df = skewed(spark).filter("k = 'hot' and t = 5 and v = 2 and gap = 1")
+    rows = df.count()
+    sliced = slices_in_order(located(df), ["k"], ["t", "v", "gap"], False, rows, 50)
+    assert sliced.groupBy("__slice").count().agg(F.max("count")).first()[0] < rows / 3
+    placed = add_positions(located(df), ["k"], ["t", "v", "gap"], False, rows, slice_rows=50)
+    assert sorted(r["__position"] for r in placed.collect()) == list(range(rows))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=60),
+       st.lists(st.floats(0, 1), min_size=1, max_size=3))
+def test_quantile_search_on_any_values(spark, values, probabilities):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = quantiles(df, ["x"], probabilities, limit=2).first()["quantiles"]
+    ordered_values = sorted(values)
+    for p, q in zip(probabilities, got):
+        at = p * (len(values) - 1)
+        low, high = ordered_values[math.floor(at)], ordered_values[math.ceil(at)]
+        assert low <= q <= high or math.isclose(q, low + (high - low) * (at - math.floor(at)), rel_tol=1e-9)

@@ -42,6 +42,15 @@ def test_catalogue(spark, t):
         catalog.run(spark, "no such report")
 
 
+def test_reports_come_in_order(spark, t):
+    t.createOrReplaceTempView("transactions")
+    spent = [r.total_spent for r in catalog.run(spark, "customer_segmentation").collect()]
+    assert spent == sorted(spent, reverse=True)
+    assert [r.total_spent for r in catalog.run(spark, "customer_segmentation", limit=2).collect()] == spent[:2]
+    keys = [(r.customer_id, r.category_rank) for r in catalog.run(spark, "customer_product_affinity").collect()]
+    assert keys == sorted(keys)
+
+
 def test_read_only_sql(spark, t):
     t.createOrReplaceTempView("transactions")
     query = "WITH x AS (SELECT region AS created_at FROM transactions) SELECT created_at, count(*) n FROM x GROUP BY 1 ORDER BY n;"
