@@ -85,15 +85,22 @@ def _filled_numbers(df: DataFrame, values: dict[str, float | None]) -> DataFrame
 
 
 def fill_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Only columns that have gaps change; one aggregate finds the gaps and the means."""
     columns = roles.existing(df, columns, roles.numeric_columns(df))
     if not columns:
         return df
-    means = df.agg(*[F.avg(quoted(c).cast("double")).alias(c) for c in columns]).first()
-    return _filled_numbers(df, means.asDict())
+    wanted = [F.count_if(quoted(c).isNull()).alias(f"n{i}") for i, c in enumerate(columns)]
+    wanted += [F.avg(quoted(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]
+    got = df.agg(*wanted).first()
+    return _filled_numbers(df, {c: got[f"m{i}"] for i, c in enumerate(columns) if got[f"n{i}"]})
+
+
+def _with_gaps(df: DataFrame, columns: list[str]) -> list[str]:
+    return list(gap_counts(df.select(*[quoted(c) for c in columns]))) if columns else []
 
 
 def fill_median(df: DataFrame, columns: list[str] | None = None, limit: int = QUANTILE_ROWS) -> DataFrame:
-    columns = roles.existing(df, columns, roles.numeric_columns(df))
+    columns = _with_gaps(df, roles.existing(df, columns, roles.numeric_columns(df)))
     if not columns:
         return df
     found = collect_quantiles(df, columns, [0.5], limit=limit)
@@ -118,7 +125,8 @@ def modes(df: DataFrame, columns: list[str]) -> dict[str, Any]:
 
 
 def fill_mode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    wanted = [c for c in (columns or df.columns) if c in df.columns]
+    """Only columns with gaps are counted by value."""
+    wanted = _with_gaps(df, [c for c in (columns or df.columns) if c in df.columns])
     found = modes(df, wanted)
     return df.withColumns({
         c: F.coalesce(quoted(c), F.lit(v).cast(df.schema[c].dataType)) for c, v in found.items()

@@ -100,19 +100,29 @@ def kpi_record(t: DataFrame, store: bool = False) -> DataFrame:
         newest(sales.month_over_month_growth(t), "month", "growth_rate_pct", "month_over_month_growth"),
         newest(yearly, "at", "yoy_growth_rate", "year_over_year_growth"),
     ]
-    long = [p.unpivot([], p.columns, "name", "value") for p in parts]
+    figures = [
+        p.unpivot([], p.columns, "name", "value").withColumn("key", F.lit(None).cast("string")) for p in parts
+    ]
+    listed = [
+        report(t).select(F.lit(f"sales_by_{by}").alias("name"), F.col("total_sales").alias("value"),
+                         F.col(by).alias("key"))
+        for report, by in ((sales.sales_by_region, "region"), (sales.sales_by_category, "category"))
+    ]
+    stacked = reduce(DataFrame.unionByName, [*figures, *listed])
+
+    def called(name: str, value: Column) -> Column:
+        return F.when(F.col("name") == name, value)
+
+    def as_map(name: str) -> Column:
+        entries = F.collect_list(called(name, F.struct("key", "value")))  # one per region or category
+        return F.map_from_entries(entries).alias(name)
+
     names = [c for p in parts for c in p.columns]
-    row = reduce(DataFrame.unionAll, long).groupBy().pivot("name", names).agg(F.first("value"))
-    regions = sales.sales_by_region(t).select(F.lit("region").alias("kind"), F.col("region").alias("k"), "total_sales")
-    categories = sales.sales_by_category(t).select(
-        F.lit("category").alias("kind"), F.col("category").alias("k"), "total_sales")
-    entries = F.collect_list(F.struct("k", "total_sales"))
-    # Pivoted maps: one row, keyed by a constant to meet the figures in an equi join.
-    maps = regions.unionAll(categories).groupBy(F.lit(1).alias("one")).pivot(
-        "kind", ["region", "category"]).agg(F.map_from_entries(entries)).withColumnsRenamed(
-        {"region": "sales_by_region", "category": "sales_by_category"})
-    return row.withColumn("one", F.lit(1)).join(maps, "one").drop("one").withColumn(
-        "growth_rate", F.col("month_over_month_growth"))
+    return stacked.agg(
+        *[F.max(called(n, F.col("value"))).alias(n) for n in names],
+        F.max(called("month_over_month_growth", F.col("value"))).alias("growth_rate"),
+        as_map("sales_by_region"), as_map("sales_by_category"),
+    )
 
 
 def portfolio(datasets: DataFrame) -> DataFrame:

@@ -38,10 +38,8 @@ _add("c01_last_per_category", lambda d: cleaning.remove_duplicates(d, ["category
 _add("c01_drop_all_copies", lambda d: cleaning.remove_duplicates(d, ["id"], False),
      f"SELECT {_PLAIN} FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM d) WHERE n = 1")
 _add("c02a_fill_mean", cleaning.fill_mean,
-     f"""SELECT {_with(id="CAST(id AS DOUBLE)", quantity="CAST(quantity AS DOUBLE)",
-                       amount="round(coalesce(amount, (SELECT avg(amount) FROM d)), 4)")} FROM d""")
-_MEDIAN = f"""SELECT {_with(id="CAST(id AS DOUBLE)", quantity="CAST(quantity AS DOUBLE)",
-                            amount="round(coalesce(amount, (SELECT median(amount) FROM d)), 4)")} FROM d"""
+     f"""SELECT {_with(amount="round(coalesce(amount, (SELECT avg(amount) FROM d)), 4)")} FROM d""")
+_MEDIAN = f"""SELECT {_with(amount="round(coalesce(amount, (SELECT median(amount) FROM d)), 4)")} FROM d"""
 _add("c02b_fill_median", cleaning.fill_median, _MEDIAN)
 _add("c02b_fill_median_search", lambda d: cleaning.fill_median(d, limit=100), _MEDIAN)
 _MODE = "(SELECT {c} FROM d WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
