@@ -202,15 +202,29 @@ def ensemble(parts: list[DataFrame], by: list[str] | None = None) -> DataFrame:
     )
 
 
-def combined_forecast(series: Series, periods: int = PERIODS) -> DataFrame:
-    """All methods and their ensemble; a series too short for the forest goes without it."""
+def forecast_report(series: Series, periods: int = PERIODS) -> dict[str, DataFrame]:
+    """``forecast`` of all methods and their ensemble, ``metrics`` and lag ``importance``.
+
+    A series too short for the forest, or several series at once, go without it.
+    """
     parts = [linear_forecast(series, periods), smoothing_forecast(series, periods)]
+    metrics = linear_metrics(series)
+    report = {}
     if not series.by and series.lags:
         try:
-            parts.append(forest_forecast(series, periods).forecast)
+            forest = forest_forecast(series, periods)
+            parts.append(forest.forecast)
+            metrics = metrics.unionByName(forest.metrics, allowMissingColumns=True)
+            report["importance"] = forest.importance
         except TooShort:
             pass
-    return reduce(DataFrame.unionByName, [*parts, ensemble(parts, series.by)])
+    together = reduce(DataFrame.unionByName, [*parts, ensemble(parts, series.by)])
+    return {"forecast": together, "metrics": metrics, **report}
+
+
+def combined_forecast(series: Series, periods: int = PERIODS) -> DataFrame:
+    """Forecast rows of all methods and their ensemble."""
+    return forecast_report(series, periods)["forecast"]
 
 
 def forecast(df: DataFrame, date: str, value: str, method: str = "combined", periods: int = PERIODS,

@@ -213,6 +213,15 @@ SELECT overall AS overall_quality_score,
   CAST((outliers > 0)::INT AS BIGINT) AS info_messages FROM w""", 4)
 
 
+_dirty("f01_f02_f03_dimensions", lambda d: quality.quality_report(d)["dimensions"], f"""{_SCORE}
+SELECT unnest(['completeness', 'uniqueness', 'consistency', 'validity', 'accuracy']) AS dimension,
+  unnest([completeness, uniqueness, consistency, validity, round(accuracy, 4)]) AS score,
+  unnest([CASE WHEN nulls > 3 * n THEN 'critical' WHEN nulls > n THEN 'warning' ELSE 'ok' END,
+    CASE WHEN copies > 0.1 * n THEN 'critical' WHEN copies > 0 THEN 'warning' ELSE 'ok' END, 'ok',
+    CASE WHEN emails + phones + dates > 0 THEN 'warning' ELSE 'ok' END,
+    CASE WHEN outliers > 0 THEN 'info' ELSE 'ok' END]) AS severity FROM w""", 4)
+
+
 def _recommended(d):
     lines = quality.recommendations(quality.measure(d))
     return d.sparkSession.createDataFrame([(t,) for t in lines], "recommendation string")

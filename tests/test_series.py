@@ -154,6 +154,16 @@ def test_forest(spark):
     assert sorted(r.feature for r in result.importance.collect()) == [f"lag_{i}" for i in range(1, 8)]
 
 
+def test_report(spark):
+    s = forecast.prepare(series(spark, [10, 20, 30, 40] * 10), "d", "v", lags=7)
+    report = forecast.forecast_report(s, 2)
+    assert {r.method for r in report["metrics"].collect()} == {"linear_regression", "random_forest"}
+    rows = report["forecast"].collect()
+    means = {m: [r.value for r in rows if r.method == m and r.step == 1][0] for m in {r.method for r in rows}}
+    best = means.pop("ensemble")
+    assert len(means) == 3 and best == pytest.approx(sum(means.values()) / 3)
+
+
 def test_groups_of_series(spark):
     rows = [(k, date(2024, 1, 1) + timedelta(days=i), float(i * m)) for k, m in (("a", 1), ("b", 5)) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, d date, v double")
