@@ -22,6 +22,9 @@ from sievelark.plans.shared import write_shared
 GROUP_ROWS = 4_000_000
 """Most rows of one group that a single task sorts."""
 
+BROADCAST_ROWS = 500_000
+"""Most slices whose summary is sent to all tasks; more are joined by a shuffle."""
+
 POSITION = "__position"
 BLOCK = "__block"
 HOME = "__home"
@@ -39,6 +42,7 @@ class Ordered:
     window: WindowSpec
     keys: list[str]
     split: bool
+    blocks: float = 0
 
     def row_number(self) -> Column:
         """Position in the whole group, from 1. Not to be mixed with edge copies dropped."""
@@ -99,6 +103,8 @@ def add_positions(df: DataFrame, keys: list[str], order: list[str], descending:
     )
     earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    if rows / slice_rows <= BROADCAST_ROWS:  # a row per slice and per large key, of some 50 bytes
+        parts = F.broadcast(parts)
     placed = null_safe_join(sliced, parts, [*keys, _SLICE], "inner")
     return placed.withColumn(
         POSITION, F.col("__before") + F.col(_SERIAL) - F.col("__first")
@@ -129,6 +135,8 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
             return Ordered(df, plain, keys, False)
         total = found
         large = write_shared(large.select(*keys), "large-groups")
+        if total / group_rows <= BROADCAST_ROWS:  # no more keys than this can be that large
+            large = F.broadcast(large)
         stored = located(df)  # read twice from here on, instead of computing df twice
         hot = null_safe_join(stored, large, keys, "left_semi")
         cold = null_safe_join(stored, large, keys, "left_anti").drop(PLACE)
@@ -157,13 +165,19 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
     window = Window.partitionBy(*keys, BLOCK).orderBy(
         F.col(POSITION), *_sort_columns([], order, descending)
     )
-    return Ordered(placed, window, keys, True)
+    return Ordered(placed, window, keys, True, total / block_rows)
 
 
 def _with_prefix(rows: Ordered, df: DataFrame, summary: list[Column], prefix: list[Column]) -> DataFrame:
-    """Join what the earlier blocks of the same key add up to."""
+    """Join what the earlier blocks of the same key add up to.
+
+    A first block has nothing before it, so the joined table has a row per further block of
+    a large group: its size is the number of rows over ``group_rows``.
+    """
     blocks = df.groupBy(*rows.keys, BLOCK).agg(*summary)
-    blocks = blocks.select(*rows.keys, BLOCK, *prefix)
+    blocks = blocks.select(*rows.keys, BLOCK, *prefix).filter(F.col(BLOCK) > 0)
+    if rows.blocks <= BROADCAST_ROWS:
+        blocks = F.broadcast(blocks)
     return null_safe_join(df, blocks, [*rows.keys, BLOCK], "left")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from sievelark.plans.shared import write_shared
 
+BROADCAST_FILES = 500_000
+"""Most files whose sizes are sent to all tasks; more are joined by a shuffle."""
+
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Contiguous position from 0: files by name, rows as they lie in the file.
@@ -26,6 +29,8 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = files.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))
+    if len(placed.inputFiles()) <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return placed.join(starts, "__file").withColumn(name, F.col("__start") + F.col("__at")).drop(
         "__file", "__at", "__start"
     )
