@@ -2,7 +2,7 @@
 
 The built-in higher moments and correlations update many running values per row and
 column. Over a handful of columns the generated method grows past what the JVM compiles,
-and a pass becomes some fifty times slower. Here the first pass takes the means, the second
+and a pass becomes some twenty times slower. Here the first pass takes the means, the second
 sums powers and products of the distances from them. Plain sums stay small in generated
 code, and working from the mean keeps their precision.
 """
