@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm import language, leaks, mixing, neardup, tokens
+from sievelark.llm import language, leaks, mixing, neardup, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, language.learnable(table(spark, sf_dir, "labels")))
+    found = toxicity.score(docs, model, out="score")
+    return found.select("doc_id", language.held_out().alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.learnable(docs))
@@ -48,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_blocks, op4_language, op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
+    op1_token_blocks, op2_toxicity, op4_language, op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
 
 
 def _shingles(table: str, key: str) -> str:
