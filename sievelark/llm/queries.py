@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm import language, leaks, mixing, neardup, tokens, toxicity
+from sievelark.llm import language, leaks, mixing, neardup, tokens, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "language.*")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_blocks, op2_toxicity, op4_language, op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
+    op1_token_blocks, op2_toxicity, op4_language, op5_nearest, op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
 
 
 def _shingles(table: str, key: str) -> str:
