@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm import language, leaks, mixing, neardup, tokens, toxicity, vectors
+from sievelark.llm import language, leaks, mixing, neardup, pages, quotes, tokens, toxicity, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.learnable(docs))
@@ -41,6 +45,16 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.build_derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+    return records.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type",
+                          "headers", F.decode("block", "UTF-8").alias("block"))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -60,7 +74,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_blocks, op2_toxicity, op4_language, op5_nearest, op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
+    op1_token_blocks, op2_toxicity, op3_quote_links, op4_language, op5_nearest, op6_warc_derivatives, op7_main_text,
+    op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
 
 
 def _shingles(table: str, key: str) -> str:
