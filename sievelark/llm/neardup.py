@@ -41,9 +41,10 @@ def bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int
     """Bands and rows of a band: the longest bands that reach ``recall`` at ``threshold`` with
     ``most`` hash functions."""
     for rows in range(most, 0, -1):
-        count = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
-        if count * rows <= most:
-            return count, rows
+        hit = threshold**rows  # the chance that a band of a pair at the threshold agrees
+        count = 1 if hit >= 1 else math.log1p(-recall) / math.log1p(-hit)
+        if math.ceil(count) * rows <= most:
+            return math.ceil(count), rows
     return most, 1
 
 

@@ -183,10 +183,15 @@ def responses(pages: DataFrame, url: str = "url", html_column: str = "html", pag
         return F.struct(F.lit(key).alias("name"), value.alias("value"))
 
     kind = F.lit("application/http; msgtype=response")
+    headers = F.filter(F.array(
+        header("WARC-Type", F.lit("response")), header("WARC-Record-ID", identity), header("WARC-Target-URI", F.col(url).cast("string")),
+        header("WARC-Date", F.lit(date)), header("WARC-Payload-Digest", _text_digest(payload)),
+        header("WARC-Block-Digest", _text_digest(block)), header("Content-Type", kind),
+        header("Content-Length", F.octet_length(block).cast("string"))), lambda h: h.value.isNotNull())
     return pages.select(
         F.lit("response").alias("warc_type"), identity.alias("record_id"), F.lit(None).cast("string").alias("refers_to"),
         F.col(url).alias("target_uri"), F.lit(date).alias("warc_date"), kind.alias("content_type"),
-        F.array(header("WARC-Payload-Digest", _text_digest(payload)), header("WARC-Block-Digest", _text_digest(block))).alias("headers"),
+        headers.alias("headers"),
         block.alias("block"), F.col(page_id).alias("page_id"))
 
 
