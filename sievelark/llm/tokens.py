@@ -21,6 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,12 @@ class Encoder:
         return [head + b"".join(map(ids_of, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """One encoder a worker process: its tasks share the vocabulary and what was learned."""
+    return Encoder(path)
+
+
 def _segment(shard: int, number: int, start: int, docs: list[tuple[int, int]], parts: list[bytes],
              percentile: float) -> dict:
     ids = np.frombuffer(b"".join(parts), "<u4")
@@ -163,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     end = np.array([end_id], "<u4").tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_for(tokenizer), TaskContext.get().partitionId()
         schema, number, start, held = None, 0, 0, 0
         ids: list[tuple[int, int]] = []
         parts: list[bytes] = []
