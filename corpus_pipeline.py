@@ -1,39 +1,63 @@
 """A corpus from raw documents to token files, in five stages.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns a DataFrame;
-all but the last return the columns of ``documents``.
+all but the last return the columns of ``documents``. A stage's work tables lie in a folder of its own, which the next
+stage removes: what a stage returns has to be written before the next one is called.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sievelark.llm import language, leaks, mixing, neardup, tokens
 from sievelark.llm.queries import table, vocabulary
-from sievelark.plans.shared import write_shared
+from sievelark.plans.shared import remove_folder, work_folder, write_shared
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_USED: list[str] = []
+
+
+def _in_own_folder(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _USED:
+            remove_folder(spark, _USED.pop())
+        with work_folder(spark) as folder:
+            _USED.append(folder)
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@_in_own_folder
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model accepts; without labelled rows it rejects all."""
     found = language.identify(docs, language.fit(language.learnable(docs)), out="__language")
     return found.filter("__language.accepted").drop("__language")
 
 
+@_in_own_folder
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts that share 0.8 of their five-word shingles."""
     return neardup.one_per_class(docs)
 
 
+@_in_own_folder
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_own_folder
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, a row for each pass over its source."""
     return mixing.mixed_documents(docs)
 
 
+@_in_own_folder
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the shared folder, and per document what they hold."""
     return tokens.token_table(docs, vocabulary())

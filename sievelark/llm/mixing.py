@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelark.plans.rowid import is_scan, with_place
 from sievelark.plans.shared import write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,12 +33,23 @@ CELL = 4096
 """Width of the cells by which a number is joined to the interval that holds it."""
 
 
-def sized_documents(docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text",
-                    source: str = "source") -> DataFrame:
-    """``__row``, doc_id, source, size in words and a hash of the text, written once."""
+def placed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, the file and the place in it: what tells repeated rows apart, also when a task runs again.
+
+    Rows of a file scan have a place; any other frame is written first.
+    """
+    docs = docs.drop("__row", "__file", "__at")
+    placed = with_place(docs, "__file", "__at") if is_scan(docs) else None
+    if placed is None:
+        placed = with_place(write_shared(docs, "documents"), "__file", "__at")
+    return placed.withColumn("__row", F.struct(F.xxhash64("__file").alias("file"), F.col("__at").alias("at"))).drop("__file", "__at")
+
+
+def sized_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``__row``, doc_id, source, size in words and a hash of the text of placed documents, written once."""
     words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     return write_shared(docs.select(
-        F.col(row).alias("__row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+        "__row", F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         words.alias("size"), F.xxhash64(text).alias("__hash")), "sizes")
 
 
@@ -169,8 +181,7 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     NULL and empty texts have size 0 and are never taken; NULL is a source of its own, last in order. Repeated
     rows are documents of their own. An empty table gives an empty result. Other columns are not read.
     """
-    numbered = docs.select(doc_id, text, source).withColumn("__row", F.monotonically_increasing_id())
-    sized = sized_documents(numbered, "__row", doc_id, text, source)
+    sized = sized_documents(placed_documents(docs.select(doc_id, text, source)), doc_id, text, source)
     sources = write_shared(targets(sized), "sources")
     taken = mixture(sized, sources, seed).groupBy("__row").agg(F.sum("n_words").alias("taken"))
     named = sources.select(F.col("source").alias("__source"), "source_size", "target")
@@ -186,15 +197,15 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others the text is what the pass takes, in order, and ``length`` its characters. Documents that the mix
     does not take are absent, twice-taken ones appear twice. All columns of ``docs`` stay.
     """
-    numbered = write_shared(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    sized = sized_documents(numbered, "__row", doc_id, text, source)
+    placed = placed_documents(docs)
+    sized = sized_documents(placed, doc_id, text, source)
     sources = write_shared(targets(sized), "sources")
     spans = mixture(sized, sources, seed).groupBy("__row", "use").agg(
         F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("__spans"))
     tokens = F.regexp_extract_all(F.col(text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     joined = F.array_join(F.transform("__spans", lambda s: F.array_join(
         F.slice(F.col("__words"), (s.first_word + 1).cast("int"), s.n_words.cast("int")), "")), "")
-    mixed = numbered.join(spans.drop("use"), "__row").withColumn("__words", tokens).withColumn(text, joined)
+    mixed = placed.join(spans.drop("use"), "__row").withColumn("__words", tokens).withColumn(text, joined)
     if length in docs.columns:
         mixed = mixed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return mixed.select(*docs.columns)

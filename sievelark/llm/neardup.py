@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelark.llm import text as texts
@@ -33,8 +33,8 @@ BLOCK_TEXTS = 256
 BLOCK_SHINGLES = 1 << 20
 """A block of a group holds about so many texts or shingles, whatever is reached first."""
 
-BROADCAST_ROWS = 200_000
-"""Most candidate nodes (24 bytes each) that are sent to all tasks; more are joined by a shuffle."""
+BROADCAST_ROWS = 500_000
+"""Most keys of candidate texts or removed documents (48 and 24 bytes each) that are sent to all tasks; more are joined by a shuffle."""
 
 
 def bands(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -187,6 +187,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     documents like any other: they link to each other and share a class. Only ``doc_id`` and ``text`` are
     read, so other columns cannot clash; an empty table gives an empty result.
     """
+    return _classes(docs, doc_id, text, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, the two hashes of the text, class_id, n_links."""
     keys = ["node", "check"]
     sketch = write_shared(sketches(docs, threshold, recall, doc_id, text), "sketch")
     nodes = sketch.filter("size > 0").groupBy(*keys).agg(
@@ -231,28 +236,31 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = found.join(classes, "root").select(*keys, "class_id", "n_links")
     documents = sketch.select("doc_id", "size", *keys)
     return documents.join(found, keys, "left").select(
-        "doc_id", F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        "doc_id", *keys, F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("size") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are first (by doc_id) of their near-duplicate class, with all columns.
 
-    Of rows that repeat the id and class of the first document one stays, chosen by the hash of the row.
+    Of rows that repeat the id and the text of the first document one stays. The others are removed by a join with their
+    keys, which is broadcast while they are at most ``BROADCAST_ROWS``.
     """
-    classes = jaccard_classes(docs, doc_id, text, **options)
-    firsts = write_shared(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("__first")), "firsts")
-    sums = firsts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__first").alias("ids")).first()
-    wanted = firsts.distinct() if sums.n != sums.ids else firsts
-    if sums.n <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    kept = docs.join(wanted, docs[doc_id].cast("long").eqNullSafe(wanted["__first"]), "left_semi")
-    if sums.n == sums.ids:
-        return kept
-    texts_of = F.xxhash64(text)
-    repeated = firsts.groupBy("__first").count().filter("count > 1").drop("count")
-    marked = kept.join(repeated, kept[doc_id].cast("long").eqNullSafe(repeated["__first"]), "left")
-    single = marked.filter(F.col("__first").isNull() & F.col(doc_id).isNotNull()).drop("__first")
-    again = marked.filter(F.col("__first").isNotNull() | F.col(doc_id).isNull()).drop("__first")
-    return single.unionByName(again.withColumn("__text", texts_of).dropDuplicates([doc_id, "__text"]).drop("__text"))
+    keys = ["__id", "node", "check"]
+    classes = _classes(docs, doc_id, text, **options).withColumnRenamed("doc_id", "__id")
+    marked = write_shared(classes.select(*keys, F.col("__id").eqNullSafe(F.col("class_id")).alias("first")), "firsts")
+    others = marked.filter(~F.col("first")).select(*keys)
+    kept = docs.withColumnsRenamed({c: f"__own_{c}" for c in keys if c in docs.columns}).withColumns({"__id": F.col(doc_id).cast("long"), "node": F.xxhash64(text), "check": F.xxhash64(F.lit(7), F.col(text))})
+    if others.count() <= BROADCAST_ROWS:
+        others = F.broadcast(others)
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a["__id"].eqNullSafe(b["__id"]) & (a["node"] == b["node"]) & (a["check"] == b["check"])
+
+    kept = kept.join(others, same(kept, others), "left_anti")
+    repeated = write_shared(marked.filter("first").groupBy(*keys).count().filter("count > 1").select(*keys), "repeated")
+    if not repeated.isEmpty():
+        single = kept.join(repeated, same(kept, repeated), "left_anti")
+        again = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(keys)
+        kept = single.unionByName(again)
+    return kept.select(*[F.col(f"`__own_{c}`").alias(c) if c in keys else F.col(f"`{c}`") for c in docs.columns])

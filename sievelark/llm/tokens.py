@@ -18,7 +18,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelark.llm import text as texts
-from sievelark.plans.shared import shared_dir
+from sievelark.plans.shared import new_path
 
 END_ID = 2
 BLOCK_IDS = 4096
@@ -245,13 +244,9 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
     return read_segments(spark, path).mapInArrow(decoded, schema)
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def token_table(docs: DataFrame, tokenizer: str, path: str | None = None, **options) -> DataFrame:
     """Write ``docs`` as token ids (to a new place in the shared folder if ``path`` is not given) and read the
     files back: doc_id, start, n_tokens, ids_crc32."""
-    path = path or fresh_path(docs.sparkSession, "tokens")
+    path = path or new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, **options)
     return read_documents(docs.sparkSession, path)

@@ -57,7 +57,7 @@ def test_permutation(spark):
 
 
 def test_slots_fill_every_quota(spark):
-    sized = mixing.sized_documents(documents(spark, odd_rows()).withColumn("r", F.monotonically_increasing_id()), "r")
+    sized = mixing.sized_documents(mixing.placed_documents(documents(spark, odd_rows())))
     sources = mixing.targets(sized)
     placed = mixing.slots(sources).collect()
     assert Counter(r.number for r in placed) == Counter({r.number: r.quota for r in sources.collect() if r.quota})

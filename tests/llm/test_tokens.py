@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from sievelark.llm import tokens
 from sievelark.llm.queries import vocabulary
+from sievelark.plans.shared import new_path
 from tests.llm.common import clashing, documents, odd_rows
 
 
@@ -61,7 +62,7 @@ def test_files(spark, monkeypatch):
 
 
 def test_ids_come_back(spark):
-    path = tokens.fresh_path(spark, "ids")
+    path = new_path(spark, "ids")
     tokens.write_tokens(documents(spark, [(2, "b c", None, None), (1, "a", None, None)]), path, vocabulary())
     rows = sorted(tokens.read_documents(spark, path, ids=True).collect())
     assert [len(r.ids) for r in rows] == [r.n_tokens for r in rows] and all(r.ids[-1] == tokens.END_ID for r in rows)
@@ -72,7 +73,7 @@ def test_empty_table(spark):
 
 
 def test_reads_need_no_payload(spark):
-    path = tokens.fresh_path(spark, "index")
+    path = new_path(spark, "index")
     tokens.write_tokens(documents(spark, [(1, "a", None, None)]), path, vocabulary())
     plan = spark.read.schema(tokens.SEGMENTS).parquet(path).select("start")._jdf.queryExecution().toString()
     assert "payload" not in plan.split("ReadSchema")[-1]
@@ -80,6 +81,6 @@ def test_reads_need_no_payload(spark):
 
 @pytest.mark.parametrize("percentile", [0.5, 1.0])
 def test_percentile_keeps_ids(spark, percentile):
-    path = tokens.fresh_path(spark, "p")
+    path = new_path(spark, "p")
     tokens.write_tokens(documents(spark, odd_rows()[:20]), path, vocabulary(), percentile=percentile)
     assert tokens.read_documents(spark, path).count() == 20
