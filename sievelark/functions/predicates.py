@@ -59,8 +59,8 @@ def normalize_phone(c: Column, region: str = "US") -> Column:
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     """Timestamp of the first format that fits, else NULL.
 
-    Most other texts fail the test of the first characters. The shape test comes first, so the parser only sees texts that can fit and does not
-    raise and catch an error per row and format.
+    Most other texts fail the test of the first characters, and the test of the shape leaves the parser
+    only texts that can fit, so it does not raise and catch an error per row and format.
     """
     if formats is not None:
         return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])

@@ -37,6 +37,20 @@ def first_named_like(df: DataFrame, parts: tuple[str, ...]) -> str | None:
     return next(iter(named_like(df, parts)), None)
 
 
+def first_date_like(df: DataFrame, parts: tuple[str, ...]) -> str | None:
+    """The first date column with such a name, else the first text column; numbers are no dates."""
+    named = named_like(df, parts)
+    typed, texts = set(date_columns(df)), set(string_columns(df))
+    return next((c for c in named if c in typed), None) or next((c for c in named if c in texts), None)
+
+
+def first_number_like(df: DataFrame, parts: tuple[str, ...]) -> str | None:
+    """The first numeric column with such a name, else the first text column, which is read as numbers."""
+    named = named_like(df, parts)
+    numbers, texts = set(numeric_columns(df)), set(string_columns(df))
+    return next((c for c in named if c in numbers), None) or next((c for c in named if c in texts), None)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     """Numeric columns; booleans are not numbers here."""
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +11,6 @@ from pyspark.sql import functions as F
 
 from sievelark.operators import sales
 
-SQL_ROWS = 1000
-"""Rows a caller of :func:`run_sql` gets unless it asks for another number."""
-
-
 @dataclass(frozen=True)
 class Report:
     name: str
@@ -86,15 +83,25 @@ def describe(name: str) -> str:
     return REPORTS[name].about if name in REPORTS else ""
 
 
-def search(text: str) -> dict[str, str]:
-    """Reports whose name, topic or description contains ``text``, ignoring case."""
-    wanted = text.lower()
+def text(name: str) -> str:
+    """The definition of a report as it is written, or an empty string for an unknown name."""
+    return inspect.getsource(REPORTS[name].build) if name in REPORTS else ""
+
+
+def search(wanted: str, in_text: bool = False) -> dict[str, str]:
+    """Reports whose name, topic, description or (``in_text``) definition contains ``wanted``, ignoring case."""
     return {
         r.name: r.about for r in REPORTS.values()
-        if wanted in f"{r.name} {r.topic} {r.about}".lower()
+        if wanted.lower() in f"{r.name} {r.topic} {r.about} {text(r.name) if in_text else ''}".lower()
     }
 
 
+def listing(spark: SparkSession) -> DataFrame:
+    """(name, topic, about, text) of all reports."""
+    rows = [(r.name, r.topic, r.about, text(r.name)) for r in REPORTS.values()]
+    return spark.createDataFrame(rows, "name string, topic string, about string, text string")
+
+
 def run(spark: SparkSession, name: str, limit: int | None = None, table: str = "transactions",
         in_order: bool = True) -> DataFrame:
     """A report over the view ``table``; ``limit`` cuts what is shown, not what is read.
@@ -117,8 +124,8 @@ def _as_query(spark: SparkSession, query: str, args: dict | None) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, query: str, args: dict | None = None,
-            limit: int | None = SQL_ROWS) -> DataFrame:
-    """A read-only query over the registered views with named parameters."""
+            limit: int | None = None) -> DataFrame:
+    """A read-only query over the registered views with named parameters; all rows unless ``limit`` cuts them."""
     result = _as_query(spark, query, args)
     return result if limit is None else result.limit(limit)
 

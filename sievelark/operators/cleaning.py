@@ -23,7 +23,7 @@ from sievelark.plans.rowid import with_row_index
 from sievelark.plans.shared import write_shared
 
 CATEGORY_LIMIT = 100
-"""A text column with fewer distinct values than this counts as categorical."""
+"""A text column with fewer distinct values than this counts as categorical on its own; a given mapping always applies."""
 
 
 # --- copies -------------------------------------------------------------------------
@@ -233,12 +233,11 @@ def categorical_columns(df: DataFrame, limit: int = CATEGORY_LIMIT) -> list[str]
     return [c for c in texts if counted.get(c, 0) < limit]
 
 
-def map_categories(df: DataFrame, mapping: dict[str, dict[str, str]],
-                   limit: int = CATEGORY_LIMIT) -> DataFrame:
-    """Replace values by the column's mapping; other values stay."""
-    allowed = set(categorical_columns(df.select(*[quoted(c) for c in mapping if c in df.columns]), limit))
+def map_categories(df: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFrame:
+    """Replace values by the column's mapping, however many the column has; other values and columns stay."""
+    texts = set(roles.string_columns(df))
     for c, pairs in mapping.items():
-        if c in allowed and pairs:
+        if c in texts and pairs:
             df = df.replace(pairs, subset=[c])
     return df
 
@@ -268,6 +267,7 @@ class Rules:
     fill_value: Any = None
     order_by: list[str] | None = None
     categorical_mapping: dict[str, dict[str, str]] | None = None
+    category_limit: int = CATEGORY_LIMIT
     validation_rules: dict | None = None
 
 
@@ -319,7 +319,7 @@ def apply_rules(df: DataFrame, rules: Rules | None = None) -> tuple[DataFrame, S
         done.standardized_dates = len(date_candidates(df))
         df = standardize_dates(df)
     if rules.standardize_categorical:
-        done.categorical_columns = categorical_columns(df)
+        done.categorical_columns = categorical_columns(df, rules.category_limit)
         if rules.categorical_mapping:
             df = map_categories(df, rules.categorical_mapping)
     before_filter = done.initial_rows - done.removed_duplicates

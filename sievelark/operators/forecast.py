@@ -11,9 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import RandomForestRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +23,12 @@ from sievelark.plans.ordered import GROUP_ROWS, ordered
 from sievelark.plans.shared import write_shared
 
 PERIODS, LAGS, ALPHA, TRAIN_SHARE = 12, 7, 0.3, 0.8
-TREES, DEPTH, SEED, LEAST_ROWS = 100, 12, 42, 10
+TREES, DEPTH, SEED, LEAST_ROWS = 100, 30, 42, 10
+BINS = 128
+"""Split points tried for a lag; 30 levels let trees grow out on series of usual length."""
+
+FOREST_ROWS = 50_000
+"""Newest rows of a series that its forest learns from and is tested on."""
 
 
 class TooShort(ValueError):
@@ -146,48 +150,153 @@ class ForestForecast:
 
 
 def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES, depth: int = DEPTH,
-                    seed: int = SEED) -> ForestForecast:
-    """Random forest on the values before, trained by Spark ML on the first 80 %.
+                    seed: int = SEED, bins: int = BINS, rows: int = FOREST_ROWS) -> ForestForecast:
+    """A random forest for each series on the values before, trained on the first 80 % of its newest ``rows`` rows.
 
-    The forecast goes step by step: each predicted value becomes the newest lag. These few
-    predictions run on the driver with the trained model.
+    The forecast goes step by step: each predicted value becomes the newest lag. A forest is grown in the task that
+    holds its series; ``rows`` bounds what a task gets. Series too short for a forest have no rows; a
+    single series that is too short raises.
     """
-    if series.by or series.lags < 1:
-        raise ValueError("a random forest needs one series prepared with lags")
+    if series.lags < 1:
+        raise ValueError("a random forest needs a series prepared with lags")
     lags = [f"lag_{i}" for i in range(1, series.lags + 1)]
-    spark = series.df.sparkSession
-    rows = series.df.filter(F.col("index") >= series.lags)
-    count = rows.count()
-    if count < LEAST_ROWS:
-        raise TooShort("Insufficient data for Random Forest")
-    first_test = series.lags + int(count * TRAIN_SHARE)
-    ready = VectorAssembler(inputCols=lags, outputCol="features").transform(rows)
-    learner = RandomForestRegressor(
-        labelCol="y", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed,
-        featureSubsetStrategy="all",
-    )
-    model = learner.fit(ready.filter(F.col("index") < first_test))
-    tested = model.transform(ready.filter(F.col("index") >= first_test))
-    quality = _quality(tested, series.keys, F.col("prediction"))
-    newest = series.df.orderBy(F.desc("index")).limit(series.lags).select("y", "last").collect()
-    known, values = [r["y"] for r in newest], []
-    for _ in range(periods):
-        values.append(float(model.predict(Vectors.dense(known))))
-        known = [values[-1], *known[:-1]]
-    last = newest[0]["last"]
-    steps = spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "step long, value double")
-    forecast = steps.select(
-        F.lit("random_forest").alias("method"), "step",
-        F.date_add(F.to_date(F.lit(last)), F.col("step").cast("int")).alias("date"), "value",
-    )
-    weights = [(name, float(w)) for name, w in zip(lags, model.featureImportances.toArray())]
+    known = series.df.filter((F.col("index") >= series.lags) & (F.col("index") >= F.col("length") - rows))
+    known = known.withColumn("last", F.to_date("last")).select(*series.keys, "index", "last", "y", *lags)
+    if not series.by and (count := known.count()) < LEAST_ROWS:
+        raise TooShort(f"{count} rows with all lags known; a forest needs {LEAST_ROWS}")
+    keys = list(series.keys)
+    columns = [*keys, "kind", "step", "date", "value", "guess"]
+
+    def learn(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) < LEAST_ROWS:
+            return group.iloc[:0][keys].assign(kind="", step=0, date=None, value=0.0, guess=0.0)[columns]
+        group = group.sort_values("index")
+        x, y, cut = group[lags].to_numpy(float), group["y"].to_numpy(float), int(len(group) * TRAIN_SHARE)
+        forest = _Regressor(x[:cut], y[:cut], trees, depth, seed, bins)
+        newest, values = [y[-1], *x[-1][:-1]], []
+        for _ in range(periods):
+            values.append(float(forest.predict(np.array([newest]))[0]))
+            newest = [values[-1], *newest[:-1]]
+        last, steps = pd.Timestamp(group["last"].iloc[0]), range(1, periods + 1)
+        found = pd.concat([
+            pd.DataFrame({"kind": "forecast", "step": steps, "value": values, "guess": 0.0,
+                          "date": [(last + pd.Timedelta(days=k)).date() for k in steps]}),
+            pd.DataFrame({"kind": "test", "step": 0, "value": y[cut:], "guess": forest.predict(x[cut:]), "date": None}),
+            pd.DataFrame({"kind": "importance", "step": range(1, len(lags) + 1), "value": forest.importance, "guess": 0.0, "date": None}),
+        ], ignore_index=True)
+        for key in keys:
+            found[key] = group[key].iloc[0]
+        return found[columns]
+
+    kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in keys)
+    found = write_shared(known.groupBy(*series.keys).applyInPandas(
+        learn, f"{kinds}, kind string, step long, date date, value double, guess double"), "forests")
+    method = F.lit("random_forest").alias("method")
+    quality = _quality(found.filter("kind = 'test'").withColumnRenamed("value", "y"), series.keys, F.col("guess"))
     return ForestForecast(
-        forecast,
-        quality.select(F.lit("random_forest").alias("method"), "test_rows", "r_squared", "rmse", "mape"),
-        spark.createDataFrame(weights, "feature string, importance double"),
+        found.filter("kind = 'forecast'").select(*series.by, method, "step", "date", "value"),
+        quality.select(*series.by, method, "test_rows", "r_squared", "rmse", "mape"),
+        found.filter("kind = 'importance'").select(
+            *series.by, F.concat(F.lit("lag_"), F.col("step")).alias("feature"), F.col("value").alias("importance")),
     )
 
 
+def _grow(bins: np.ndarray, y: np.ndarray, count: int, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """A regression tree over binned features, grown level by level: the gain of each feature, and feature, bin, left child
+    and value of each node.
+
+    All nodes of a level are split at once from counts and sums by (node, bin). A node without gain is a leaf
+    (left child -1); the right child follows the left one.
+    """
+    rows, width = bins.shape
+    feature, cut, left, value = ([np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, -1)], [np.array([y.mean()])])
+    level, total = np.zeros(1, np.int64), 1
+    gains = np.zeros(width)
+    place = np.zeros(rows, np.int64)  # of each row's node within the level, -1 in a leaf
+    for _ in range(depth):
+        live = place >= 0
+        nodes = len(level)
+        if not nodes:
+            break
+        n = np.bincount(place[live], minlength=nodes)
+        s = np.bincount(place[live], y[live], minlength=nodes)
+        base = s * s / np.maximum(n, 1)
+        best, chosen, where = base + 1e-9 * (1 + s * s), np.full(nodes, -1), np.zeros(nodes, np.int64)
+        for f in range(width):
+            cell = place[live] * count + bins[live, f]
+            below = np.cumsum(np.bincount(cell, minlength=nodes * count).reshape(nodes, count), axis=1)[:, :-1]
+            sums = np.cumsum(np.bincount(cell, y[live], minlength=nodes * count).reshape(nodes, count), axis=1)[:, :-1]
+            above = n[:, None] - below
+            gain = np.where((below > 0) & (above > 0), sums**2 / np.maximum(below, 1)
+                            + (s[:, None] - sums) ** 2 / np.maximum(above, 1), -np.inf)
+            if not gain.shape[1]:
+                continue
+            top = gain.argmax(axis=1)
+            better = gain[np.arange(nodes), top] > best
+            best = np.where(better, gain[np.arange(nodes), top], best)
+            chosen, where = np.where(better, f, chosen), np.where(better, top, where)
+        split = np.flatnonzero(chosen >= 0)
+        if not len(split):
+            break
+        children = np.full(nodes, -1)
+        children[split] = total + 2 * np.arange(len(split))
+        flat = [np.concatenate(a) for a in (feature, cut, left)]
+        flat[0][level[split]], flat[1][level[split]], flat[2][level[split]] = chosen[split], where[split], children[split]
+        feature, cut, left = [flat[0]], [flat[1]], [flat[2]]
+        own = place[live]
+        right = bins[live, np.maximum(chosen[own], 0)] > where[own]
+        place[live] = np.where(children[own] >= 0, children[own] - total + right, -1)
+        fresh = 2 * len(split)
+        inside = place >= 0
+        sizes = np.bincount(place[inside], minlength=fresh)
+        means = np.bincount(place[inside], y[inside], minlength=fresh) / np.maximum(sizes, 1)
+        feature.append(np.zeros(fresh, np.int64))
+        cut.append(np.zeros(fresh, np.int64))
+        left.append(np.full(fresh, -1))
+        value.append(means)
+        spread = np.bincount(place[inside], y[inside] ** 2, minlength=fresh) - sizes * means**2
+        grows = np.flatnonzero((sizes > 1) & (spread > 1e-12 * (1 + means**2)))  # the others stay leaves
+        renamed = np.full(fresh, -1)
+        renamed[grows] = np.arange(len(grows))
+        place[inside] = renamed[place[inside]]
+        level = total + grows
+        total += fresh
+        gains += np.bincount(chosen[split], (best - base)[split], minlength=width)
+    return gains, tuple(np.concatenate(a) for a in (feature, cut, left, value))
+
+
+def _leaf_values(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    feature, cut, left, value = tree
+    at = np.zeros(len(bins), np.int64)
+    while (inner := left[at] >= 0).any():
+        right = bins[np.arange(len(bins)), feature[at]] > cut[at]
+        at = np.where(inner, left[at] + right, at)
+    return value[at]
+
+
+class _Regressor:
+    """Bootstrapped trees on quantile bins of the features."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int, bins: int):
+        self.edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
+        count = max(len(e) for e in self.edges) + 1
+        binned, rng = self._binned(x), np.random.default_rng(seed)
+        self.trees, gains = [], np.zeros(x.shape[1])
+        for _ in range(trees):
+            drawn = rng.integers(0, len(y), len(y))
+            gain, tree = _grow(binned[drawn], y[drawn], count, depth)
+            self.trees.append(tree)
+            gains += gain / max(gain.sum(), 1e-300)
+        self.importance = gains / max(gains.sum(), 1e-300)
+
+    def _binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, column, "left") for e, column in zip(self.edges, x.T)], axis=1)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        binned = self._binned(x)
+        return np.mean([_leaf_values(tree, binned) for tree in self.trees], axis=0)
+
+
 # --- ensemble and dispatch ----------------------------------------------------------
 
 
@@ -205,12 +314,12 @@ def ensemble(parts: list[DataFrame], by: list[str] | None = None) -> DataFrame:
 def forecast_report(series: Series, periods: int = PERIODS) -> dict[str, DataFrame]:
     """``forecast`` of all methods and their ensemble, ``metrics`` and lag ``importance``.
 
-    A series too short for the forest, or several series at once, go without it.
+    Series too short for the forest go without it.
     """
     parts = [linear_forecast(series, periods), smoothing_forecast(series, periods)]
     metrics = linear_metrics(series)
     report = {}
-    if not series.by and series.lags:
+    if series.lags:
         try:
             forest = forest_forecast(series, periods)
             parts.append(forest.forecast)
@@ -230,7 +339,7 @@ def combined_forecast(series: Series, periods: int = PERIODS) -> DataFrame:
 def forecast(df: DataFrame, date: str, value: str, method: str = "combined", periods: int = PERIODS,
              by: list[str] | None = None, ties: list[str] | None = None, **options) -> DataFrame:
     """Dispatch by method name; an unknown name means all methods combined."""
-    lagged = method not in ("linear_regression", "exponential_smoothing") and not by
+    lagged = method not in ("linear_regression", "exponential_smoothing")
     series = prepare(df, date, value, by, ties, LAGS if lagged else 0)
     if method == "linear_regression":
         return linear_forecast(series, periods)

@@ -23,7 +23,7 @@ from sievelark.plans.rowid import with_row_index
 from sievelark.plans.shared import write_shared
 
 TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.05
-_DRAWS = 1 << 30
+_DRAWS = 1 << 53  # draws are whole numbers a double holds exactly
 _SPARE = 3  # candidates drawn per wanted row, so that each tree gets its full sample
 _EULER = 0.5772156649015329
 _NODES = "tree int, node int, feature int, threshold double, length double"
@@ -41,23 +41,21 @@ def average_path(n: np.ndarray | float) -> np.ndarray:
 def draw_samples(df: DataFrame, ids: list[str], trees: int, sample: int, seed: int, rows: int) -> DataFrame:
     """(columns of df, tree, draw): ``sample`` rows per tree, chosen by hash of the row id.
 
-    The choice depends on ids and seed only, not on partitions. A large frame gives each
-    row to at most one tree, a small one draws for every tree on its own.
+    The choice depends on ids and seed only, not on partitions. A row is a candidate with probability ``p``
+    and then enters each tree with probability ``q``; ``p q`` is the share a tree needs. ``p`` is as small as lets a
+    candidate enter one tree on average, so in a large frame few rows are looked at again.
     """
     keys = [quoted(c) for c in ids]
 
     def draw(*salt) -> Column:
         return F.pmod(F.xxhash64(*keys, *salt), F.lit(_DRAWS))
 
-    wanted = trees * sample * _SPARE
-    if rows > 2 * wanted:
-        drawn = df.withColumns({"tree": F.pmod(F.xxhash64(F.lit(seed + 1), *keys), F.lit(trees)).cast("int"),
-                                "draw": draw(F.lit(seed))})
-        drawn = drawn.filter(F.col("draw") < int(_DRAWS * wanted / rows))
-    else:
-        cut = F.lit(int(_DRAWS * min(1.0, sample * _SPARE / max(rows, 1))))
-        chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t, F.lit(seed)) < cut)
-        drawn = df.withColumn("tree", F.explode(chosen)).withColumn("draw", draw(F.col("tree"), F.lit(seed)))
+    share = min(1.0, sample * _SPARE / max(rows, 1))
+    p = min(1.0, trees * share)
+    q = share / p
+    candidates = df.filter(draw(F.lit(seed + 1)) < F.lit(p * _DRAWS))
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t, F.lit(seed)) < F.lit(q * _DRAWS))
+    drawn = candidates.withColumn("tree", F.explode(chosen)).withColumn("draw", draw(F.col("tree"), F.lit(seed)))
     order = Window.partitionBy("tree").orderBy("draw", *keys)
     return drawn.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).drop("__n")
 

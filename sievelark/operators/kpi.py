@@ -23,13 +23,15 @@ def kpis(df: DataFrame, date: str | None = None, amount: str | None = None,
     Columns not given are found by name. Everything comes from one aggregate per month and
     one over the months; rows without a date count in the totals, not in the monthly mean.
     """
-    date = date or roles.first_named_like(df, roles.DATE_KPI_PARTS)
-    amount = amount or roles.first_named_like(df, roles.AMOUNT_KPI_PARTS)
-    quantity = quantity or roles.first_named_like(df, roles.QUANTITY_KPI_PARTS)
+    date = date or roles.first_date_like(df, roles.DATE_KPI_PARTS)
+    amount = amount or roles.first_number_like(df, roles.AMOUNT_KPI_PARTS)
+    quantity = quantity or roles.first_number_like(df, roles.QUANTITY_KPI_PARTS)
     when = as_time(df, date).cast("timestamp_ntz") if date else F.lit(None).cast("timestamp_ntz")
 
     def number(name: str | None) -> Column:
-        return to_number(quoted(name)) if name else F.lit(None).cast("double")
+        if name is None or name not in [*roles.numeric_columns(df), *roles.string_columns(df)]:
+            return F.lit(None).cast("double")
+        return to_number(quoted(name))
 
     base = df.select(when.alias("at"), number(amount).alias("x"), number(quantity).alias("q"))
     months = base.groupBy(F.trunc("at", "month").alias("month")).agg(

@@ -178,9 +178,8 @@ def sales_by_category(t: DataFrame) -> DataFrame:
         F.count("amount").alias("transaction_count"), F.sum(amount()).alias("total_sales"),
         F.avg(amount()).alias("avg_sale"),
     )
-    everything = Window.partitionBy()
     return (
-        groups.withColumn("all_sales", F.sum("total_sales").over(everything))
+        groups.withColumn("all_sales", groups.agg(F.sum("total_sales")).scalar())
         .filter(F.col("category").isNotNull() & (F.col("transaction_count") > 0))
         .withColumn("percent_of_total", F.round(percent(F.col("total_sales"), F.col("all_sales")), 2))
         .drop("all_sales")
@@ -291,7 +290,7 @@ def running_total_sales(t: DataFrame, limit: int | None = NEWEST_ROWS,
         return _running_total_of_all(known, group_rows)
     order = [F.desc(c) for c in _TIES]
     newest = known.orderBy(*order).limit(limit + ROLLING_ROWS)
-    oldest = newest.agg(F.min(sold_at()).alias("d"), F.count_if(sold_at().isNull()).alias("nulls")).first()
+    oldest = newest.agg(F.min(sold_at()).alias("d")).first()
     # NULL dates sort first in the running order, so they are part of every later total.
     recent = F.lit(False) if oldest["d"] is None else sold_at() >= F.lit(oldest["d"])
     day = F.when(recent, sold_at())

@@ -23,7 +23,6 @@ RANKED_ROWS = 200_000
 """Most values left in a bracket when they are ranked one by one."""
 
 _BINS = 4096
-_MOST_PASSES = 12
 _ACCURACY = 10_000
 
 
@@ -78,9 +77,7 @@ def _searched(long: DataFrame, keys: list[str], probabilities: list[float], limi
             "below": F.lit(0).cast("long"), "inside": F.col("n"), "curved": F.lit(False),
         }), "quantile-targets")
     is_open = (F.col("inside") > few) & (F.col("least") < F.col("most"))
-    for _ in range(_MOST_PASSES):
-        if targets.filter(is_open).isEmpty():
-            break
+    while not targets.filter(is_open).isEmpty():  # a pass puts the ends of a bracket into different bins, so it ends
         targets = write_shared(_narrowed(long, targets, keys, is_open), "quantile-targets")
 
     found = _ranked(long, targets, keys)

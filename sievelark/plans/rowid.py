@@ -6,26 +6,50 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelark.plans.ordered import ordered
 from sievelark.plans.shared import write_shared
 
 BROADCAST_FILES = 500_000
 """Most files whose sizes are sent to all tasks; more are joined by a shuffle."""
 
+_SOURCE = ["__source_file", "__source_at"]
 
-def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
-    """Contiguous position from 0: files by name, rows as they lie in the file.
 
-    A Parquet scan knows each row's place in its file, so only the file sizes are summed.
-    Any other frame is written once, which fixes the order of its rows.
-    """
+def is_scan(df: DataFrame) -> bool:
+    """Whether the frame holds every row of a file scan once (a scan, or columns of one)."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_place(df: DataFrame, file: str, at: str) -> DataFrame | None:
+    """``df`` with file and place of each row, None where it has none (joins, unions, aggregates)."""
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias("__file"),
-                           F.col("_metadata.row_index").alias("__at"))
+        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
         placed.schema  # resolve now
+        return placed
     except AnalysisException:
-        stored = write_shared(df, "row-index")
-        placed = stored.select("*", F.col("_metadata.file_path").alias("__file"),
-                               F.col("_metadata.row_index").alias("__at"))
+        return None
+
+
+def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """Contiguous position from 0: files by name, rows as they lie in the file.
+
+    A Parquet scan knows each row's place in its file, so only the file sizes are summed. A frame
+    that filters or multiplies the rows of a scan is written once with their places, and its rows are
+    numbered in the order of place and written row. Any other frame is written once, which fixes the
+    order of its rows.
+    """
+    placed = with_place(df, "__file", "__at") if is_scan(df) else None
+    if placed is None:
+        origin = with_place(df, *_SOURCE)
+        stored = write_shared(df if origin is None else origin, "row-index")
+        placed = with_place(stored, "__file", "__at")
+        if origin is not None:
+            rows = ordered(placed, [], [*_SOURCE, "__file", "__at"], unique=True)
+            numbered = rows.finish(rows.df.withColumn(name, rows.row_number() - 1))
+            return numbered.drop(*_SOURCE, "__file", "__at")
     files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = files.select("__file", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"))

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDER: ContextVar[str | None] = ContextVar("work_folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, else the context's checkpoint folder.
@@ -31,9 +36,46 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[str]:
+    """A folder of one run: tables written inside the block go there and are removed at its end.
+
+    Results read these tables, so write or collect them before the block ends::
+
+        with work_tables(spark):
+            anomaly.iqr(df, ["id"]).write.parquet(path)
+    """
+    with work_folder(spark) as folder:
+        try:
+            yield folder
+        finally:
+            remove_folder(spark, folder)
+
+
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables written inside the block; whoever reads the results removes it."""
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    before = _FOLDER.set(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.reset(before)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared folder, or the run's own."""
+    return f"{_FOLDER.get() or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def write_shared(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and return a scan of it."""
+    """Write ``df`` once as Parquet in the shared folder, or the run's own, and return a scan of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

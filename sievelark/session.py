@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -28,4 +32,28 @@ def build_session(name: str = "sievelark", master: str | None = None, **conf: st
             )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once an application.
+
+    Functions that run there are pickled by reference to their module. Spark serves the archive from the driver, so it needs
+    no shared folder; where the package is installed on all machines this changes nothing.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # else it is imported from an archive that was shipped already
+        archive = Path(tempfile.mkdtemp(prefix="sievelark-")) / "sievelark.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

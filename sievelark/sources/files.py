@@ -76,15 +76,17 @@ def _is_array(spark: SparkSession, path: str) -> bool:
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None,
                  null_tokens: tuple[str, ...] = NULL_TOKENS, encoding: str = "UTF-8",
-                 multi_line: bool = False) -> DataFrame:
+                 multi_line: bool | None = None) -> DataFrame:
     """A frame from files of a known format.
 
-    Give a ``schema`` for repeated jobs: it spares the pass that finds the types. An array
-    of JSON records is read whole per file; JSON lines and Parquet split over tasks.
+    Give a ``schema`` for repeated jobs: it spares the pass that finds the types. A quoted CSV
+    field may hold line breaks, so a CSV file is read whole by one task and many files in
+    parallel; ``multi_line=False`` splits files over tasks, for data without such breaks. An array of
+    JSON records is read whole per file; JSON lines and Parquet split over tasks.
     """
     kind = format_of(path, fmt)
     if kind == "csv":
-        return nan_to_null(_read_csv(spark, path, schema, null_tokens, encoding, multi_line))
+        return nan_to_null(_read_csv(spark, path, schema, null_tokens, encoding, multi_line is not False))
     if kind == "json":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return nan_to_null(reader.option("multiLine", multi_line or _is_array(spark, path)).json(path))
@@ -110,7 +112,8 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
-        writer.options(header=True, quote='"', escape='"').csv(path)
+        writer.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(path)
     elif kind == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:

@@ -7,6 +7,7 @@ recent folders only. Nothing of the data itself is kept here.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -24,18 +25,19 @@ from sievelark.sources.files import read_dataset, write_dataset
 DATASETS = (
     "dataset_id string, name string, path string, format string, total_rows long, total_columns long, "
     "null_percentage double, duplicate_rows long, duplicate_percentage double, is_cleaned boolean, "
-    "quality_score double, created_at timestamp, updated_at timestamp"
+    "quality_score double, read_options string, created_at timestamp, updated_at timestamp"
 )
 _RUN = "run_id string, dataset_id string, created_at timestamp, run_date date, status string, error string, "
 RUNS = {
     "validation": _RUN + quality.SCORES_SCHEMA
     + ", null_percentages map<string,double>, recommendations array<string>",
-    "cleaning": _RUN + "completed_at timestamp, output_path string, cleaned_rows long, removed_duplicates long, "
+    "cleaning": _RUN + "completed_at timestamp, output_path string, table_path string, cleaned_rows long, removed_duplicates long, "
     "filled map<string,long>, had_nulls map<string,long>, normalized_text_columns long, "
     "standardized_dates long, removed_invalid_records long",
     "analytics": _RUN + "sections_path string, sections array<string>, insights array<string>",
 }
 HISTORY_ROWS = 10
+PROCESSING = "processing"
 
 
 def _now() -> datetime:
@@ -63,19 +65,26 @@ class Registry:
         write_dataset(frame.coalesce(1), f"{self.root}/{name}", "parquet", "append", by)
 
     def runs(self, kind: str) -> DataFrame:
-        return self._table(kind, RUNS[kind])
+        """One row a run: its end if it has one, else its start (status ``processing``)."""
+        last = Window.partitionBy("run_id").orderBy(F.col("status") == PROCESSING)
+        rows = self._table(kind, RUNS[kind]).withColumn("__n", F.row_number().over(last))
+        return rows.filter(F.col("__n") == 1).drop("__n")
 
     def append_runs(self, kind: str, rows: list[dict]) -> None:
         self._append(kind, RUNS[kind], rows, ["run_date"])
 
     # --- datasets -------------------------------------------------------------------
 
-    def register(self, name: str, path: str, fmt: str | None = None, describe: bool = True) -> str:
-        """Add a dataset, with the size and gap figures of its profile unless told not to."""
+    def register(self, name: str, path: str, fmt: str | None = None, describe: bool = True, **options) -> str:
+        """Add a dataset, with the size and gap figures of its profile unless told not to.
+
+        ``options`` go to the reader whenever the dataset is loaded (encoding, multi_line, null_tokens, a schema text).
+        """
         row = {"dataset_id": uuid.uuid4().hex, "name": name, "path": path, "format": fmt, "is_cleaned": False,
+               "read_options": json.dumps(options) if options else None,
                "created_at": _now(), "updated_at": _now()}
         if describe:
-            row.update(profile.overview(read_dataset(self.spark, path, fmt)).first().asDict())
+            row.update(profile.overview(read_dataset(self.spark, path, fmt, **options)).first().asDict())
         self._append("datasets", DATASETS, [row])
         return row["dataset_id"]
 
@@ -101,7 +110,7 @@ class Registry:
 
     def load(self, dataset_id: str) -> DataFrame:
         entry = self.dataset(dataset_id)
-        return read_dataset(self.spark, entry["path"], entry["format"])
+        return read_dataset(self.spark, entry["path"], entry["format"], **json.loads(entry["read_options"] or "{}"))
 
     def _update(self, dataset_id: str, **changes) -> None:
         self._append("datasets", DATASETS, [{**self.dataset(dataset_id), **changes, "updated_at": _now()}])
@@ -143,13 +152,13 @@ class Registry:
         now = _now()
         return {"run_id": uuid.uuid4().hex, "dataset_id": dataset_id, "created_at": now, "run_date": now.date()}
 
-    def _attempt(self, dataset_id: str, work: Callable[[dict], dict]) -> dict:
+    def _attempt(self, dataset_id: str, work: Callable[[dict], dict], row: dict | None = None) -> dict:
         """The run row of ``work``; an error becomes the row's status and text."""
-        row = self._started(dataset_id)
+        row = row or self._started(dataset_id)
         try:
             return {**row, **work(row), "status": "completed"}
         except Exception as error:  # the history keeps failed runs as well
-            return {**row, "status": "failed", "error": f"{type(error).__name__}: {error}"[:2000]}
+            return {**row, "status": "failed", "error": f"{type(error).__name__}: {error}"}
 
     def _validation_row(self, dataset_id: str, assigned: quality.Roles | None = None) -> dict:
         def work(_row: dict) -> dict:
@@ -197,17 +206,24 @@ class Registry:
         )
 
     def clean(self, dataset_id: str, rules: cleaning.Rules | None = None, out: str | None = None) -> dict:
-        """Read, clean, write as CSV and record the run."""
+        """Read, clean, write as CSV and record the run.
+
+        The run is on record from its start, so one whose driver is lost leaves a trace. The result is written as
+        Parquet too: that is what later steps read, with the types and texts as they are.
+        """
         def work(row: dict) -> dict:
             cleaned, done = cleaning.apply_rules(self.load(dataset_id), rules)
-            path = write_dataset(cleaned, out or f"{self.root}/cleaned/{row['run_id']}", "csv")
-            return {"output_path": path, "cleaned_rows": done.final_rows, "completed_at": _now(),
+            stored = write_dataset(cleaned, f"{self.root}/cleaned/{row['run_id']}-table", "parquet")
+            path = write_dataset(self.spark.read.parquet(stored), out or f"{self.root}/cleaned/{row['run_id']}", "csv")
+            return {"output_path": path, "table_path": stored, "cleaned_rows": done.final_rows, "completed_at": _now(),
                     "removed_duplicates": done.removed_duplicates, "filled": done.filled,
                     "had_nulls": done.had_nulls, "normalized_text_columns": done.normalized_text_columns,
                     "standardized_dates": done.standardized_dates,
                     "removed_invalid_records": done.removed_invalid_records}
 
-        row = self._attempt(dataset_id, work)
+        row = self._started(dataset_id)
+        self.append_runs("cleaning", [{**row, "status": PROCESSING}])
+        row = self._attempt(dataset_id, work, row)
         self.append_runs("cleaning", [row])
         if row["status"] == "completed":
             self._update(dataset_id, is_cleaned=True)
@@ -217,7 +233,10 @@ class Registry:
         found = self.run("cleaning", run_id).first()
         if found is None or found["status"] != "completed":
             raise ValueError("no completed cleaning run with this id")
-        return read_dataset(self.spark, found["output_path"], "csv")
+        rows = self.spark.read.parquet(found["table_path"])
+        if rows.count() != found["cleaned_rows"]:
+            raise ValueError(f"{found['table_path']} does not hold the {found['cleaned_rows']} rows of the run")
+        return rows
 
     def export_cleaned(self, run_id: str, path: str, fmt: str = "csv") -> str:
         return write_dataset(self.cleaned(run_id), path, fmt)

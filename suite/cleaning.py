@@ -76,8 +76,8 @@ _add("c05_category_inventory", cleaning.category_inventory, f"""
 SELECT k AS "column", v AS value, count(*) AS count FROM v WHERE k IN (SELECT k FROM n) GROUP BY 1, 2""")
 _add("c05_map_categories", lambda d: cleaning.map_categories(d, {
     "category": {"BUILDING": "construction", "building": "construction", " MACHINERY": "machines"},
-    "name": {"Customer#000000001": "never mapped, too many names"}}),
-    f"""SELECT {_with(category="CASE WHEN category IN ('BUILDING', 'building') THEN 'construction' "
+    "name": {"Customer#000000001": "the first of very many names"}}),
+    f"""SELECT {_with(name="CASE WHEN name = 'Customer#000000001' THEN 'the first of very many names' ELSE name END", category="CASE WHEN category IN ('BUILDING', 'building') THEN 'construction' "
                                "WHEN category = ' MACHINERY' THEN 'machines' ELSE category END")} FROM d""")
 _CHAINED = dict(_TEXT, amount="round(coalesce(amount, (SELECT avg(amount) FROM u)), 4)",
                 created_date=_PARSED.replace("created_date", _strip("created_date")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sievelark.functions.predicates import to_number
@@ -130,23 +132,91 @@ _TESTS = ", ".join(
     f"{_SKEW.format(c=c)} AS {c}_skew, {_outlier_share(c)} AS {c}_out" for c in _NUM)
 _PAIRS = [("amount", "cost"), ("amount", "quantity"), ("cost", "quantity")]
 _CORRS = ", ".join(f"round(corr({a}, {b}), 4) AS r_{a}_{b}" for a, b in _PAIRS)
-_LINES = ["concat('Dataset contains ', n, ' rows and 4 columns')"]
+_LINES = ["concat(n, ' rows in 4 columns')"]
 for _c in _NUM:
-    _LINES.append(f"CASE WHEN {_c}_skew > 1 THEN '{_c} shows right skewness - consider transformation' "
-                  f"WHEN {_c}_skew < -1 THEN '{_c} shows left skewness - consider transformation' END")
-    _LINES.append(f"CASE WHEN {_c}_out > 5 THEN format('{_c} contains {{:.1f}}% outliers - review data quality', {_c}_out) END")
+    _LINES.append(f"CASE WHEN {_c}_skew > 1 THEN '{_c}: long tail to the right' "
+                  f"WHEN {_c}_skew < -1 THEN '{_c}: long tail to the left' END")
+    _LINES.append(f"CASE WHEN {_c}_out > 5 THEN format('{_c}: {{:.1f}}% of the rows lie outside the quartile fences', {_c}_out) END")
 _STRONG = " + ".join(f"(abs(r_{a}_{b}) > 0.7)::INT" for a, b in _PAIRS)
-_LINES.append(f"CASE WHEN {_STRONG} > 0 THEN concat('Found ', {_STRONG}, ' strong correlations between variables') END")
+_LINES.append(f"CASE WHEN {_STRONG} > 0 THEN concat('pairs with a strong correlation: ', {_STRONG}) END")
 for _a, _b in _PAIRS:
-    _LINES.append(f"CASE WHEN abs(r_{_a}_{_b}) > 0.7 THEN format('  - {_a} and {_b}: {{:.3f}}', r_{_a}_{_b}) END")
-_LINES.append("'Dataset contains 1 categorical columns'")
+    _LINES.append(f"CASE WHEN abs(r_{_a}_{_b}) > 0.7 THEN format('{_a} with {_b}: r = {{:.3f}}', r_{_a}_{_b}) END")
+_LINES.append("'text columns: 1'")
 _add("e09_insights", _insights, f"""
 WITH {TRANSACTIONS_SQL.strip()}, s AS (SELECT count(*) AS n, {_TESTS}, {_CORRS} FROM t),
 l AS (SELECT unnest(list_filter([{', '.join(_LINES)}], lambda x: x IS NOT NULL)) AS insight FROM s)
 SELECT row_number() OVER () AS position, insight FROM l""")
-_add("e10_dataset_shape", lambda spark, sf: explore.eda_report(table(spark, sf, "part"))["dataset_shape"],
-     """SELECT count(*) AS rows, CAST(6 AS BIGINT) AS columns, CAST(3 AS BIGINT) AS numeric_columns,
-     CAST(3 AS BIGINT) AS categorical_columns FROM part""")
+
+
+def _odd_names(spark, sf):
+    """Columns whose names suggest a role that their type does not have, before ones that have it."""
+    return table(spark, sf, "orders").select(
+        (F.col("o_orderkey") % 7).cast("double").alias("lifetime_value"), (F.col("o_custkey") % 5).cast("int").alias("update_count"),
+        F.to_date("o_orderdate").alias("total_date"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("state"))
+
+
+_ODD = """
+t AS (SELECT CAST(o_orderkey % 7 AS DOUBLE) AS lifetime_value, CAST(o_custkey % 5 AS INTEGER) AS update_count,
+  CAST(o_orderdate AS DATE) AS total_date, o_totalprice AS amount, o_orderstatus AS state FROM orders)"""
+
+
+def _report(spark, sf):
+    """Every section of the report in long form: (section, key, name, value)."""
+    report = explore.eda_report(_odd_names(spark, sf))
+    keys = {"dataset_shape": [], "summary_statistics": ["column"], "correlation_matrix": ["column1", "column2"],
+            "normality": ["column"], "histogram": ["column", "bin"], "categorical_distributions": ["column", "category"],
+            "top_categories": ["column", "category"], "generated_insights": ["position"], "monthly_trend": ["period"],
+            "yearly_trend": ["year"], "errors": ["section", "error"]}
+    parts = []
+    for section, frame in report.items():
+        numbers = [c for c, kind in frame.dtypes if kind in ("bigint", "int", "double") and c not in keys[section]]
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys[section]]) if keys[section] else F.lit("")
+        shown = frame.select(key.alias("key"), *[F.col(c).cast("double") for c in numbers])
+        if section == "generated_insights":
+            parts.append(frame.select(F.lit(section).alias("section"), F.col("insight").alias("key"), F.lit("position").alias("name"),
+                                      F.col("position").cast("double").alias("value")))
+        elif numbers:
+            parts.append(shown.unpivot("key", numbers, "name", "value").select(F.lit(section).alias("section"), "key", "name", "value"))
+        else:
+            parts.append(frame.select(F.lit(section).alias("section"), key.alias("key"), F.lit("").alias("name"), F.lit(None).cast("double").alias("value")))
+    return reduce(lambda a, b: a.unionByName(b), parts).filter(
+        "section NOT IN ('normality', 'generated_insights') AND value IS NOT NULL OR section = 'errors'")
+
+
+def _long(section, key, columns, source):
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {key} AS key, '{name}' AS name, round(CAST({value} AS DOUBLE), 2) + 0 AS value {source}"
+        for name, value in columns)
+
+
+_ODD_NUMBERS = ("lifetime_value", "update_count", "amount")
+_FIGURES = [("count", "count({c})"), ("mean", "avg({c})"), ("median", "median({c})"), ("std", "stddev_samp({c})"), ("min", "min({c})"),
+            ("max", "max({c})"), ("q25", "quantile_cont({c}, 0.25)"), ("q50", "median({c})"), ("q75", "quantile_cont({c}, 0.75)"),
+            ("skewness", _SKEW), ("kurtosis", "kurtosis_pop({c})")]
+_ODD_TREND = [("total", "sum(lifetime_value)"), ("average", "avg(lifetime_value)"), ("count", "count(lifetime_value)")]
+_EDA = [_long("dataset_shape", "''", [("rows", "count(*)"), ("columns", "max(5)"), ("numeric_columns", "max(3)"), ("categorical_columns", "max(1)")], "FROM t")]
+_EDA += [_long("summary_statistics", f"'{c}'", [(n, v.format(c=c)) for n, v in _FIGURES], "FROM t") for c in _ODD_NUMBERS]
+_EDA += [_long("correlation_matrix", f"'{a}|{b}'", [("correlation", f"corr({a}, {b})")], "FROM t") for a in _ODD_NUMBERS for b in _ODD_NUMBERS]
+_EDA += [_long("monthly_trend", "strftime(total_date, '%Y-%m')", _ODD_TREND, "FROM t GROUP BY strftime(total_date, '%Y-%m')"),
+         _long("yearly_trend", "CAST(year(total_date) AS VARCHAR)", _ODD_TREND, "FROM t GROUP BY year(total_date)")]
+_STATES = """FROM (SELECT state, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, state) AS place,
+  (SELECT count(DISTINCT state) FROM t) AS u, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY state) WHERE place <= 10"""
+_EDA += [_long("top_categories", "concat('state|', state)", [("rank", "place"), ("count", "n"), ("percentage", "p")], _STATES),
+         _long("categorical_distributions", "concat('state|', state)", [
+             ("rank", "place"), ("count", "n"), ("percentage", "p"), ("total_unique", "u"), ("missing_count", "0")], _STATES)]
+for _c in _ODD_NUMBERS:
+    _step = f"(SELECT CAST(min({_c}) AS DOUBLE) AS l, (CAST(max({_c}) AS DOUBLE) - min({_c})) / 10 AS w FROM t)"
+    _EDA.append(_long("histogram", f"concat('{_c}|', i + 1)", [("lower", "l + i * w"), ("upper", "l + (i + 1) * w"), ("count", "k")],
+                      f"FROM (SELECT i, any_value(l) AS l, any_value(w) AS w, count({_c}) FILTER (WHERE i = least(9, floor(({_c} - l) / w))) AS k "
+                      f"FROM t, {_step}, (SELECT unnest(range(10)) AS i) GROUP BY i)"))
+QUERIES["e10_report_all_sections"] = lambda spark, sf: rounded(_report(spark, sf), 2, 0.0)
+ORACLES["e10_report_all_sections"] = f"WITH {_ODD.strip()} " + " UNION ALL ".join(_EDA)
+_add("k01_kpis_of_odd_names", lambda spark, sf: kpi.kpis(_odd_names(spark, sf)), f"""WITH {_ODD.strip()},
+m AS (SELECT sum(amount) AS s FROM t GROUP BY date_trunc('month', total_date))
+SELECT count(*) AS total_rows, CAST(5 AS BIGINT) AS total_columns, round(sum(amount), 2) AS total_revenue,
+  round(avg(amount), 2) AS average_transaction_value, round(max(amount), 2) AS max_transaction, round(min(amount), 2) AS min_transaction,
+  min(total_date) AS date_range_start, max(total_date) AS date_range_end,
+  date_diff('day', min(total_date), max(total_date)) AS days_covered, round((SELECT avg(s) FROM m), 2) AS monthly_average_revenue FROM t""", 2)
 _add("e11_column_insight", lambda spark, sf: explore.column_insight(dirty_customers(spark, sf), "amount"), f"""
 WITH {DIRTY_CTE.strip()} SELECT 'amount' AS "column", 'double' AS data_type, count(amount) AS non_null_count,
   count(*) - count(amount) AS null_count, count(DISTINCT amount) AS unique_values, round(avg(amount), 4) AS mean,

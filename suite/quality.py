@@ -198,7 +198,7 @@ s AS (SELECT *, round(100.0::DOUBLE * (n * 10 - nulls) / (n * 10), 2) AS complet
   round(greatest(0, 100 - 100.0::DOUBLE * (emails + phones + dates) / n), 2) AS validity,
   100 - least(100, 100.0::DOUBLE * outliers / n) AS accuracy,
   100 - least(100, 100.0::DOUBLE * least(outliers, 100) / n) AS capped FROM m),
-w AS (SELECT *, round(completeness * 0.25 + uniqueness * 0.15 + consistency * 0.2 + validity * 0.25 + capped * 0.15, 2)
+w AS (SELECT *, round(completeness * 0.25 + uniqueness * 0.15 + consistency * 0.2 + validity * 0.25 + accuracy * 0.15, 2)
   AS overall FROM s)"""
 _dirty("f10_f11_f12_quality_score", quality.quality_score, f"""{_SCORE}
 SELECT overall AS overall_quality_score,
@@ -253,8 +253,7 @@ _dirty("f15_non_negative", lambda d: d.select(
     predicates.is_non_negative(F.col("balance_text")).alias("balance_ok")),
     "SELECT id, coalesce(amount >= 0, false) AS amount_ok, "
     "coalesce(try_cast(balance_text AS DOUBLE) >= 0, false) AS balance_ok FROM d")
-_URL = (r"'(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|"
-        r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$'")
+_URL = "'" + predicates.URL_PATTERN.replace(r"\z", "$") + "'"
 _add("f16_valid_urls", lambda spark, sf: table(spark, sf, "pages").select(
     "page_id", "url", predicates.is_url(F.col("url")).alias("valid")),
     f"SELECT page_id, url, regexp_matches(url, {_URL}) AS valid FROM pages")

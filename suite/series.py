@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelark.operators import anomaly, forecast
 from sievelark.operators.isolation import isolation_forest
+from sievelark.plans.rowid import with_row_index
 from suite.inputs import DAILY_CTE, daily_orders, rounded, table
 
 QUERIES = {}
@@ -66,8 +67,31 @@ def _line_rows(spark, sf):
     return table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-_add("a01_isolation_forest", lambda spark, sf: isolation_forest(_line_rows(spark, sf)).groupBy().agg(
-    F.count(F.lit(1)).alias("anomalies"), F.min("anomaly_score").alias("lowest")))
+def _forest_facts(spark, sf):
+    """What holds for any isolation forest: planted far rows come first, ids are distinct, at most the share asked for is found."""
+    rows = with_row_index(table(spark, sf, "lineitem")).select(
+        "l_orderkey", "row_index", *[F.when(F.col("l_orderkey") % 1000 == 1, F.col(c) * 50 + 1000).otherwise(F.col(c)).alias(c)
+                                        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    ids = ["l_orderkey", "row_index"]
+    found = isolation_forest(rows, ids, contamination=0.05)
+    planted = found.filter("l_orderkey % 1000 = 1").select(*ids, "anomaly_score")
+    least = found.filter("l_orderkey % 1000 <> 1").agg(F.min("anomaly_score")).scalar()
+    marked = planted.withColumn("first", F.col("anomaly_score") < least)
+    return marked.agg(F.count(F.lit(1)).alias("planted_found"), F.count_if("first").alias("before_all_others")).withColumns({
+        "ids_distinct": (found.select(*ids).distinct().agg(F.count(F.lit(1))).scalar() == found.agg(F.count(F.lit(1))).scalar()),
+        "within_share": found.agg(F.count(F.lit(1))).scalar() <= F.ceil(0.05 * rows.agg(F.count(F.lit(1))).scalar())})
+
+
+_add("a01_isolation_forest", _forest_facts, """
+SELECT count(*) AS planted_found, count(*) AS before_all_others, true AS ids_distinct, true AS within_share
+FROM lineitem WHERE l_orderkey % 1000 = 1""")
+_add("a01_isolation_forest_rows", lambda spark, sf: isolation_forest(_line_rows(spark, sf)))
+_add("a04_combined_by_row", lambda spark, sf: anomaly.combined(_events(spark, sf), ["event_id"], columns=["value"]).select(
+    "event_id", F.array_contains("methods", "z_score").alias("far"), F.array_contains("methods", "iqr").alias("outside")).filter(
+        F.col("far") | F.col("outside")), f"""
+SELECT event_id, coalesce(abs(value - m) / p > 3, false) AS far, coalesce({_OUT}, false) AS outside
+FROM events, (SELECT {_STATS} FROM events), (SELECT {_FENCES} FROM events)
+WHERE abs(value - m) / p > 3 OR {_OUT}""")
 _add("a04_combined_detection", lambda spark, sf: anomaly.combined(_events(spark, sf), ["event_id"], columns=["value"])
      .groupBy("method_count").agg(F.count(F.lit(1)).alias("rows")))
 _add("a06_anomaly_records", lambda spark, sf: anomaly.records(
@@ -144,3 +168,39 @@ SELECT day, round(y, 2) AS y, i AS index, {', '.join(f'round(lag(y, {k}) OVER (O
 FROM s""", 2)
 _add("m02_forest_forecast", lambda spark, sf: forecast.forest_forecast(_daily(spark, sf, 7)).forecast)
 _add("m04_combined_forecast", lambda spark, sf: forecast.forecast(daily_orders(spark, sf), "day", "total"))
+_add("m02_forest_steps", lambda spark, sf: forecast.forest_forecast(_daily(spark, sf, 7)).forecast.crossJoin(F.broadcast(
+    daily_orders(spark, sf).agg(F.min("total").alias("low"), F.max("total").alias("high")))).select(
+        "method", "step", "date", F.col("value").between(F.col("low"), F.col("high")).alias("within")),
+    f"""{_INDEXED} SELECT 'random_forest' AS method, step, {_DAY}, true AS within FROM n, steps""")
+
+
+def _ensemble_facts(frame, keys):
+    """The parts SQL can give as they are; the ensemble as difference from the mean of the other methods."""
+    wide = frame.groupBy(*keys, "step", "date").pivot("method", [
+        "linear_regression", "exponential_smoothing", "random_forest", "ensemble"]).agg(F.first("value"))
+    mean = (F.col("linear_regression") + F.col("exponential_smoothing") + F.col("random_forest")) / 3
+    return wide.select(*keys, "step", "date", "linear_regression", "exponential_smoothing",
+                       (F.abs(F.col("ensemble") - mean) < 1e-6).alias("is_mean"))
+
+
+_add("m04_ensemble_parts", lambda spark, sf: _ensemble_facts(forecast.forecast(daily_orders(spark, sf), "day", "total"), []),
+     f"""{_INDEXED}, l AS (SELECT sum(y * CASE WHEN i = 0 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - 1 - i) END) AS level FROM s, n)
+SELECT step, {_DAY}, round(a + b * (n - 1 + step), 2) AS linear_regression, round(level, 2) AS exponential_smoothing, true AS is_mean
+FROM f, n, l, steps""", 2)
+
+
+def _by_type(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total"))
+
+
+_add("m04_ensemble_by_type", lambda spark, sf: _ensemble_facts(
+    forecast.forecast(_by_type(spark, sf), "day", "total", by=["event_type"]), ["event_type"]), """
+WITH g AS (SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value), 2) AS y FROM events GROUP BY 1, 2),
+s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i,
+      count(*) OVER (PARTITION BY event_type) AS n, max(day) OVER (PARTITION BY event_type) AS last FROM g),
+f AS (SELECT event_type, any_value(n) AS n, any_value(last) AS last, regr_slope(y, i) AS b, regr_intercept(y, i) AS a
+      FROM s WHERE i < floor(n * 0.8) GROUP BY 1),
+l AS (SELECT event_type, sum(y * CASE WHEN i = 0 THEN pow(0.7, n - 1) ELSE 0.3 * pow(0.7, n - 1 - i) END) AS level FROM s GROUP BY 1)
+SELECT event_type, step, CAST(last + CAST(step AS INTEGER) AS DATE) AS date, round(a + b * (n - 1 + step), 2) AS linear_regression,
+  round(level, 2) AS exponential_smoothing, true AS is_mean
+FROM f JOIN l USING (event_type), (SELECT unnest(range(1, 13)) AS step)""", 2)

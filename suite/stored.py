@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sievelark.functions import roles
-from sievelark.operators import catalog, kpi
+from sievelark.operators import catalog, cleaning, kpi
 from sievelark.plans.rowid import with_row_index
 from sievelark.plans.shared import shared_dir
 from sievelark.sources import files
 from sievelark.sources.registry import Registry, export_report, paged
+from suite.cleaning import DATE_TRIES
 from suite.inputs import DIRTY_CTE, TRANSACTIONS_SQL, dirty_customers, nudged, rounded, table, transactions
 
 QUERIES = {}
@@ -48,13 +51,16 @@ def _csv_with_gaps(spark, sf):
     """Damaged customers through CSV: gaps stay gaps, the text ``n/a`` is read as one."""
     path = files.write_dataset(dirty_customers(spark, sf), _place(spark, "dirty"), "csv")
     back = files.read_dataset(spark, path, "csv")
-    return rounded(back.select("id", "email", "balance_text", "score_text", "quantity", "amount"), 2, 0.0)
+    return rounded(back.withColumn("phone", F.col("phone").cast("string")), 2, 0.0)
+
+
+_add("s01_csv_line_breaks", _round_trip("documents", "csv"), "SELECT doc_id, text, lang, source, n_chars FROM documents")
 
 
 _add("s01_csv_null_tokens", _csv_with_gaps, f"""WITH {DIRTY_CTE.strip()}
-SELECT id, email, round(try_cast(balance_text AS DOUBLE), 2) AS balance_text,
-  round(CAST(score_text AS DOUBLE), 2) AS score_text, CAST(quantity AS BIGINT) AS quantity, round(amount, 2) AS amount
-FROM d""")
+SELECT id, name, email, CAST(CAST(phone AS BIGINT) AS VARCHAR) AS phone, created_date, category,
+  round(try_cast(balance_text AS DOUBLE), 2) AS balance_text, round(CAST(score_text AS DOUBLE), 2) AS score_text,
+  CAST(quantity AS BIGINT) AS quantity, round(amount, 2) AS amount FROM d""")
 
 
 def _exported(spark, sf):
@@ -85,6 +91,12 @@ def _sql_total(spark, sf):
     return catalog.sql_total(spark, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 
 
+def _sql_all_rows(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return catalog.run_sql(spark, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 5")
+
+
+_add("s09_sql_all_rows", _sql_all_rows, "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey > 5")
 _add("s09_sql_total_rows", _sql_total, "SELECT count(DISTINCT o_custkey) AS total_rows FROM orders")
 _add("t05_page", lambda spark, sf: paged(
     table(spark, sf, "orders").select("o_orderkey", "o_orderdate").withColumn("o_orderdate", F.to_date("o_orderdate")),
@@ -114,6 +126,19 @@ def _chosen(df, wanted):
     return df.select("s_suppkey", *roles.existing(df, wanted, roles.numeric_columns(df)))
 
 
+def _first_in_file_order(spark, sf):
+    """First row of each key in a filtered scan, by its place in the file."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey").filter("o_orderkey % 3 = 0")
+    return cleaning.remove_duplicates(rows, ["o_custkey"], "first")
+
+
+_add("c01_first_in_file_order", _first_in_file_order, """
+WITH f AS (SELECT o_orderkey, o_custkey, row_number() OVER () AS i FROM orders)
+SELECT arg_min(o_orderkey, i) AS o_orderkey, o_custkey FROM f WHERE o_orderkey % 3 = 0 GROUP BY o_custkey""")
+_add("s10_row_index_filtered", lambda spark, sf: with_row_index(
+    table(spark, sf, "customer").select("c_custkey").filter("c_custkey % 7 = 2")), """
+SELECT c_custkey, row_number() OVER (ORDER BY i) - 1 AS row_index
+FROM (SELECT c_custkey, row_number() OVER () AS i FROM customer) WHERE c_custkey % 7 = 2""")
 _add("s10_row_index", lambda spark, sf: with_row_index(table(spark, sf, "customer").select("c_custkey")),
      "SELECT c_custkey, row_number() OVER () - 1 AS row_index FROM customer")
 
@@ -174,10 +199,12 @@ SELECT 'part' AS dataset_name, 100.0::DOUBLE AS completeness, 100.0::DOUBLE AS u
 
 def _portfolio(spark, sf):
     registry, _ = _registry(spark, sf)
-    return rounded(kpi.portfolio(registry.datasets()), 2, 0.0).select("datasets", "validated")
+    scores = [r.quality_score or 0.0 for r in registry.datasets().collect()]
+    found = rounded(kpi.portfolio(registry.datasets()), 2, 0.0)
+    return found.withColumn("average_quality", F.abs(F.col("average_quality") - sum(scores) / len(scores)) < 0.01)
 
 
-_add("k05_portfolio", _portfolio, "SELECT count(*) AS datasets, count(*) - 1 AS validated "
+_add("k05_portfolio", _portfolio, "SELECT count(*) AS datasets, count(*) - 1 AS validated, true AS average_quality "
      "FROM (SELECT DISTINCT k FROM (SELECT 'a' AS k FROM supplier UNION ALL SELECT 'b' FROM part UNION ALL "
      "SELECT 'c' FROM customer))")
 
@@ -189,12 +216,72 @@ def _cleaned(spark, sf):
     dataset = registry.register("dirty", path, "parquet")
     run = registry.clean(dataset)
     out = registry.export_cleaned(run["run_id"], _place(spark, "export"), "json")
-    return rounded(files.read_dataset(spark, out, "json").select("id", "email", "quantity", "amount"), 4, 0.0)
+    back = files.read_dataset(spark, out, "json").withColumn("created_date", F.to_date("created_date"))
+    return rounded(back, 4, 0.0)
+
+
+def _strip(c):
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
 _add("c08_s07_cleaning_run", _cleaned, f"""WITH {DIRTY_CTE.strip()}, u AS (SELECT DISTINCT * FROM d)
-SELECT id, lower(regexp_replace(email, '^\\s+|\\s+$', '', 'g')) AS email, CAST(quantity AS BIGINT) AS quantity,
-  round(coalesce(amount, (SELECT avg(amount) FROM u)), 4) AS amount FROM u""")
+SELECT id, lower({_strip('name')}) AS name, lower({_strip('email')}) AS email, {_strip('phone')} AS phone,
+  CAST(coalesce({DATE_TRIES.format(c=_strip('created_date'))}) AS DATE) AS created_date, {_strip('balance_text')} AS balance_text,
+  {_strip('score_text')} AS score_text, CAST(quantity AS BIGINT) AS quantity,
+  round(coalesce(amount, (SELECT avg(amount) FROM u)), 4) AS amount, lower({_strip('category')}) AS category FROM u""")
+
+
+def _cleaned_documents(spark, sf):
+    """Texts with line breaks through a cleaning run, all columns; what the run stored, what its CSV holds."""
+    registry = Registry(spark, _place(spark, "registry"))
+    dataset = registry.register("documents", f"{sf}/documents.parquet", describe=False)
+    run = registry.clean(dataset)
+    stored, written = registry.cleaned(run["run_id"]), files.read_dataset(spark, run["output_path"], "csv")
+    return stored.withColumn("place", F.lit("table")).unionByName(written.withColumn("place", F.lit("csv")))
+
+
+_add("c08_cleaning_documents", _cleaned_documents, r"""
+WITH u AS (SELECT DISTINCT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, lang, source, n_chars FROM documents)
+SELECT *, 'table' AS place FROM u UNION ALL SELECT *, 'csv' FROM u""")
+
+
+def _stored_lookups(spark, sf):
+    """Search by name, runs by status, history and a run by its id, all through the registry."""
+    registry, ids = _registry(spark, sf)
+    page, total = registry.page(1, 10, search="PAR", order_by="name")
+    runs = registry.history("validation", ids["part"], 1).collect()
+    again = registry.run("validation", runs[0]["run_id"])
+    exported = files.read_dataset(spark, registry.export(ids["supplier"], _place(spark, "export"), "parquet"), "parquet")
+    counts = [(page, "f18_name_search"), (registry.find_runs("validation", dataset_id=ids["part"]), "f23_runs_of_a_dataset"),
+              (registry.history("validation", ids["part"], 1), "t04_history_of_one"), (again, "t10_run_by_id"), (exported, "s06_export")]
+    parts = [frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("lookup"), "rows") for frame, name in counts]
+    shown = reduce(lambda a, b: a.unionByName(b), parts)
+    refused = 0
+    for command in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a = b"):
+        try:
+            catalog.run_sql(spark, command).collect()
+        except Exception:  # any refusal counts
+            refused += 1
+    return shown.unionByName(spark.createDataFrame([("f21_commands_refused", refused), ("f18_total", total)], "lookup string, rows long"))
+
+
+_add("s06_f18_f21_f23_t04_t10_lookups", _stored_lookups, """
+SELECT 'f18_name_search' AS lookup, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'f18_total', 1 UNION ALL
+SELECT 'f23_runs_of_a_dataset', 2 UNION ALL SELECT 't04_history_of_one', 1 UNION ALL SELECT 't10_run_by_id', 1 UNION ALL
+SELECT 'f21_commands_refused', 3 UNION ALL SELECT 's06_export', count(*) FROM supplier""")
+
+
+def _catalog(spark, sf):
+    """How many reports have a name and a definition, how many a search for a column name finds, and the rows of one run by name."""
+    transactions(spark, sf).createOrReplaceTempView("transactions")
+    listed = catalog.listing(spark).filter("text <> ''").agg(F.count(F.lit(1)).alias("reports"))
+    return listed.withColumns({
+        "with_region_sales": F.lit(len([n for n in catalog.search("avg_sale", in_text=True) if n.startswith("sales_by_")])).cast("long"),
+        "regions": catalog.run(spark, "sales_by_region").agg(F.count(F.lit(1))).scalar()})
+
+
+_add("catalog_names_and_texts", _catalog, f"""WITH {TRANSACTIONS_SQL.strip()}
+SELECT CAST(29 AS BIGINT) AS reports, CAST(2 AS BIGINT) AS with_region_sales, count(DISTINCT region) AS regions FROM t""")
 
 
 def _analysis(spark, sf):
@@ -202,10 +289,10 @@ def _analysis(spark, sf):
     dataset = registry.register("lineitem", f"{sf}/lineitem.parquet", describe=False)
     registry.analyse(dataset)
     lines = registry.latest_insights(dataset)
-    return spark.createDataFrame([(t,) for t in lines if t.startswith("Dataset")], "insight string")
+    return spark.createDataFrame([(t,) for t in lines if t.startswith("text columns") or " rows in " in t], "insight string")
 
 
 _add("e13_t04_stored_insights", _analysis, """
-SELECT concat('Dataset contains ', count(*), ' rows and 11 columns') AS insight FROM lineitem
-UNION ALL SELECT concat('Dataset contains ', count(DISTINCT k), ' categorical columns') FROM
+SELECT concat(count(*), ' rows in 11 columns') AS insight FROM lineitem
+UNION ALL SELECT concat('text columns: ', count(DISTINCT k)) FROM
   (SELECT unnest(['l_returnflag', 'l_linestatus']) AS k FROM lineitem)""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import os
 import math
 import sys
 import time
@@ -71,7 +72,7 @@ def main(parts: list[str], sf_dir: str = "/root/testdata/sf0.01") -> int:
 
     from sievelark.session import build_session
 
-    spark = build_session("compare", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
+    spark = build_session("compare", os.environ.get("COMPARE_MASTER", "local[8]"), spark__sql__shuffle__partitions="8", spark__driver__memory="8g",
                           spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     db, oracles, bad = connect(sf_dir), registered.oracle_sql(), 0

@@ -89,7 +89,8 @@ def test_categories(spark):
     mapped = cleaning.map_categories(df, {"status": {"Active": "on"}, "other": {"a": "b"}})
     assert sorted(r.status for r in mapped.collect()) == ["Inactive", "on", "on", "pending"]
     many = frame(spark, "s string", *[(str(i),) for i in range(120)])
-    assert cleaning.map_categories(many, {"s": {"1": "x"}}).filter("s = 'x'").count() == 0
+    assert cleaning.map_categories(many, {"s": {"1": "x"}}).filter("s = 'x'").count() == 1
+    assert cleaning.category_inventory(many).count() == 0 and cleaning.category_inventory(many, 121).count() == 120
 
 
 def test_chain(spark):

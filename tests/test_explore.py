@@ -92,9 +92,9 @@ def test_insights_and_report(spark):
     rows = [(i, float(i * 3), rng.choice("xyz"), "2024-01-%02d" % (1 + i % 28)) for i in range(100)]
     df = frame(spark, "id int, amount double, category string, date string", *rows)
     lines = explore.insight_lines(df)
-    assert lines[0] == "Dataset contains 100 rows and 4 columns"
-    assert "Found 1 strong correlations between variables" in lines and "  - amount and id: 1.000" in lines
-    assert lines[-1] == "Dataset contains 2 categorical columns"
+    assert lines[0] == "100 rows in 4 columns"
+    assert "pairs with a strong correlation: 1" in lines and "amount with id: r = 1.000" in lines
+    assert lines[-1] == "text columns: 2"
     report = explore.eda_report(df)
     assert report["dataset_shape"].first() == (100, 4, 2, 2) and report["monthly_trend"].count() == 1
 

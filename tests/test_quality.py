@@ -121,11 +121,12 @@ def test_empty_frame(spark):
     assert row.null_percentage == 0.0 and row.duplicate_percentage == 0.0
 
 
-def test_score_counts_outliers_up_to_the_limit():
+def test_score_counts_all_outliers():
     m = quality.Measures(rows=1000, columns=1, nulls={"x": 0}, known={"x": 1000}, outliers=250)
     s = quality.score(m)
     assert s.accuracy == 75.0 and s.accuracy_capped == 90.0
-    assert s.overall_quality_score == round(85 + 90 * 0.15, 2)
+    assert s.overall_quality_score == round(85 + 75 * 0.15, 2)
+    assert quality.score(m, outlier_cap=50).accuracy_capped == 95.0
 
 
 def test_rule_filter(spark):

