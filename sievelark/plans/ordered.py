@@ -15,6 +15,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelark.plans.joins import null_safe_join
 from sievelark.plans.shared import write_shared
@@ -25,6 +26,7 @@ GROUP_ROWS = 4_000_000
 BROADCAST_ROWS = 500_000
 """Most slices whose summary is sent to all tasks; more are joined by a shuffle."""
 
+_NARROW = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 POSITION = "__position"
 BLOCK = "__block"
 HOME = "__home"
@@ -172,11 +174,12 @@ def _with_prefix(rows: Ordered, df: DataFrame, summary: list[Column], prefix: li
     """Join what the earlier blocks of the same key add up to.
 
     A first block has nothing before it, so the joined table has a row per further block of
-    a large group: its size is the number of rows over ``group_rows``.
+    a large group: its size is the number of rows over ``group_rows``. It is broadcast if all its
+    columns have values of a few bytes; texts may be of any length.
     """
     blocks = df.groupBy(*rows.keys, BLOCK).agg(*summary)
     blocks = blocks.select(*rows.keys, BLOCK, *prefix).filter(F.col(BLOCK) > 0)
-    if rows.blocks <= BROADCAST_ROWS:
+    if rows.blocks <= BROADCAST_ROWS and all(isinstance(f.dataType, _NARROW) for f in blocks.schema):
         blocks = F.broadcast(blocks)
     return null_safe_join(df, blocks, [*rows.keys, BLOCK], "left")
 

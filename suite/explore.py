@@ -207,7 +207,7 @@ _EDA += [_long("top_categories", "concat('state|', state)", [("rank", "place"),
 for _c in _ODD_NUMBERS:
     _step = f"(SELECT CAST(min({_c}) AS DOUBLE) AS l, (CAST(max({_c}) AS DOUBLE) - min({_c})) / 10 AS w FROM t)"
     _EDA.append(_long("histogram", f"concat('{_c}|', i + 1)", [("lower", "l + i * w"), ("upper", "l + (i + 1) * w"), ("count", "k")],
-                      f"FROM (SELECT i, any_value(l) AS l, any_value(w) AS w, count({_c}) FILTER (WHERE i = least(9, floor(({_c} - l) / w))) AS k "
+                      f"FROM (SELECT i, any_value(l) AS l, any_value(w) AS w, count({_c}) FILTER (WHERE i = greatest(0, ceil(({_c} - l) / w) - 1)) AS k "
                       f"FROM t, {_step}, (SELECT unnest(range(10)) AS i) GROUP BY i)"))
 QUERIES["e10_report_all_sections"] = lambda spark, sf: rounded(_report(spark, sf), 2, 0.0)
 ORACLES["e10_report_all_sections"] = f"WITH {_ODD.strip()} " + " UNION ALL ".join(_EDA)
