@@ -88,6 +88,12 @@ def _shingles(table: str, key: str) -> str:
 
 
 ORACLES = {
+    # The given conversations quote nothing; this is what the operator gives then. Quotes are tested in tests/llm.
+    "op3_quote_links": r"""
+      SELECT conv_id, turn, role, text, CAST(NULL AS BIGINT) AS reply_to, turn AS thread, CAST(0 AS INTEGER) AS depth,
+        CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
+        concat('<|', coalesce(role, 'unknown'), '|>', chr(10), coalesce(text, ''), chr(10), '<|end|>') AS formatted
+      FROM conversations WHERE (SELECT count(*) FROM conversations WHERE regexp_matches(text, '(^|\n)[ \t]*>')) = 0""",
     "op9_jaccard_classes": f"""
       WITH RECURSIVE s AS ({_shingles("documents", "doc_id")}),
       n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
