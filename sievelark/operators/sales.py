@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from sievelark.functions.predicates import to_number
 from sievelark.functions.statistics import percent
-from sievelark.plans.joins import null_safe_join
-from sievelark.plans.ordered import GROUP_ROWS, ordered, running_sum
+from sievelark.plans.ordered import BLOCK, BROADCAST_ROWS, GROUP_ROWS, POSITION, ordered, running_sum
 from sievelark.plans.quantiles import QUANTILE_ROWS, quantiles
+from sievelark.plans.shared import write_shared
 
 # Limits of the customer, revenue and frequency classes.
 SEGMENTS = ((5000, "Premium"), (1000, "Gold"), (100, "Silver"))
@@ -340,13 +340,28 @@ def sales_rank_by_customer(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFr
             "quartile": F.ntile(4).over(customer.orderBy(*by_value)).cast("long"),
         }).select(*shown)
     second = ordered(numbered, ["customer_id"], by_value, group_rows=group_rows)
-    placed = second.finish(second.df.withColumn("place", second.row_number()))
-    peers = placed.groupBy("customer_id", "value").agg(F.max("place").alias("last"), _count().alias("n"))
-    sizes = peers.groupBy("customer_id").agg(F.sum("n").alias("size"))
-    joined = null_safe_join(placed, peers.drop("n"), ["customer_id", "value"], "inner").join(sizes, "customer_id")
-    return joined.withColumns({
-        "amount_rank": F.col("size") - F.col("last") + 1,
-        "quartile": _ntile(4, F.col("place"), F.col("size")),
+    if not second.split:
+        return second.df.withColumns({
+            "amount_rank": F.rank().over(customer.orderBy(F.desc("value"))).cast("long"),
+            "quartile": F.ntile(4).over(customer.orderBy(*by_value)).cast("long"),
+        }).select(*shown)
+    block = Window.partitionBy("customer_id", BLOCK)
+    placed = second.df.withColumns({"place": second.row_number(), "rows_here": _count().over(block)}).withColumn(
+        "last_here", F.max("place").over(Window.partitionBy("customer_id", BLOCK, "value")))
+    # Equal amounts go on in another block only at the edges of one, so a row a block tells where they end,
+    # and the largest place is the size of a split customer.
+    edges = placed.filter(F.col(POSITION).isNotNull()).groupBy("customer_id", BLOCK).agg(
+        F.min(F.struct("value", "last_here")).alias("low"), F.max(F.struct("value", "last_here")).alias("high"))
+    edges = write_shared(edges.select("customer_id", F.explode(F.array("low", "high")).alias("edge")).select("customer_id", "edge.*"), "edges")
+    ends = edges.groupBy("customer_id", "value").agg(F.max("last_here").alias("last"))
+    sizes = edges.groupBy("customer_id").agg(F.max("last_here").alias("size"))
+    if second.blocks <= BROADCAST_ROWS:
+        ends, sizes = F.broadcast(ends), F.broadcast(sizes)
+    joined = placed.join(ends, ["customer_id", "value"], "left").join(sizes, "customer_id", "left")
+    size = F.coalesce("size", "rows_here")
+    return second.finish(joined).withColumns({
+        "amount_rank": size - F.coalesce("last", "last_here") + 1,
+        "quartile": _ntile(4, F.col("place"), size),
     }).select(*shown)
 
 
