@@ -36,8 +36,8 @@ BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.99
 GROUP_CHARS = 1_000_000
-MOST_CACHED = 400_000
-"""Distinct words whose ids a task remembers."""
+MOST_CACHED = 1_000_000
+"""Distinct pieces whose ids a worker process remembers, some 200 bytes each."""
 
 _HEADER = struct.Struct("<IHHB")
 SEGMENTS = ("shard int, segment int, start long, n_ids long, docs array<struct<doc_id: long, n_tokens: long>>, "
@@ -94,6 +94,7 @@ class Encoder:
     """
 
     _CUT = re.compile(" (?=[!-~¡-ɏ])")
+    _OTHER = re.compile(" (?![!-~¡-ɏ])")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,6 +125,10 @@ class Encoder:
             self.known[piece] = raw[low:high]
             low = high
 
+    def _pieces(self, text: str) -> list[str]:
+        """The first piece as it is, the others without the space before them."""
+        return self._CUT.split(text) if self._OTHER.search(text) else text.split(" ")
+
     def encode(self, values: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_piece:
@@ -131,7 +136,7 @@ class Encoder:
         if len(self.known) > MOST_CACHED:
             self.known.clear()
         plain = [not any(s in v for s in self.special) for v in values]
-        cut = [self._CUT.split(v) if p else [v] for v, p in zip(values, plain, strict=True)]
+        cut = [self._pieces(v) if p else [v] for v, p in zip(values, plain, strict=True)]
         seen: set[str] = set()
         for pieces in cut:
             seen.update(pieces[1:])
