@@ -1,14 +1,15 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of ``WINDOW_WORDS``
-words is compressed with each; it is suspect if the toxic dictionary makes it shorter. Both dictionaries share one
-large part and the entropy tables, trained on ordinary text, so that the two lengths differ only by what the small own
-parts hold. Suspect windows are compressed once more, four words at a time and with a thorough search; the largest
-difference there is the window's margin.
-
-Most words of a toxic text are ordinary. The toxic dictionary is therefore trained on the passages that set the two
-classes apart: words whose presence has the largest log-likelihood ratio with the label. The score is a logistic
-function of the margins of a text, fitted on a bounded sample of labelled rows.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of ``WINDOW_WORDS`` words,
+overlapping the next by half, is compressed with each; it is suspect if the toxic dictionary makes it shorter. Both
+dictionaries share one large part and the entropy tables, trained on ordinary text, so that the two lengths differ only
+by what the small own parts hold. Suspect windows are compressed once more, four words at a time and with a thorough
+search; the largest difference there is the window's margin.
+
+Most words of a toxic text are ordinary, and dictionaries of its whole windows or of the neighbours of its marked words
+separate the classes worse. The toxic dictionary is therefore trained on single words, on all whose presence goes
+with the label at the significance ``FALSE_SHARE``, in whatever language. The threshold of a strong margin and the
+score, a logistic function of the margins of a text, are fitted on labelled rows that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -35,14 +36,19 @@ ORDINARY_ROWS = 4000
 WINDOW_WORDS = 8
 FINE_WORDS = 4
 SUSPECT = 1
-STRONG = 3
+STRONGEST = 8
+"""The margin that makes a window strong is chosen from 1 to this one."""
+
 LEVEL = 5
 BASE_BYTES = 32_768
 OWN_BYTES = 4096
 BASE_WINDOWS = 30_000
 MOST_WORDS = 1000
-RATIO = 0.2
-"""A word is characteristic if its log-likelihood ratio reaches this share of the largest one."""
+FALSE_SHARE = 0.01
+"""Share of chance findings among the characteristic words (Benjamini and Hochberg)."""
+
+FOLDS = 3
+"""One of so many parts of the labelled sample calibrates; the others train the dictionaries."""
 
 THRESHOLD = 0.3
 
@@ -67,13 +73,13 @@ def _trained(size: int, samples: list[bytes], **options) -> tuple[bytes, bytes]:
 
 
 def _own_part(samples: list[bytes], size: int) -> bytes:
-    """Trained content, in front of it the samples the trainer left out, rarest first."""
+    """Trained content, in front of it all samples the trainer left out, rarest first."""
     try:
         content = _trained(1024 + size, samples, k=32, d=6)[1]
     except (zstandard.ZstdError, ValueError):  # too few different samples to train on
         content = b""
     for sample, _ in sorted(Counter(samples).items(), key=lambda s: (-s[1], s[0])):
-        if sample.strip() not in content and len(content) < size:
+        if sample not in content:
             content = sample + content
     return content
 
@@ -97,7 +103,7 @@ class Distance:
         """The margins of all windows that are suspect."""
         ordinary, toxic = self.fast[0].compress, self.fast[1].compress
         found = []
-        for at in range(0, len(words), WINDOW_WORDS):
+        for at in range(0, len(words), WINDOW_WORDS // 2):  # half over the next: what saves no byte in one may in the other
             window = words[at : at + WINDOW_WORDS]
             data = _packed(window)
             if len(ordinary(data)) - len(toxic(data)) >= SUSPECT:
@@ -108,12 +114,18 @@ class Distance:
         data = _packed(words)
         return len(self.fine[0].compress(data)) - len(self.fine[1].compress(data))
 
-    def features(self, text: str | None) -> tuple[float, ...]:
+    def measures(self, text: str | None) -> list[float]:
+        """The two largest margins, the number of windows, and how many windows reach each threshold."""
         words = words_of(text)
         top = sorted(self.margins(words), reverse=True) + [0, 0]
-        strong = sum(m >= STRONG for m in top)
-        return (max(top[0], 0), max(top[1], 0), math.log1p(strong), math.log1p(len(words) / WINDOW_WORDS),
-                float(top[0] >= STRONG))
+        return [max(top[0], 0), max(top[1], 0), len(words) / WINDOW_WORDS, *(sum(m >= k for m in top) for k in range(1, STRONGEST + 1))]
+
+
+def features(measures: np.ndarray, strong: int) -> np.ndarray:
+    """Of each text: both margins, strong windows, windows, whether one is strong, and the share of strong ones."""
+    measures = measures.reshape(-1, 3 + STRONGEST)
+    windows, hits = measures[:, 2], measures[:, 2 + strong]
+    return np.column_stack([measures[:, :2], np.log1p(hits), np.log1p(windows), measures[:, 0] >= strong, hits / (windows + 4)])
 
 
 @dataclass
@@ -121,9 +133,10 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: np.ndarray  # of the features, then the constant
+    strong: int
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
+    def score(self, measures: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features(measures, self.strong) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -142,14 +155,14 @@ def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, st
 
 
 def _scores(docs: DataFrame, distance: tuple[bytes, bytes], text: str, out: str) -> DataFrame:
-    """``docs`` with the features of each text as an array ``out``."""
+    """``docs`` with the measures of each text as an array ``out``."""
     sent = docs.sparkSession.sparkContext.broadcast(distance)
 
     @F.arrow_udf("array<double>")
     def measured(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Distance(*sent.value)
         for column in columns:
-            yield pa.array([own.features(t) for t in column.to_pylist()], pa.list_(pa.float64()))
+            yield pa.array([own.measures(t) for t in column.to_pylist()], pa.list_(pa.float64()))
 
     return docs.withColumn(out, measured(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
@@ -173,11 +186,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_
 
 
 def characteristic_words(sample: DataFrame) -> list[tuple[str, int]]:
-    """Words whose presence goes with the toxic label, with their numbers of toxic texts."""
+    """Words whose presence goes with the toxic label, with their numbers of toxic texts.
+
+    The log-likelihood ratio of a word is tested against chi-square with one degree of freedom; the words admitted are the
+    most for which ``FALSE_SHARE`` of them is no less than what chance would give among all words.
+    """
     tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     sizes = sample.groupBy().agg(F.sum("toxic").alias("nt"), F.sum(1 - F.col("toxic")).alias("no"))
-    seen = sample.select("toxic", F.explode(tokens).alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    seen = write_shared(sample.select("toxic", F.explode(tokens).alias("word")).groupBy("word").agg(
+        F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")), "words")
+    tested = seen.count()
     n = sizes.first()
     nt, no = float(n.nt), float(n.no)
 
@@ -188,18 +206,42 @@ def characteristic_words(sample: DataFrame) -> list[tuple[str, int]]:
     ratio = part(a, nt, a + b) + part(b, no, a + b) + part(nt - a, nt, nt + no - a - b) + part(no - b, no, nt + no - a - b)
     ranked = seen.filter(a / nt > b / no).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "word").limit(MOST_WORDS)
     found = ranked.collect()
-    return [(r.word, r.a) for r in found if r.ratio >= RATIO * found[0].ratio]
+    chance = [math.erfc(math.sqrt(max(r.ratio, 0) / 2)) * tested for r in found]
+    admitted = max((k for k, p in enumerate(chance, 1) if p <= FALSE_SHARE * k), default=0)
+    return [(r.word, r.a) for r in found[:admitted]]
+
+
+def calibrated(measures: np.ndarray, labels: np.ndarray) -> tuple[int, np.ndarray]:
+    """The threshold of a strong margin with the least log loss, and the weights of its features."""
+    best = None
+    for strong in range(1, STRONGEST + 1):
+        x = features(measures, strong)
+        weights = logistic(x, labels)
+        p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+        loss = -np.mean(np.log(np.where(labels == 1, p, 1 - p)))
+        if best is None or loss < best[0] - 1e-9:
+            best = loss, strong, weights
+    return best[1:]
+
+
+def _folds(sample: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that train the dictionaries and those that calibrate; all rows for both where a part lacks a class."""
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(FOLDS)) == 0
+    parts = sample.filter(~fold), sample.filter(fold)
+    kinds = {(r.fold, r.toxic) for r in sample.select(fold.alias("fold"), "toxic").distinct().collect()}
+    return parts if len(kinds) == 4 else (sample, sample)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 2, **options) -> Model | None:
-    """Dictionaries and threshold from a bounded sample of the labelled rows; None if a class is missing.
+    """Dictionaries, threshold and weights from a bounded sample of the labelled rows; None if a class is missing.
 
-    What reaches the driver is bounded: ``MOST_WORDS`` words, ``BASE_WINDOWS`` windows and five figures a sampled row.
+    What reaches the driver is bounded: ``MOST_WORDS`` words, ``BASE_WINDOWS`` windows and eleven figures a sampled row.
     """
     sample = sample_labelled(docs, labels, text, seed=seed, **options)
     if sample is None or not {r.toxic for r in sample.select("toxic").distinct().collect()} >= {0, 1}:
         return None
-    marked = characteristic_words(sample)
+    learned, tested = _folds(sample, seed)
+    marked = characteristic_words(learned)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 2, *
                        for k in range(0, len(w), WINDOW_WORDS)]
             yield pa.RecordBatch.from_arrays([pa.array([" ".join(w) for w in windows], pa.string())], names=["window"])
 
-    windows = write_shared(sample.filter("toxic = 0").select("text").mapInArrow(cut, "window string"), "windows")
+    windows = write_shared(learned.filter("toxic = 0").select("text").mapInArrow(cut, "window string"), "windows")
     total = max(1, windows.count())
     share = F.pmod(F.xxhash64(F.lit(seed), "window"), F.lit(1 << 40)) / float(1 << 40)
     chosen = sorted(r.window for r in windows.filter(share < BASE_WINDOWS / total).limit(2 * BASE_WINDOWS).collect())
@@ -226,10 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", seed: int = 2, *
     other = _own_part(ordinary[: max(64, 4 * len(set(toxic)))], len(own))[-len(own) :] if own else b""
     other = (b" " * len(own) + other)[-len(own) :] if own else b""
     pair = tables + shared + own, tables + shared + other
-    rows = _scores(sample, pair, "text", "features").select("doc_id", "toxic", "features").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.features))
-    weights = logistic(np.array([r.features for r in rows]), np.array([r.toxic for r in rows], dtype=float))
-    return Model(*pair, weights)
+    rows = _scores(tested, pair, "text", "measures").select("doc_id", "toxic", "measures").collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id, r.measures))
+    strong, weights = calibrated(np.array([r.measures for r in rows]), np.array([r.toxic for r in rows], dtype=float))
+    return Model(*pair, weights, strong)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "toxicity") -> DataFrame:
@@ -247,7 +289,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = "
         model = sent.value
         own = Distance(model.toxic, model.ordinary)
         for column in columns:
-            features = np.array([own.features(t) for t in column.to_pylist()]).reshape(len(column), -1)
-            yield pa.array(model.score(features) if len(column) else np.zeros(0))
+            yield pa.array(model.score(np.array([own.measures(t) for t in column.to_pylist()])) if len(column) else np.zeros(0))
 
     return docs.withColumn(out, scored(F.coalesce(F.col(text).cast("string"), F.lit(""))))

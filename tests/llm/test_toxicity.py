@@ -65,3 +65,18 @@ def test_tiny_sample(spark):
     docs = documents(spark, [(1, "you vermin", "en", "s"), (2, "a fine day", "en", "s")])
     model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"))
     assert toxicity.score(docs.filter(F.col("doc_id") > 0), model).count() == 2
+
+
+def test_rare_words_of_another_language_count(spark):
+    rng, stems = random.Random(4), [f"schimpf{c}" for c in "abcdefghij"]
+    rows, labels = labelled(4)
+    for n in range(1000, 1300):
+        words = [rng.choice(["haus", "baum", "strasse", "wasser", "himmel", "abend", "morgen"]) for _ in range(60)]
+        if n % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(stems)
+        rows.append((n, " ".join(words), "de", "s"))
+        labels.append((n, int(n % 4 == 0)))
+    sample = documents(spark, rows).join(spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id").select("doc_id", "toxic", "text")
+    assert {w for w, _ in toxicity.characteristic_words(sample)} == {*BAD, *stems}
+    learned, tested = toxicity._folds(sample, 2)
+    assert learned.count() + tested.count() == len(labels) and learned.join(tested, "doc_id").count() == 0
