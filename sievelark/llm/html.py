@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Names of the HTML standard, and words that sites use in class and id.
@@ -21,6 +22,8 @@ MARKED = frozenset(
     "toolbar masthead footer header complementary contentinfo search".split())
 REMARKS = frozenset("comment comments replies respond disqus".split())
 WHOLE = frozenset("html body main article".split())
+NEGATIONS = frozenset("has no not non with without hide show is".split())
+LAYOUT = frozenset("area fixed sticky results result layout enabled disabled open closed visible hidden active inactive on off".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -42,9 +45,14 @@ class Block:
 
 
 def _marks(attributes: str) -> set[str]:
+    """Class and id values, and the first and last part of those without a negation in front or a layout word behind."""
     found: set[str] = set()
     for kind, *values in _ATTRIBUTE.findall(attributes):
-        found.update(_PART.split("".join(values).lower()))
+        for value in "".join(values).lower().split():
+            found.add(value)
+            parts = [p for p in _PART.split(value) if p]
+            if parts and parts[0] not in NEGATIONS and parts[-1] not in LAYOUT:
+                found.update((parts[0], parts[-1]))
     return found
 
 
@@ -53,10 +61,16 @@ def blocks(page: str | None) -> list[Block]:
 
     Scripts, styles, comments and the head are no text. Tags may be left open: a block element ends an open
     paragraph, and an end tag closes everything opened since its start tag; one without start tag is ignored.
+    A class or id that marks furniture does not count for an article or main element inside, nor where it holds more than half of
+    the text and, if there are articles, more blocks than these; marks of reader comments always count, since comments are
+    often longer than the page.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, article, furniture
+    stack: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []  # name, silent, article, furniture, numbers of open marks
     silent = article = furniture = False
+    marked: tuple[int, ...] = ()
+    within: list[tuple[int, ...]] = []  # the open marks of each block
+    held: list[int] = []  # the characters of each mark
     parts: list[str] = []
 
     def flush() -> None:
@@ -65,6 +79,10 @@ def blocks(page: str | None) -> list[Block]:
             parts.clear()
             if text and not silent:
                 found.append(Block(text, article, furniture))
+                within.append(marked)
+                if not furniture:
+                    for n in marked:
+                        held[n] += len(text)
 
     at = 0
     page = page or ""
@@ -86,14 +104,14 @@ def blocks(page: str | None) -> list[Block]:
                 if stack[depth][0] == name:
                     if not block and name in SILENT:
                         flush()
-                    _, silent, article, furniture = stack[depth]
+                    _, silent, article, furniture, marked = stack[depth]
                     del stack[depth:]
                     break
             continue
         if name in VOID:
             continue
         if block and stack and stack[-1][0] == "p":
-            _, silent, article, furniture = stack.pop()
+            _, silent, article, furniture, marked = stack.pop()
         if not block and name not in SILENT:
             continue  # inline elements change nothing
         if name in SILENT:
@@ -101,17 +119,27 @@ def blocks(page: str | None) -> list[Block]:
         attributes = tag["attributes"] or ""
         if attributes.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, silent, article, furniture))
+        stack.append((name, silent, article, furniture, marked))
         silent = silent or name in SILENT
         marks = _marks(attributes) if attributes else set()
         if name in ("article", "main") or attributes and _MAIN.search(attributes):
             article = article or not furniture
             furniture = furniture or bool(marks & REMARKS)
+            marked = ()
         elif name in FURNITURE:
             furniture = furniture or not (article and name == "header")
         elif marks and name not in WHOLE:
-            furniture = furniture or bool(marks & (MARKED - {"header"} if article else MARKED))
+            if marks & REMARKS:
+                furniture = True
+            elif marks & (MARKED - {"header"} if article else MARKED):
+                marked = (*marked, len(held))
+                held.append(0)
     if at < len(page) and not silent:
         parts.append(page[at:])
     flush()
+    total = sum(len(b.text) for b in found if not b.furniture)
+    articles = sum(b.article and not b.furniture for b in found)
+    lines = Counter(n for marks, b in zip(within, found) for n in marks if not b.furniture)
+    for block, marks in zip(found, within):
+        block.furniture = block.furniture or any(2 * held[n] <= total or lines[n] <= articles for n in marks)
     return found

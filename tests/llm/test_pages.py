@@ -95,3 +95,18 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert len(places) == longest(a, b) == len(set(places)) and all(any(x == a[p] for x in rest) for p in places)
     many = list(range(20_000))
     assert pages.common_lines(many, many[::2]) == many[::2]
+
+
+def test_layout_names_are_no_furniture():
+    for name in ("content has-sidebar", "no-sidebar", "with-ads", "widget-area", "search-results", "header-fixed"):
+        page = f"<nav>m</nav><div class='{name}'><p>The text</p></div><p>and a much longer line behind it</p>"
+        assert text_of(page) == "The text\n\nand a much longer line behind it", name
+        assert text_of(page.replace("class", "id")) == text_of(page), name
+    for name in ("sidebar", "site-footer", "cookie-notice", "box ad", "menu_left"):
+        assert text_of(f"<div class='{name}'>x</div><p>text</p>") == "text", name
+
+
+def test_marks_do_not_discard_the_body():
+    assert text_of("<div class='sidebar'><p>m</p><article><p>Body</p></article></div><p>longer line outside of all that</p>").startswith("Body")
+    assert text_of("<div class=widget><p>The whole page lies here.</p></div><p>short</p>") == "The whole page lies here.\n\nshort"
+    assert text_of("<p>short</p><div id=comments><article><p>A much longer comment</p></article></div>") == "short"
