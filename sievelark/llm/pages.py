@@ -4,8 +4,9 @@ Within each host pages are ordered by URL path; a page is compared with the neig
 beginning. Their text lines (blocks) are aligned by a longest common subsequence, and the lines they share are deleted as the
 furniture of the site. Three rules keep that right:
 
-* Lines inside an article or main element are content even if a neighbour has them too (articles are copied and share
-  passages), and if a page has such an element, what lies outside is not content.
+* Lines inside article or main elements are content even if a neighbour has them too (articles are copied and share
+  passages), where these elements hold most of the page's unshared text. Where they do not, as on a page of teasers
+  beside a plain body, and for lines outside them differencing decides.
 * Menus, headers, footers, sidebars, notices, adverts, forms and comments that say so by element, class or id are deleted
   also where the neighbours' differ.
 * A neighbour that shares ``COPY`` or more of a page's characters is a copy of the page and proves nothing; the page is
@@ -102,8 +103,10 @@ def deletions(lines: list[int], sizes: list[int], path: str, neighbours: list[tu
 
 def main_text(found: list[Block], deleted: set[int]) -> str:
     """The blocks that are content, joined by empty lines."""
-    inside = any(b.article and not b.furniture for b in found)
-    return "\n\n".join(b.text for n, b in enumerate(found) if not b.furniture and (b.article if inside else n not in deleted))
+    left = [(n, b) for n, b in enumerate(found) if not b.furniture]
+    inside = sum(len(b.text) for _, b in left if b.article)
+    body = inside > sum(len(b.text) for n, b in left if not b.article and n not in deleted)
+    return "\n\n".join(b.text for n, b in left if n not in deleted or body and b.article)
 
 
 def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
@@ -113,7 +116,7 @@ def _keyed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """key, host, path, and for each line of a page its hash, its length and whether only differencing can delete it."""
+    """key, host, path, and for each line of a page its hash, its length and whether differencing decides any."""
     parts = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^#]*)", 1)
     path = F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?([^/?#]*)([^#]*)", 2)
     placed = pages.select("key", F.coalesce(F.lower(parts), F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), "html")
@@ -123,10 +126,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
             hashes, sizes, open_lines = [], [], []
             for page in batch.column(3).to_pylist():
                 found = blocks(page)
-                inside = any(b.article and not b.furniture for b in found)
                 hashes.append([_hash(b.text) for b in found])
                 sizes.append([len(b.text) for b in found])
-                open_lines.append(not inside)
+                open_lines.append(any(not b.furniture and not b.article for b in found))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(open_lines, pa.bool_())],
                 names=["key", "host", "path", "lines", "sizes", "open"])

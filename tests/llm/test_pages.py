@@ -110,3 +110,17 @@ def test_marks_do_not_discard_the_body():
     assert text_of("<div class='sidebar'><p>m</p><article><p>Body</p></article></div><p>longer line outside of all that</p>").startswith("Body")
     assert text_of("<div class=widget><p>The whole page lies here.</p></div><p>short</p>") == "The whole page lies here.\n\nshort"
     assert text_of("<p>short</p><div id=comments><article><p>A much longer comment</p></article></div>") == "short"
+
+
+def test_body_beside_teaser_articles(spark):
+    rng = random.Random(5)
+    body = {n: [f"body {n} {k} {rng.random()} of some length" for k in range(4)] for n in range(5)}
+    cards = "<article>Most read</article><article>Latest</article>"
+    got = found(spark, [(n, f"http://h/{n}", site(n, body[n]) + cards) for n in body])
+    assert all(got[n][0] == "\n\n".join(body[n]) for n in body)
+
+
+def test_unshared_lines_outside_an_article_stay(spark):
+    page = "<div>Welcome to site</div><article><h1>{0}</h1><p>A passage that many share.</p></article><p>Correction {0}</p>"
+    got = found(spark, [(n, f"http://h/{n}", page.format(n)) for n in range(4)])
+    assert all(got[n][0] == f"{n}\n\nA passage that many share.\n\nCorrection {n}" for n in range(4))
