@@ -13,6 +13,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,10 @@ BINS = 128
 """Split points tried for a lag; 30 levels let trees grow out on series of usual length."""
 
 FOREST_ROWS = 50_000
-"""Newest rows of a series that its forest learns from and is tested on."""
+"""Most rows of a series whose forest is grown in one task; longer ones are learned by Spark ML over all tasks."""
+
+LEAVES = 10_000
+"""Leaves of a tree of a longer series, about; what keeps its forest in the driver's memory."""
 
 
 class TooShort(ValueError):
@@ -151,17 +157,19 @@ class ForestForecast:
 
 def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES, depth: int = DEPTH,
                     seed: int = SEED, bins: int = BINS, rows: int = FOREST_ROWS) -> ForestForecast:
-    """A random forest for each series on the values before, trained on the first 80 % of its newest ``rows`` rows.
+    """A random forest for each series on the values before, trained on the first 80 % of its rows and tested on the others.
 
-    The forecast goes step by step: each predicted value becomes the newest lag. A forest is grown in the task that
-    holds its series; ``rows`` bounds what a task gets. Series too short for a forest have no rows; a
-    single series that is too short raises.
+    The forecast goes step by step: each predicted value becomes the newest lag. A series of up to ``rows`` rows is
+    learned in the task that holds it, a longer one by Spark ML with at least one row of ``LEAVES`` in a leaf.
+    Series too short for a forest have no rows; a single series that is too short raises.
     """
     if series.lags < 1:
         raise ValueError("a random forest needs a series prepared with lags")
     lags = [f"lag_{i}" for i in range(1, series.lags + 1)]
-    known = series.df.filter((F.col("index") >= series.lags) & (F.col("index") >= F.col("length") - rows))
-    known = known.withColumn("last", F.to_date("last")).select(*series.keys, "index", "last", "y", *lags)
+    everything = series.df.filter(F.col("index") >= series.lags).withColumn("last", F.to_date("last"))
+    known = everything.select(*series.keys, "index", "last", "y", *lags)
+    long = everything.filter(F.col("length") > rows).groupBy(*series.keys).agg(
+        F.max("length").alias("length"), F.max("last").alias("last")).collect()
     if not series.by and (count := known.count()) < LEAST_ROWS:
         raise TooShort(f"{count} rows with all lags known; a forest needs {LEAST_ROWS}")
     keys = list(series.keys)
@@ -189,8 +197,13 @@ def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES,
         return found[columns]
 
     kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in keys)
-    found = write_shared(known.groupBy(*series.keys).applyInPandas(
+    short = everything.filter(F.col("length") <= rows).select(*known.columns)
+    found = write_shared(short.groupBy(*series.keys).applyInPandas(
         learn, f"{kinds}, kind string, step long, date date, value double, guess double"), "forests")
+    for row in long:
+        own = known.filter(reduce(Column.__and__, [quoted(k).eqNullSafe(F.lit(row[k])) for k in keys]))
+        found = found.unionByName(write_shared(
+            _long_forest(own, row, known, keys, lags, periods, trees, depth, seed, bins), "forests"))
     method = F.lit("random_forest").alias("method")
     quality = _quality(found.filter("kind = 'test'").withColumnRenamed("value", "y"), series.keys, F.col("guess"))
     return ForestForecast(
@@ -201,6 +214,32 @@ def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES,
     )
 
 
+def _long_forest(own: DataFrame, row, known: DataFrame, keys: list[str], lags: list[str], periods: int, trees: int, depth: int,
+                 seed: int, bins: int) -> DataFrame:
+    """Forecast, test and importance rows of one series from a forest that Spark ML learns from all of its rows."""
+    spark, first = own.sparkSession, len(lags)
+    train = int((row["length"] - first) * TRAIN_SHARE)
+    ready = VectorAssembler(inputCols=lags, outputCol="__features").transform(own)
+    learner = RandomForestRegressor(
+        labelCol="y", featuresCol="__features", predictionCol="guess", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed,
+        featureSubsetStrategy="all", minInstancesPerNode=max(1, -(-train // LEAVES)))
+    model = learner.fit(ready.filter(F.col("index") < first + train))
+    newest = [r["y"] for r in own.orderBy(F.desc("index")).limit(first).select("y").collect()]
+    values = []
+    for _ in range(periods):
+        values.append(float(model.predict(Vectors.dense(newest))))
+        newest = [values[-1], *newest[:-1]]
+    days = pd.Timestamp(row["last"])
+    few = [("forecast", k, (days + pd.Timedelta(days=k)).date(), v, 0.0) for k, v in enumerate(values, 1)]
+    few += [("importance", k, None, float(w), 0.0) for k, w in enumerate(model.featureImportances.toArray(), 1)]
+    named = [F.lit(row[k]).cast(known.schema[k].dataType).alias(k) for k in keys]
+    figures = spark.createDataFrame(few, "kind string, step long, date date, value double, guess double")
+    tested = model.transform(ready.filter(F.col("index") >= first + train)).select(
+        *named, F.lit("test").alias("kind"), F.lit(0).cast("long").alias("step"), F.lit(None).cast("date").alias("date"),
+        F.col("y").alias("value"), "guess")
+    return figures.select(*named, *figures.columns).unionByName(tested)
+
+
 def _grow(bins: np.ndarray, y: np.ndarray, count: int, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """A regression tree over binned features, grown level by level: the gain of each feature, and feature, bin, left child
     and value of each node.

@@ -170,3 +170,15 @@ def test_groups_of_series(spark):
     df = spark.createDataFrame(rows, "k string, d date, v double")
     got = {(r.k, r.step): round(r.value, 6) for r in forecast.forecast(df, "d", "v", "linear_regression", 2, ["k"]).collect()}
     assert got == {("a", 1): 10.0, ("a", 2): 11.0, ("b", 1): 50.0, ("b", 2): 55.0}
+
+
+def test_forest_of_a_long_series_uses_all_rows(spark):
+    rows = [(k, date(2020, 1, 1) + timedelta(days=n), float((n * 37) % 11 + (n > 200) * 50))
+            for k, size in (("long", 307), (None, 257), ("short", 57)) for n in range(size)]
+    df = spark.createDataFrame(rows, "k string, d date, v double")
+    series = forecast.prepare(df, "d", "v", ["k"], lags=7)
+    found = forecast.forest_forecast(series, periods=3, trees=5, depth=6, rows=100)
+    assert {r.k: r.test_rows for r in found.metrics.collect()} == {"long": 60, None: 50, "short": 10}
+    assert found.forecast.count() == 9 and found.importance.count() == 21
+    whole = forecast.prepare(df.filter("k = 'long'"), "d", "v", lags=7)
+    assert forecast.forest_forecast(whole, periods=3, trees=5, depth=6, rows=100).metrics.first().test_rows == 60
