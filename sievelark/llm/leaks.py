@@ -4,8 +4,8 @@ Items are partitioned by size: those of ``u/2`` to ``u`` shingles (u = 16, 32, 6
 partition. A document is cut into blocks of 16 shingles; the MinHash of a longer stretch is the
 minimum over its blocks, so one pass serves all partitions. A stretch of two neighbouring blocks of
 ``u`` shingles holds any passage of ``u`` shingles whole. That bounds the Jaccard similarity of item and
-stretch from below, and the bound sets the number of hash functions that finds an item with the
-target recall. One equal hash value makes a candidate; a candidate is then verified on the full shingle
+stretch from below, and the lowest bound of all partitions sets the number of hash functions that finds an item with the
+target recall. That holds for unbroken passages; an item scattered over a long document is found less surely. One equal hash value makes a candidate; a candidate is then verified on the full shingle
 sets: ``|item and document| / |item|``. Items of up to eight shingles, for which hashing saves
 nothing, are looked up by their shingles directly.
 
@@ -33,6 +33,9 @@ BLOCK_CHARS = 32_000_000
 """Most characters of items sent to the tasks at once."""
 
 SMALLEST = 16
+LARGEST = 1 << 40
+"""Size partition whose bound, the lowest, sets the number of hash functions of all."""
+
 DIRECT = 8
 
 MATCHES = T.ArrayType(T.StructType([
@@ -54,7 +57,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], threshold: float, recall: float):
         self.threshold = threshold
         self.ids = [i for i, _ in rows]
-        self.count = hash_count(threshold, recall)
+        self.count = hash_count(threshold, recall, LARGEST)
         self.masks, self.factors = texts.hash_functions(self.count, seed=10)
         self.sets: list[np.ndarray] = []
         self.width: list[int] = []  # words in a shingle of the item

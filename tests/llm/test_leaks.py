@@ -86,3 +86,8 @@ def test_shingles_agree_with_the_plain_way():
         for n, own in enumerate(texts.split(hashes, sizes)):
             counts[first + n] = len(set(own.tolist()))
     assert [counts[n] for n in range(len(values))] == [len(shingles(v)) for v in values]
+
+
+def test_every_size_partition_has_enough_hash_functions():
+    items = leaks.Items([(1, " ".join(f"w{n}" for n in range(40)))], leaks.THRESHOLD, leaks.RECALL)
+    assert all(items.count >= leaks.hash_count(leaks.THRESHOLD, leaks.RECALL, leaks.SMALLEST << level) for level in range(20))
