@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm import language, leaks, mixing, neardup, pages, quotes, tokens, toxicity, vectors, warc
+from sievelark.llm import (
+    clusters, infill, language, leaks, licences, mixing, neardup, pages, quotes, tokens, toxicity, vectors, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,18 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_table(table(spark, sf_dir, "embeddings"))
+
+
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_table(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_blocks, op2_toxicity, op3_quote_links, op4_language, op5_nearest, op6_warc_derivatives, op7_main_text,
-    op8_mixture, op9_jaccard_classes, op10_leaks, pipeline)}
+    op8_mixture, op9_jaccard_classes, op10_leaks, op11_infill, op12_clusters, op13_licences, pipeline)}
 
 
 def _shingles(table: str, key: str) -> str:
@@ -87,6 +101,27 @@ def _shingles(table: str, key: str) -> str:
       FROM (SELECT {key}, {words} AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) > 0"""
 
 
+def _lloyd(rounds: int, k: int) -> str:
+    """Rounds of exact integer clustering, a pair of common tables each."""
+    parts = [f"""
+      kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+      c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v AS c FROM kept
+             ORDER BY sha256('2:' || vec_id) LIMIT {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+      a{n} AS MATERIALIZED (SELECT DISTINCT ON (vec_id) * FROM (
+        SELECT vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM kept, c{n}) ORDER BY vec_id, d, cluster)""")
+        if n < rounds:
+            parts.append(f"""
+      c{n + 1} AS MATERIALIZED (SELECT c{n}.cluster, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN (
+        SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+          SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{n}, range(1, 65) AS t(i) GROUP BY 1, 2)
+        GROUP BY 1) AS m ON m.cluster = c{n}.cluster)""")
+    return "WITH" + ",".join(parts)
+
+
 ORACLES = {
     # The given conversations quote nothing; this is what the operator gives then. Quotes are tested in tests/llm.
     "op3_quote_links": r"""
@@ -111,4 +146,23 @@ ORACLES = {
       SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
       FROM d JOIN i USING (s) JOIN n USING (item_id)
       GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9""",
+    "op11_infill": r"""
+      WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h FROM documents),
+      g AS (SELECT doc_id, text, length(text) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+              CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+              CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+      c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+              CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+                   WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+      p AS (SELECT *, substring(text, 1, a) AS pre, substring(text, a + 1, b - a) AS mid, substring(text, b + 1) AS suf FROM c)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM p""",
+    "op12_clusters": f"""{_lloyd(clusters.ROUNDS, clusters.K)}
+      SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+        CAST(sum(d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256
+      FROM a{clusters.ROUNDS} AS a JOIN c{clusters.ROUNDS} AS c ON c.cluster = a.cluster""",
 }
