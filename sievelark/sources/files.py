@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelark.plans.longform import quoted
+from sievelark.sources.splits import array_to_lines, largest_file, read_csv_splits
 
 # Texts that stand for a missing value in a CSV file.
 NULL_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
+COMPRESSED = (".gz", ".bz2", ".zst", ".xz", ".lz4", ".snappy", ".deflate")
 FORMATS = {"csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet", "orc": "orc"}
 _WHOLE = r"^\s*[+-]?[0-9]+\s*\z"
 _REAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*\z"
@@ -59,37 +61,58 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def _read_csv(spark: SparkSession, path: str, schema, null_tokens, encoding: str, multi_line: bool) -> DataFrame:
-    reader = spark.read.options(header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line)
+def _read_csv(spark: SparkSession, path: str, schema, null_tokens, encoding: str, multi_line: bool | None, split_bytes: int) -> DataFrame:
+    reader = spark.read.options(header=True, quote='"', escape='"', encoding=encoding, multiLine=multi_line is not False)
+    raw = reader.schema(schema).csv(path) if schema is not None else reader.csv(path)
+    if multi_line is None and encoding.upper() in ("UTF-8", "UTF8") and _splits(spark, path, split_bytes):
+        raw = read_csv_splits(spark, path, raw.schema, split_bytes)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.csv(path)  # all text; types are found after the missing values are known
+        return raw
+    # all text; types are found after the missing values are known
     known = raw.withColumns({c: F.when(~quoted(c).isin(*null_tokens), quoted(c)) for c in raw.columns})
     return infer_types(known)
 
 
+def _splits(spark: SparkSession, path: str, split_bytes: int) -> bool:
+    """Whether a file is larger than a split and can be cut; a compressed one is read from its beginning to its end."""
+    return largest_file(spark, path) > split_bytes and not path.rstrip("/*").lower().endswith(COMPRESSED)
+
+
 def _is_array(spark: SparkSession, path: str) -> bool:
     """Whether a JSON file starts as one array instead of one record per line."""
-    first = spark.read.text(path).select(F.ltrim("value").alias("v")).filter(F.length("v") > 0).limit(1).collect()
+    pieces = spark.read.option("lineSep", "}").text(path)  # an array may be one line
+    first = pieces.select(F.regexp_replace("value", r"^\s+", "").alias("v")).filter(F.length("v") > 0).limit(1).collect()
     return bool(first) and first[0]["v"].startswith("[")
 
 
+def _split_bytes(spark: SparkSession) -> int:
+    """The session's size of a file split; the setting may carry a unit."""
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
+
+
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None,
                  null_tokens: tuple[str, ...] = NULL_TOKENS, encoding: str = "UTF-8",
-                 multi_line: bool | None = None) -> DataFrame:
+                 multi_line: bool | None = None, split_bytes: int | None = None) -> DataFrame:
     """A frame from files of a known format.
 
-    Give a ``schema`` for repeated jobs: it spares the pass that finds the types. A quoted CSV
-    field may hold line breaks, so a CSV file is read whole by one task and many files in
-    parallel; ``multi_line=False`` splits files over tasks, for data without such breaks. An array of
-    JSON records is read whole per file; JSON lines and Parquet split over tasks.
+    Give a ``schema`` for repeated jobs: it spares the pass that finds the types. Files above ``split_bytes`` (the session's
+    split size) are read by many tasks also if they are CSV with line breaks inside quotes or one array of JSON records: see
+    :mod:`sievelark.sources.splits`. Smaller ones are read whole, a task a file. ``multi_line=True`` reads every
+    file whole; ``multi_line=False`` splits CSV at any line break, for data without breaks in quotes, and reads JSON as lines.
+    Compressed files and CSV in other encodings than UTF-8 are read whole. JSON lines and Parquet split over tasks.
     """
     kind = format_of(path, fmt)
+    split_bytes = split_bytes or _split_bytes(spark)
     if kind == "csv":
-        return nan_to_null(_read_csv(spark, path, schema, null_tokens, encoding, multi_line is not False))
+        return nan_to_null(_read_csv(spark, path, schema, null_tokens, encoding, multi_line, split_bytes))
     if kind == "json":
         reader = spark.read.schema(schema) if schema is not None else spark.read
-        return nan_to_null(reader.option("multiLine", multi_line or _is_array(spark, path)).json(path))
+        array = multi_line is True or (multi_line is None and _is_array(spark, path))
+        if array and multi_line is None and _splits(spark, path, split_bytes):
+            return nan_to_null(reader.json(array_to_lines(spark, path, split_bytes)))
+        return nan_to_null(reader.option("multiLine", array).json(path))
     return nan_to_null(getattr(spark.read.schema(schema) if schema is not None else spark.read, kind)(path))
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sievelark.functions import roles
@@ -14,6 +15,7 @@ from sievelark.plans.rowid import with_row_index
 from sievelark.plans.shared import shared_dir
 from sievelark.sources import files
 from sievelark.sources.registry import Registry, export_report, paged
+from sievelark.sources.splits import largest_file
 from suite.cleaning import DATE_TRIES
 from suite.inputs import DIRTY_CTE, TRANSACTIONS_SQL, dirty_customers, nudged, rounded, table, transactions
 
@@ -57,6 +59,38 @@ def _csv_with_gaps(spark, sf):
 _add("s01_csv_line_breaks", _round_trip("documents", "csv"), "SELECT doc_id, text, lang, source, n_chars FROM documents")
 
 
+def _split_csv(spark, sf):
+    """Texts with line breaks inside quotes, each file read by 16 tasks."""
+    path = files.write_dataset(table(spark, sf, "documents"), _place(spark, "documents"), "csv")
+    back = files.read_dataset(spark, path, "csv", split_bytes=max(1, largest_file(spark, path) // 16))
+    return back.select(*sorted(back.columns))
+
+
+_add("s01_csv_line_breaks_split", _split_csv, "SELECT doc_id, text, lang, source, n_chars FROM documents")
+
+
+def _as_arrays(batches):
+    """Records as one array a file."""
+    first = True
+    for frame in batches:
+        frame["value"] = (("[" if first else ",") + frame["value"]).where(frame.index == 0, "," + frame["value"])
+        first = False
+        yield frame
+    yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+
+def _split_arrays(spark, sf):
+    """JSON arrays, each file read by 16 tasks."""
+    docs = table(spark, sf, "documents")
+    path = _place(spark, "arrays")
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).mapInPandas(_as_arrays, "value string").write.text(path)
+    back = files.read_dataset(spark, path, "json", split_bytes=max(1, largest_file(spark, path) // 16))
+    return back.select(*sorted(back.columns))
+
+
+_add("s02_json_array_split", _split_arrays, "SELECT doc_id, text, lang, source, n_chars FROM documents")
+
+
 _add("s01_csv_null_tokens", _csv_with_gaps, f"""WITH {DIRTY_CTE.strip()}
 SELECT id, name, email, CAST(CAST(phone AS BIGINT) AS VARCHAR) AS phone, created_date, category,
   round(try_cast(balance_text AS DOUBLE), 2) AS balance_text, round(CAST(score_text AS DOUBLE), 2) AS score_text,
