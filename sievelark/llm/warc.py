@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html
 import re
 import uuid
 import zlib
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm.html import blocks
+from sievelark.llm.html import blocks, facts
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the standard name space of URLs
@@ -40,9 +39,13 @@ _ARROW = pa.schema([
     ("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()),
     ("warc_date", pa.string()), ("content_type", pa.string()),
     ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())])
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,8})[ \t]*(?:;[^\r\n]*)?\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_LENGTH = re.compile(r"[0-9]{1,18}")
+_NEXT = re.compile(rb"\n\r?\nWARC/[0-9]")
+_PIECE = 1 << 20
+"""Bytes handled at a time when a file is read, and the longest head of a record."""
+
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -84,9 +87,26 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, headers, payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """The payload without the sizes of a chunked transfer; one that is not chunked, or not any more, as it is."""
+    parts, at = [], 0
+    while found := _CHUNK.match(payload, at):
+        size = int(found[1], 16)
+        if not size:
+            return b"".join(parts)
+        end = found.end() + size
+        parts.append(payload[found.end() : end])
+        at = end + 2 if payload[end : end + 2] == CRLF else end + 1 if payload[end : end + 1] == b"\n" else end
+        if end >= len(payload):  # cut short
+            return b"".join(parts)
+    return payload
+
+
 def decoded(headers: list[tuple[str, str]], payload: bytes) -> str:
-    """The payload as text: content encoding undone, character set from the header, else from the page, else UTF-8."""
+    """The payload as text: transfer and content encoding undone, character set from the header, else from the page, else UTF-8."""
     by_name = {n.lower(): v for n, v in headers}
+    if "chunked" in by_name.get("transfer-encoding", "").lower():
+        payload = unchunked(payload)
     coding = by_name.get("content-encoding", "").lower()
     try:
         if coding in ("gzip", "x-gzip"):
@@ -110,12 +130,11 @@ def derivatives(response: dict) -> list[dict]:
     given = {h["name"].lower(): h["value"] for h in response["headers"] or []}
     source_digest = given.get("warc-payload-digest") or digest(payload)
     identity, target, date = response["record_id"], response["target_uri"], response["warc_date"]
-    links = [html.unescape("".join(parts)) for parts in _LINK.findall(page)]
-    title, language = _TITLE.search(page), _LANGUAGE.search(page)
+    title, language, links = facts(page)
     fields = [("http-status", status)] if status else []
     fields += [(f"source-{name.lower()}", value) for name, value in headers]
-    fields += [("title", html.unescape(title[1]))] if title else []
-    fields += [("language", language[1])] if language else []
+    fields += [("title", title)] if title else []
+    fields += [("language", language)] if language else []
     fields += [("outlink", link) for link in links]
     listed = "".join(f"{name}: {_one_line(value)}\r\n" for name, value in fields).encode()
     text = "\n".join(b.text for b in blocks(page)).encode()
@@ -211,35 +230,101 @@ def serialised(records: DataFrame, out: str = "member") -> DataFrame:
     return records.withColumn(out, packed("headers", "block"))
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a file, compressed or not; one cut short at the end is left out."""
-    if data[:2] == b"\x1f\x8b":
-        plain, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(plain)
+def _plain(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file in pieces; gzip members are undone one after the other, up to the first that is broken."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield from (bytes(view[at : at + _PIECE]) for at in range(0, len(view), _PIECE))
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        cut = re.compile(rb"\r?\n\r?\n").search(data, at)
-        if not cut:
-            return
-        lines = re.split(r"\r?\n", data[at : cut.start()].decode("utf-8", "replace"))[1:]
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(view):
+            part = view[at : at + _PIECE]
+            at += len(part)
+            try:
+                while part and not member.eof:
+                    yield member.decompress(part, _PIECE)
+                    part = member.unconsumed_tail
+            except zlib.error:
+                return
+        at -= len(member.unused_data)
+
+
+class _Buffer:
+    """Pieces as one run of bytes, of which only what is not yet used is held."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.held, self.at = pieces, bytearray(), 0
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        if self.at > _PIECE:
+            del self.held[: self.at]
+            self.at = 0
+        self.held += piece
+        return True
+
+    def has(self, count: int) -> bool:
+        while len(self.held) - self.at < count:
+            if not self.more():
+                return False
+        return True
+
+    def search(self, pattern: re.Pattern, most: int | None = None) -> re.Match | None:
+        """The first match behind the place reached, among ``most`` bytes; no stretch is searched twice but for an overlap."""
+        low = 0
+        while True:
+            found = pattern.search(self.held, self.at + low, *([] if most is None else [self.at + most]))
+            if found or most is not None and len(self.held) - self.at >= most:
+                return found
+            low = max(0, len(self.held) - self.at - 16)
+            if not self.more():
+                return None
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of a file, compressed or not, one after the other.
+
+    A record cut short at the end is left out. One whose length is missing, no number or beyond the end of the file is left out too,
+    and reading goes on at the next version line.
+    """
+    buffer = _Buffer(_plain(data))
+    version = re.compile(rb"WARC/")
+    while found := buffer.search(version):
+        buffer.at = found.start()
+        del found  # a match holds on to the buffer, which could not grow then
+        if not (cut := buffer.search(_HEAD_END, _PIECE)):
+            buffer.at += 5
+            continue
+        head, body = bytes(buffer.held[buffer.at : cut.start()]), cut.end()
+        del cut
+        lines = re.split(r"\r?\n", head.decode("utf-8", "replace"))[1:]
         headers = [{"name": n.strip(), "value": v.strip()} for n, _, v in (line.partition(":") for line in lines)]
         by_name = {h["name"].lower(): h["value"] for h in headers}
-        end = cut.end() + int(by_name.get("content-length") or 0)
-        if end > len(data):
-            return
+        length = by_name.get("content-length") or "0"
+        buffer.at = body
+        if not _LENGTH.fullmatch(length) or not buffer.has(int(length)):
+            buffer.at = max(0, body - 4)
+            following = buffer.search(_NEXT)
+            if not following:
+                return
+            buffer.at = following.end() - 6
+            del following
+            continue
+        block = bytes(buffer.held[buffer.at : buffer.at + int(length)])
+        buffer.at += int(length)
         yield {"warc_type": by_name.get("warc-type"), "record_id": by_name.get("warc-record-id"),
                "refers_to": by_name.get("warc-refers-to"), "target_uri": by_name.get("warc-target-uri"),
                "warc_date": by_name.get("warc-date"), "content_type": by_name.get("content-type"), "headers": headers,
-               "block": data[cut.end() : end]}
-        at = end
+               "block": block}
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ``.warc`` and ``.warc.gz`` files, a file to a task (usual files have about 1 GB)."""
+    """The records of ``.warc`` and ``.warc.gz`` files, a file to a task: files of 2 GB or more have to be cut at member
+    borders before. A file is held as it is on disk, its records are given out as they are met."""
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):

@@ -1,4 +1,6 @@
 import gzip
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -76,3 +78,77 @@ def test_odd_rows(spark):
 def test_native_digest(spark):
     for r in response(spark, [(n, "u", "é" * n) for n in range(6)]).collect():
         assert headers(r)["WARC-Payload-Digest"] == warc.digest(("é" * r.page_id).encode())
+
+
+def plain_unchunked(sizes, text):
+    out, at = b"", 0
+    for n in sizes:
+        out += f"{n:x};ext=1\r\n".encode() + text[at : at + n] + b"\r\n"
+        at += n
+    return out + b"0\r\nTrailer: x\r\n\r\n"
+
+
+def test_chunked_transfer():
+    text = b"<p>one</p>" * 50
+    chunked = plain_unchunked([7, 100, len(text) - 107], text)
+    assert warc.unchunked(chunked) == text and warc.unchunked(chunked[:60]) == text[: 60 - len("7;ext=1\r\n") - 2 - len("64;ext=1\r\n")]
+    for same in (text, b"", b"zz\r\n", b"5"):
+        assert warc.unchunked(same) == same
+    packed = gzip.compress(b"hi there")
+    assert warc.decoded([("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], plain_unchunked([9, len(packed) - 9], packed)) == "hi there"
+    response = {"block": b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab c \r\n4\r\nd ef\r\n0\r\n\r\n", "headers": None, "record_id": "r",
+                "target_uri": "u", "warc_date": "d"}
+    assert warc.derivatives(response)[1]["block"] == b"ab c d ef"
+
+
+def record(block, length=None, **more):
+    lines = ["WARC/1.1", "WARC-Type: response", *(f"{k}: {v}" for k, v in more.items()), f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_bad_lengths_lose_one_record():
+    good = [record(b"one"), record(b"WARC/1.1 inside"), record(b"")]
+    for bad in ("abc", "-1", "9" * 30, "99999999", "1e3"):
+        data = good[0] + record(b"lost", bad) + good[1] + good[2]
+        assert [r["block"] for r in warc.parse(data)] == [b"one", b"WARC/1.1 inside", b""], bad
+    assert [r["block"] for r in warc.parse(b"noise" + good[0] + b"\r\n" + good[1][:-9])] == [b"one"]
+    assert list(warc.parse(b"")) == list(warc.parse(b"WARC/" * 3000)) == []
+
+
+def test_files_are_read_member_by_member(monkeypatch):
+    blocks = [bytes([65 + n % 26]) * (n * 37 % 5000) for n in range(200)]
+    plain = [record(b, None, **{"WARC-Record-ID": f"<{n}>"}) for n, b in enumerate(blocks)]
+    for piece in (64, 1000, 1 << 20):
+        monkeypatch.setattr(warc, "_PIECE", max(piece, 300))
+        for data in (b"".join(plain), b"".join(map(gzip.compress, plain)), gzip.compress(b"".join(plain))):
+            assert [(r["record_id"], r["block"]) for r in warc.parse(data)] == [(f"<{n}>", b) for n, b in enumerate(blocks)]
+    cut = b"".join(map(gzip.compress, plain))
+    assert [r["block"] for r in warc.parse(cut[:-30])] == blocks[:-1]
+    start = time.perf_counter()
+    assert sum(1 for _ in warc.parse(gzip.compress(plain[3]) * 30_000)) == 30_000
+    assert time.perf_counter() - start < 20
+
+
+def test_derivatives_against_a_plain_version(spark):
+    """Every field of both records, from the parts of the response, with plain string work."""
+    rng = random.Random(6)
+    rows = []
+    for n in range(30):
+        words = [[rng.choice(["alpha", "b&amp;c", "dé"]) for _ in range(rng.randrange(1, 6))] for _ in range(4)]
+        links = [f"/l{n}?a={k}&amp;b" for k in range(rng.randrange(3))]
+        page = (f"<html lang=en><head><title>T {n}</title><script>var a = '<p>no</p>';</script></head><body>"
+                + "".join(f"<p>{' '.join(w)}</p>" for w in words) + "".join(f"<a href='{x}'>x</a>" for x in links) + "</body></html>")
+        text = [" ".join(w).replace("&amp;", "&") for w in words] + (["x" * len(links)] if links else [])
+        rows.append((n, f"http://h/{n}", page, text, [x.replace("&amp;", "&") for x in links]))
+    got = warc.build_derivatives(response(spark, [r[:3] for r in rows]), "page_id").collect()
+    for n, url, page, text, links in rows:
+        meta, body = sorted((r for r in got if r.page_id == n), key=lambda r: r.warc_type, reverse=True)
+        assert bytes(body.block).decode() == "\n".join(text)
+        size = len(page.encode())
+        assert bytes(meta.block).decode() == "".join(f"{k}: {v}\r\n" for k, v in [
+            ("http-status", "HTTP/1.1 200 OK"), ("source-content-type", "text/html; charset=utf-8"), ("source-content-length", size),
+            ("title", f"T {n}"), ("language", "en"), *(("outlink", x) for x in links)])
+        for r in (meta, body):
+            own = headers(r)
+            assert own["WARC-Refers-To-Payload-Digest"] == warc.digest(page.encode()) and own["WARC-Block-Digest"] == warc.digest(bytes(r.block))
+            assert own["WARC-Target-URI"] == url == r.target_uri and own["WARC-Type"] == r.warc_type
