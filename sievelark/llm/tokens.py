@@ -21,9 +21,11 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,9 +37,9 @@ END_ID = 2
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 16
 PERCENTILE = 0.99
-GROUP_CHARS = 1_000_000
-MOST_CACHED = 1_000_000
-"""Distinct pieces whose ids a worker process remembers, some 200 bytes each."""
+GROUP_BYTES = 1 << 23
+MOST_CACHED, LONGEST_CACHED = 1_000_000, 64
+"""Distinct pieces whose ids a worker process remembers, some 150 bytes each, and the longest of them."""
 
 _HEADER = struct.Struct("<IHHB")
 SEGMENTS = ("shard int, segment int, start long, n_ids long, docs array<struct<doc_id: long, n_tokens: long>>, "
@@ -85,66 +87,147 @@ def decode_block(payload: bytes, at: int = 0) -> np.ndarray:
     return ids + np.uint32(base)
 
 
+def _kinds() -> np.ndarray:
+    """Marks of bytes: 1 visible ASCII, 2 ASCII letter or digit, 4 ASCII punctuation, 8 may begin a character from A1 to 24F."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = 1
+    for low, high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
+        kinds[low:high] |= 2
+    kinds[0x21:0x7F] |= np.where(kinds[0x21:0x7F] & 2, 0, 4).astype(np.uint8)
+    kinds[0xC2:0xCA] |= 8
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 text where a byte-level tokenizer with the usual split surely begins a new token, whatever lies around.
+
+    Before a space that a visible character follows; between a letter or digit and punctuation; behind a single line
+    break between visible characters. Nothing to the left of such a place can change the tokens to its right, or the other way round.
+    """
+    kinds = np.append(_KINDS[data], np.zeros(2, np.uint8))
+    after = np.append(data, np.zeros(2, np.uint8))
+    lead, second = after[:-1], after[1:]
+    accented = (lead >= 0xC3) & (lead <= 0xC8) | (lead == 0xC2) & (second >= 0xA1) | (lead == 0xC9) & (second <= 0x8F)
+    visible = (kinds[:-1] & 1 > 0) | accented
+    letter = kinds[: len(data)] & 2 > 0  # of the byte: it ends a letter or digit
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    starts = (data == 32) & visible[1 : len(data) + 1]
+    starts[1:] |= (kinds[1 : len(data)] & 4 > 0) & letter[:-1]
+    ends = letter | (kinds[: len(data)] & 4 > 0)
+    starts[2:] |= (data[1:-1] == 10) & ends[:-2] & visible[2 : len(data)]
+    return starts
+
+
 class Encoder:
     """Whole texts to ids, equal to ``Tokenizer.encode`` of each text.
 
-    A byte-level tokenizer without normaliser never merges across a space that a visible character
-    follows. Its texts are cut there, each distinct piece is encoded once with the library and remembered.
+    A byte-level tokenizer without normaliser works on words and punctuation one by one. Texts are cut where
+    ``piece_starts`` allows, Arrow numbers the distinct pieces of a group, each new one is encoded once with the library and
+    remembered, and ids are gathered by number: only distinct pieces become Python objects.
     Texts that hold a special token, and all texts of other tokenizers, are encoded as they are.
     """
 
-    _CUT = re.compile(" (?=[!-~¡-ɏ])")
-    _OTHER = re.compile(" (?![!-~¡-ɏ])")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
         own = self.tokenizer.pre_tokenizer
-        self.by_piece = (isinstance(own, pre_tokenizers.ByteLevel) and not own.add_prefix_space
+        self.by_piece = (isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and not own.add_prefix_space
                          and self.tokenizer.normalizer is None and self.tokenizer.post_processor is None)
         vocabulary = self.tokenizer.get_vocab()
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
         for token, number in vocabulary.items():
             self.width[number] = len(token)
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, values: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0]
-        ids = np.array(found.ids, dtype="<u4")
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        limits = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-        raw, low = ids.tobytes(), 0
-        for piece, high in zip(pieces, (limits * 4).tolist(), strict=True):
-            self.known[piece] = raw[low:high]
-            low = high
-
-    def _pieces(self, text: str) -> list[str]:
-        """The first piece as it is, the others without the space before them."""
-        return self._CUT.split(text) if self._OTHER.search(text) else text.split(" ")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.limits = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # of all known pieces
+
+    def _whole(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+
+    def _spaced(self, values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that begin with a space and a visible character: encoded as one text and cut where they end."""
+        found = self.tokenizer.encode_batch_fast(["".join(values)], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype=np.uint32)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(v.encode()) for v in values])) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _numbers(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each distinct piece in a pool of ids, the ids and their limits. Long pieces are not remembered."""
+        if len(self.known) > MOST_CACHED:
+            self._forget()
+        number = list(map(self.known.get, pieces, repeat(-1)))
+        new = np.flatnonzero(np.array(number) < 0).tolist()
+        if not new:
+            return np.array(number, np.int64), self.ids, self.limits
+        spaced = [k for k in new if pieces[k][0] == " " and pieces[k][1:2].strip()]
+        other = [k for k in new if not (pieces[k][0] == " " and pieces[k][1:2].strip())]
+        spare: list[int] = []  # long pieces, known for this call only
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        for encode, own in ((self._spaced, spaced), (self._whole, other)):
+            short = [k for k in own if len(pieces[k]) <= LONGEST_CACHED]
+            long = [k for k in own if len(pieces[k]) > LONGEST_CACHED]
+            if short:
+                ids, counts = encode([pieces[k] for k in short])
+                for n, k in enumerate(short, len(self.limits) - 1):
+                    self.known[pieces[k]] = number[k] = n
+                self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum(counts)])
+                self.ids = np.concatenate([self.ids, ids])
+            if long:
+                spare += long
+                more.append(encode([pieces[k] for k in long]))
+        for n, k in enumerate(spare, len(self.limits) - 1):
+            number[k] = n
+        ends = [self.limits[-1] + np.cumsum(np.concatenate([counts for _, counts in more]))] if more else []
+        return (np.array(number, np.int64), np.concatenate([self.ids, *(ids for ids, _ in more)]), np.concatenate([self.limits, *ends]))
+
+    def _by_piece(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = texts.text_bytes(column)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        edge = np.append(piece_starts(data), True)
+        edge[offsets] = True  # a text begins a piece, whatever the end of the one before looks like
+        limits = np.flatnonzero(edge)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(limits) - 1, [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(data)])
+        coded = pc.dictionary_encode(pieces)
+        number, pool, ends = self._numbers(coded.dictionary.to_pylist())
+        place = coded.indices.to_numpy()
+        begins, counts = ends[:-1].astype(np.int32)[number], np.diff(ends).astype(np.int32)[number]
+        begins, counts = begins[place], counts[place]
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        ids = pool[np.repeat(begins - upto[:-1].astype(np.int32), counts) + np.arange(upto[-1], dtype=np.int32)]
+        return ids, np.diff(upto[np.searchsorted(limits, offsets)])
 
     def encode(self, values: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
-            return self._whole(values)
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        plain = [not any(s in v for s in self.special) for v in values]
-        cut = [self._pieces(v) if p else [v] for v, p in zip(values, plain, strict=True)]
-        seen: set[str] = set()
-        for pieces in cut:
-            seen.update(pieces[1:])
-        if new := [p for p in seen if p not in self.known]:
-            self._learn(new)
-        ids_of = self.known.__getitem__
-        heads = self._whole([pieces[0] for pieces in cut])
-        return [head + b"".join(map(ids_of, pieces[1:])) for head, pieces in zip(heads, cut, strict=True)]
+        ids, counts = self.encode_column(pa.array(values, pa.large_string()))
+        return [part.astype("<u4").tobytes() for part in texts.split(ids, counts)]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        column = column.cast(pa.large_string())
+        if not self.by_piece or not len(column):
+            return self._whole(column.to_pylist())
+        if not self.special:
+            return self._by_piece(column)
+        special = pc.match_substring_regex(column, self.special).to_numpy(zero_copy_only=False).astype(bool)
+        if not special.any():
+            return self._by_piece(column)
+        parts = [None, None]
+        for kind, encode in enumerate((self._by_piece, lambda c: self._whole(c.to_pylist()))):
+            ids, counts = encode(column.filter(pa.array(special == bool(kind))))
+            parts[kind] = iter(np.split(ids, np.cumsum(counts)[:-1])) if len(counts) else iter(())
+        found = [next(parts[int(k)]) for k in special]
+        return np.concatenate(found), np.array([len(f) for f in found], np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -153,14 +236,15 @@ def encoder_for(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _segment(shard: int, number: int, start: int, docs: list[tuple[int, int]], parts: list[bytes],
-             percentile: float) -> dict:
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def _segment(shard: int, number: int, start: int, keys: pa.Array, counts: np.ndarray, ids: np.ndarray, percentile: float) -> pa.RecordBatch:
     blocks = [encode_block(ids[k : k + BLOCK_IDS], percentile) for k in range(0, len(ids), BLOCK_IDS)]
     starts = np.cumsum([0, *map(len, blocks[:-1])])
-    return {"shard": shard, "segment": number, "start": start, "n_ids": len(ids),
-            "docs": [{"doc_id": i, "n_tokens": n} for i, n in docs], "block_starts": starts.tolist(),
-            "payload": b"".join(blocks)}
+    docs = pa.StructArray.from_arrays([keys, pa.array(counts)], names=["doc_id", "n_tokens"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()),
+         pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), docs), pa.array([starts.tolist()], pa.list_(pa.int32())),
+         pa.array([b"".join(blocks)], pa.binary())],
+        names=["shard", "segment", "start", "n_ids", "docs", "block_starts", "payload"])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text",
@@ -171,40 +255,41 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     hash of their text; NULL ids come first. An empty table writes no segments. Only the two columns
     are read, so others cannot clash.
     """
-    end = np.array([end_id], "<u4").tobytes()
-
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = encoder_for(tokenizer), TaskContext.get().partitionId()
-        schema, number, start, held = None, 0, 0, 0
-        ids: list[tuple[int, int]] = []
-        parts: list[bytes] = []
-        schema = pa.schema([
-            ("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()),
-            ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))),
-            ("block_starts", pa.list_(pa.int32())), ("payload", pa.binary())])
+        number = start = held = 0
+        keys: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal number, start, held
-            row = _segment(shard, number, start, ids, parts, percentile)
-            number, start, held = number + 1, start + row["n_ids"], 0
-            ids.clear()
-            parts.clear()
-            return pa.RecordBatch.from_pylist([row], schema=schema)
+            row = _segment(shard, number, start, pa.concat_arrays(keys), np.concatenate(counts), np.concatenate(ids), percentile)
+            number, start, held = number + 1, start + held, 0
+            for part in (keys, counts, ids):
+                part.clear()
+            return row
 
         for batch in batches:
-            own = batch.column(1)
-            offsets = texts.text_bytes(own)[1]
-            for low, high in texts.groups(offsets, GROUP_CHARS):
-                values = encoder.encode(own.slice(low, high - low).to_pylist())
-                for key, value in zip(batch.column(0).slice(low, high - low).to_pylist(), values, strict=True):
-                    value += end
-                    ids.append((key, len(value) // 4))
-                    parts.append(value)
-                    held += len(value) // 4
+            offsets = texts.text_bytes(batch.column(1))[1]
+            for low, high in texts.groups(offsets, GROUP_BYTES):
+                found, sizes = encoder.encode_column(batch.column(1).slice(low, high - low))
+                ends = np.cumsum(sizes)
+                found, sizes = np.insert(found, ends, np.uint32(end_id)), sizes + 1
+                ends = np.cumsum(sizes)
+                at = taken = 0
+                while at < len(sizes):  # a segment ends with the document that fills it
+                    last = min(int(np.searchsorted(ends, taken + SEGMENT_IDS - held)) + 1, len(sizes))
+                    keys.append(batch.column(0).slice(low + at, last - at))
+                    counts.append(sizes[at:last])
+                    ids.append(found[taken : ends[last - 1]])
+                    held += int(ends[last - 1]) - taken
+                    at, taken = last, int(ends[last - 1])
                     if held >= SEGMENT_IDS:
                         yield flush()
-        if ids:
+        if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                           F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -230,15 +315,17 @@ def read_documents(spark: SparkSession, path: str, ids: bool = False) -> DataFra
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                values = np.concatenate([decode_block(row["payload"], at) for at in row["block_starts"]])
-                counts = np.array([d["n_tokens"] for d in row["docs"]], dtype=np.int64)
+            column = {name: batch.column(batch.schema.names.index(name)) for name in ("payload", "block_starts", "docs", "base", "start")}
+            for n in range(batch.num_rows):
+                payload, starts = column["payload"][n].as_buffer().to_pybytes(), column["block_starts"][n].values.to_numpy()
+                docs = column["docs"][n].values
+                values = np.concatenate([decode_block(payload, at) for at in starts.tolist()])
+                counts = docs.field("n_tokens").to_numpy()
                 limits = np.concatenate([[0], np.cumsum(counts)])
-                raw = values.astype("<u4").tobytes()
-                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
-                columns = [pa.array([d["doc_id"] for d in row["docs"]], pa.int64()),
-                           pa.array(limits[:-1] + row["base"] + row["start"]), pa.array(counts),
-                           pa.array(sums, pa.int64())]
+                raw = memoryview(values.astype("<u4").tobytes())
+                sums = [zlib.crc32(raw[a:b]) for a, b in pairwise((4 * limits).tolist())]
+                columns = [docs.field("doc_id"), pa.array(limits[:-1] + column["base"][n].as_py() + column["start"][n].as_py()),
+                           pa.array(counts), pa.array(sums, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
                     columns.append(texts.lists(values.astype(np.int64), counts, pa.int64()))

@@ -39,6 +39,33 @@ def test_encoder_is_the_library(texts):
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts] * 2
 
 
+PIECES = [" ", "  ", "a", "The", "é", "ÿ", "×", "÷", "中", "ɏ", "ɐ", "\n", "\n\n", "\r\n", "\t", "'s", "'", "'re", "12", "!", "...", "¡", "\x85", "\xa0", "_",
+          "-", ",", "(", '"', "ß", "\U0001f600", "x" * 70, "²", "\x00", "<|endoftext|>"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=25).map("".join), min_size=1, max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_pieces_change_no_id(values):
+    found = encoder_of_tests().encode(values)
+    plain = encoder_of_tests().tokenizer
+    assert [np.frombuffer(b, "<u4").tolist() for b in found] == [plain.encode(t, add_special_tokens=False).ids for t in values]
+
+
+def encoder_of_tests():
+    return tokens.encoder_for(vocabulary())
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_CACHED", 10)
+    own = tokens.Encoder(vocabulary())
+    values = [" ".join(f"w{k}x{n}" for k in range(8)) + " " + "long" * 40 for n in range(30)]
+    for low in range(0, 30, 3):
+        part = values[low : low + 3]
+        assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(part)] == [
+            own.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(own.known) <= 10 + 3 * 9 and all(len(p) <= tokens.LONGEST_CACHED for p in own.known)
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
