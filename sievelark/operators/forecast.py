@@ -13,28 +13,24 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievelark.operators import forest
 from sievelark.operators.explore import as_time
 from sievelark.plans.joins import null_safe_join
 from sievelark.plans.longform import quoted
 from sievelark.plans.ordered import GROUP_ROWS, ordered
+from sievelark.plans.quantiles import quantiles
 from sievelark.plans.shared import write_shared
 
-PERIODS, LAGS, ALPHA, TRAIN_SHARE = 12, 7, 0.3, 0.8
+PERIODS, LAGS, ALPHA, TRAIN_SHARE, LEVEL = 12, 7, 0.3, 0.8, 0.9
 TREES, DEPTH, SEED, LEAST_ROWS = 100, 30, 42, 10
 BINS = 128
 """Split points tried for a lag; 30 levels let trees grow out on series of usual length."""
 
 FOREST_ROWS = 50_000
-"""Most rows of a series whose forest is grown in one task; longer ones are learned by Spark ML over all tasks."""
-
-LEAVES = 10_000
-"""Leaves of a tree of a longer series, about; what keeps its forest in the driver's memory."""
+"""Most rows of a series whose forest is grown in the task that holds it; longer ones are grown by all tasks, with the same result."""
 
 
 class TooShort(ValueError):
@@ -128,6 +124,44 @@ def linear_metrics(series: Series) -> DataFrame:
         *series.by, F.lit("linear_regression").alias("method"), "trend", "test_rows", "r_squared", "rmse", "mape")
 
 
+# --- intervals ----------------------------------------------------------------------
+
+
+def with_intervals(steps: DataFrame, tested: DataFrame, by: list[str], level: float = LEVEL, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Forecast rows with ``lower``, ``upper`` and ``level``: split-conformal intervals from the misses on rows the model has not learned.
+
+    ``tested`` holds (by..., y, guess). With n of them the half width is the k-th smallest absolute miss, k = ceil((n + 1) * level):
+    a new miss of the same kind exceeds it in at most 1 - ``level`` of cases, whatever its distribution. Series with too few
+    rows for the level (k > n) have NULL limits. The rank is exact; large series are ranked in slices.
+    """
+    if not 0 < level < 1:
+        raise ValueError("the level lies between 0 and 1")
+    keys = by or ["__series"]
+    misses = tested.select(*([quoted(b) for b in by] or [F.lit(0).alias("__series")]), F.abs(F.col("y") - F.col("guess")).alias("miss"))
+    rows = ordered(misses, keys, ["miss"], group_rows=group_rows)
+    ranked = rows.finish(rows.df.withColumn("place", rows.row_number())).select(*keys, "miss", "place")
+    counts = misses.groupBy(*keys).agg(F.ceil(F.round((F.count(F.lit(1)) + 1) * F.lit(float(level)), 9)).alias("wanted"))
+    width = null_safe_join(ranked, counts, keys, "inner").filter(F.col("place") == F.col("wanted")).select(*keys, "miss")
+    whole = steps if by else steps.withColumn("__series", F.lit(0))
+    found = null_safe_join(whole, width, keys, "left")
+    return found.select(*steps.columns, (F.col("value") - F.col("miss")).alias("lower"), (F.col("value") + F.col("miss")).alias("upper"),
+                        F.lit(float(level)).alias("level"))
+
+
+def linear_intervals(series: Series, periods: int = PERIODS, level: float = LEVEL) -> DataFrame:
+    """The linear forecast with intervals from its misses on the last 20 % of each series."""
+    models = _trend_models(series).select(*series.keys, "trend", "intercept")
+    tested = null_safe_join(series.df, models, series.keys, "inner").filter(F.col("index") >= F.floor(F.col("length") * TRAIN_SHARE))
+    tested = tested.select(*series.by, "y", (F.col("intercept") + F.col("trend") * F.col("index")).alias("guess"))
+    return with_intervals(linear_forecast(series, periods), tested, series.by, level)
+
+
+def forest_intervals(series: Series, periods: int = PERIODS, level: float = LEVEL, **options) -> DataFrame:
+    """The forest's forecast with intervals from its misses one step ahead on the last 20 % of each series."""
+    found = forest_forecast(series, periods, **options)
+    return with_intervals(found.forecast, found.tested, series.by, level)
+
+
 # --- exponential smoothing ----------------------------------------------------------
 
 
@@ -153,57 +187,72 @@ class ForestForecast:
     forecast: DataFrame
     metrics: DataFrame
     importance: DataFrame
+    tested: DataFrame
+    """(by..., y, guess) of the rows the forest was tested with."""
+
+
+def _limits(known: DataFrame, keys: list[str], lags: int, bins: int) -> DataFrame:
+    """Per series the limits of its bins (quantiles of the values it learns from), the largest of these values and their number."""
+    learned = known.filter(F.col("index") < _learned(lags))
+    shares = [k / bins for k in range(1, bins)]
+    edges = quantiles(learned, ["y"], shares, by=keys).select(*keys, F.array_sort(F.array_distinct("quantiles")).alias("edges"))
+    sizes = learned.groupBy(*keys).agg(F.max(F.abs("y")).alias("largest"), F.count(F.lit(1)).alias("train"))
+    return write_shared(null_safe_join(edges, sizes, keys, "inner"), "limits")
+
+
+def _learned(lags: int) -> Column:
+    """The position at which the rows to test with begin: after the first 80 % of those whose lags are known."""
+    return lags + F.floor((F.col("length") - lags) * TRAIN_SHARE)
 
 
 def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES, depth: int = DEPTH,
-                    seed: int = SEED, bins: int = BINS, rows: int = FOREST_ROWS) -> ForestForecast:
+                    seed: int = SEED, bins: int = BINS, rows: int = FOREST_ROWS, leaves: int = forest.LEAVES) -> ForestForecast:
     """A random forest for each series on the values before, trained on the first 80 % of its rows and tested on the others.
 
     The forecast goes step by step: each predicted value becomes the newest lag. A series of up to ``rows`` rows is
-    learned in the task that holds it, a longer one by Spark ML with at least one row of ``LEAVES`` in a leaf.
-    Series too short for a forest have no rows; a single series that is too short raises.
+    learned in the task that holds it, a longer one by all tasks together; both ways give the same forest
+    (:mod:`sievelark.operators.forest`). Series too short for a forest have no rows; a single series that is too short raises.
     """
     if series.lags < 1:
         raise ValueError("a random forest needs a series prepared with lags")
-    lags = [f"lag_{i}" for i in range(1, series.lags + 1)]
-    everything = series.df.filter(F.col("index") >= series.lags).withColumn("last", F.to_date("last"))
-    known = everything.select(*series.keys, "index", "last", "y", *lags)
-    long = everything.filter(F.col("length") > rows).groupBy(*series.keys).agg(
-        F.max("length").alias("length"), F.max("last").alias("last")).collect()
-    if not series.by and (count := known.count()) < LEAST_ROWS:
-        raise TooShort(f"{count} rows with all lags known; a forest needs {LEAST_ROWS}")
-    keys = list(series.keys)
+    lags, keys = [f"lag_{i}" for i in range(1, series.lags + 1)], list(series.keys)
+    everything = series.df.filter((F.col("index") >= series.lags) & (F.col("length") - series.lags >= LEAST_ROWS))
+    everything = everything.withColumn("last", F.to_date("last"))
+    if not series.by and everything.isEmpty():
+        raise TooShort(f"a forest needs {LEAST_ROWS} rows with all lags known")
+    limits = _limits(everything, keys, series.lags, bins)
+    known = everything.select(*keys, "index", "length", "last", "y", *lags)
     columns = [*keys, "kind", "step", "date", "value", "guess"]
+    kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in keys)
+    result = f"{kinds}, kind string, step long, date date, value double, guess double"
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) < LEAST_ROWS:
-            return group.iloc[:0][keys].assign(kind="", step=0, date=None, value=0.0, guess=0.0)[columns]
+    def learn(group: pd.DataFrame, limit: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return group[keys].assign(kind="", step=0, date=None, value=0.0, guess=0.0)[columns]
         group = group.sort_values("index")
-        x, y, cut = group[lags].to_numpy(float), group["y"].to_numpy(float), int(len(group) * TRAIN_SHARE)
-        forest = _Regressor(x[:cut], y[:cut], trees, depth, seed, bins)
-        newest, values = [y[-1], *x[-1][:-1]], []
-        for _ in range(periods):
-            values.append(float(forest.predict(np.array([newest]))[0]))
-            newest = [values[-1], *newest[:-1]]
+        x, y, cut = group[lags].to_numpy(float), group["y"].to_numpy(float), int(limit["train"].iloc[0])
+        edges = [np.asarray(limit["edges"].iloc[0], float)] * len(lags)
+        grown = forest.Grown(x[:cut], y[:cut], edges, group["index"].to_numpy()[:cut], trees, depth, seed,
+                             float(limit["largest"].iloc[0]), leaves)
+        values = grown.steps([y[-1], *x[-1][:-1]], periods)
         last, steps = pd.Timestamp(group["last"].iloc[0]), range(1, periods + 1)
         found = pd.concat([
             pd.DataFrame({"kind": "forecast", "step": steps, "value": values, "guess": 0.0,
                           "date": [(last + pd.Timedelta(days=k)).date() for k in steps]}),
-            pd.DataFrame({"kind": "test", "step": 0, "value": y[cut:], "guess": forest.predict(x[cut:]), "date": None}),
-            pd.DataFrame({"kind": "importance", "step": range(1, len(lags) + 1), "value": forest.importance, "guess": 0.0, "date": None}),
+            pd.DataFrame({"kind": "test", "step": 0, "value": y[cut:], "guess": grown.predict(x[cut:]), "date": None}),
+            pd.DataFrame({"kind": "importance", "step": range(1, len(lags) + 1), "value": grown.importance, "guess": 0.0, "date": None}),
         ], ignore_index=True)
         for key in keys:
             found[key] = group[key].iloc[0]
         return found[columns]
 
-    kinds = ", ".join(f"`{k}` {known.schema[k].dataType.simpleString()}" for k in keys)
-    short = everything.filter(F.col("length") <= rows).select(*known.columns)
-    found = write_shared(short.groupBy(*series.keys).applyInPandas(
-        learn, f"{kinds}, kind string, step long, date date, value double, guess double"), "forests")
-    for row in long:
+    short = known.filter(F.col("length") <= rows).groupBy(*keys)
+    bounds = limits.filter(F.col("train") <= rows).groupBy(*keys)
+    found = write_shared(short.cogroup(bounds).applyInPandas(learn, result), "forests")
+    long = everything.filter(F.col("length") > rows).groupBy(*keys).agg(F.max("last").alias("last"))
+    for row in null_safe_join(long, limits, keys, "inner").toLocalIterator():
         own = known.filter(reduce(Column.__and__, [quoted(k).eqNullSafe(F.lit(row[k])) for k in keys]))
-        found = found.unionByName(write_shared(
-            _long_forest(own, row, known, keys, lags, periods, trees, depth, seed, bins), "forests"))
+        found = found.unionByName(write_shared(_long_forest(own, row, known, keys, lags, periods, trees, depth, seed, leaves), "forests"))
     method = F.lit("random_forest").alias("method")
     quality = _quality(found.filter("kind = 'test'").withColumnRenamed("value", "y"), series.keys, F.col("guess"))
     return ForestForecast(
@@ -211,129 +260,41 @@ def forest_forecast(series: Series, periods: int = PERIODS, trees: int = TREES,
         quality.select(*series.by, method, "test_rows", "r_squared", "rmse", "mape"),
         found.filter("kind = 'importance'").select(
             *series.by, F.concat(F.lit("lag_"), F.col("step")).alias("feature"), F.col("value").alias("importance")),
+        found.filter("kind = 'test'").select(*series.by, F.col("value").alias("y"), "guess"),
     )
 
 
 def _long_forest(own: DataFrame, row, known: DataFrame, keys: list[str], lags: list[str], periods: int, trees: int, depth: int,
-                 seed: int, bins: int) -> DataFrame:
-    """Forecast, test and importance rows of one series from a forest that Spark ML learns from all of its rows."""
+                 seed: int, leaves: int) -> DataFrame:
+    """Forecast, test and importance rows of one series that is learned by all tasks; its forest is bounded by the leaves of a tree."""
     spark, first = own.sparkSession, len(lags)
-    train = int((row["length"] - first) * TRAIN_SHARE)
-    ready = VectorAssembler(inputCols=lags, outputCol="__features").transform(own)
-    learner = RandomForestRegressor(
-        labelCol="y", featuresCol="__features", predictionCol="guess", numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed,
-        featureSubsetStrategy="all", minInstancesPerNode=max(1, -(-train // LEAVES)))
-    model = learner.fit(ready.filter(F.col("index") < first + train))
+    cut = first + row["train"]
+    edges = [np.asarray(row["edges"], float)] * first
+    grown = forest.grow_spread(own.filter(F.col("index") < cut), lags, "y", "index", edges, row["largest"], row["train"], trees, depth, seed, leaves)
     newest = [r["y"] for r in own.orderBy(F.desc("index")).limit(first).select("y").collect()]
-    values = []
-    for _ in range(periods):
-        values.append(float(model.predict(Vectors.dense(newest))))
-        newest = [values[-1], *newest[:-1]]
     days = pd.Timestamp(row["last"])
-    few = [("forecast", k, (days + pd.Timedelta(days=k)).date(), v, 0.0) for k, v in enumerate(values, 1)]
-    few += [("importance", k, None, float(w), 0.0) for k, w in enumerate(model.featureImportances.toArray(), 1)]
+    few = [("forecast", k, (days + pd.Timedelta(days=k)).date(), v, 0.0) for k, v in enumerate(grown.steps(newest, periods), 1)]
+    few += [("importance", k, None, float(w), 0.0) for k, w in enumerate(grown.importance, 1)]
     named = [F.lit(row[k]).cast(known.schema[k].dataType).alias(k) for k in keys]
     figures = spark.createDataFrame(few, "kind string, step long, date date, value double, guess double")
-    tested = model.transform(ready.filter(F.col("index") >= first + train)).select(
+    sent = spark.sparkContext.broadcast(grown)
+
+    @F.pandas_udf("double")
+    def guess(*columns: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.predict(np.stack([c.to_numpy(float) for c in columns], axis=1)))
+
+    tested = own.filter(F.col("index") >= cut).select(
         *named, F.lit("test").alias("kind"), F.lit(0).cast("long").alias("step"), F.lit(None).cast("date").alias("date"),
-        F.col("y").alias("value"), "guess")
+        F.col("y").alias("value"), guess(*lags).alias("guess"))
     return figures.select(*named, *figures.columns).unionByName(tested)
 
 
-def _grow(bins: np.ndarray, y: np.ndarray, count: int, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
-    """A regression tree over binned features, grown level by level: the gain of each feature, and feature, bin, left child
-    and value of each node.
-
-    All nodes of a level are split at once from counts and sums by (node, bin). A node without gain is a leaf
-    (left child -1); the right child follows the left one.
-    """
-    rows, width = bins.shape
-    feature, cut, left, value = ([np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.full(1, -1)], [np.array([y.mean()])])
-    level, total = np.zeros(1, np.int64), 1
-    gains = np.zeros(width)
-    place = np.zeros(rows, np.int64)  # of each row's node within the level, -1 in a leaf
-    for _ in range(depth):
-        live = place >= 0
-        nodes = len(level)
-        if not nodes:
-            break
-        n = np.bincount(place[live], minlength=nodes)
-        s = np.bincount(place[live], y[live], minlength=nodes)
-        base = s * s / np.maximum(n, 1)
-        best, chosen, where = base + 1e-9 * (1 + s * s), np.full(nodes, -1), np.zeros(nodes, np.int64)
-        for f in range(width):
-            cell = place[live] * count + bins[live, f]
-            below = np.cumsum(np.bincount(cell, minlength=nodes * count).reshape(nodes, count), axis=1)[:, :-1]
-            sums = np.cumsum(np.bincount(cell, y[live], minlength=nodes * count).reshape(nodes, count), axis=1)[:, :-1]
-            above = n[:, None] - below
-            gain = np.where((below > 0) & (above > 0), sums**2 / np.maximum(below, 1)
-                            + (s[:, None] - sums) ** 2 / np.maximum(above, 1), -np.inf)
-            if not gain.shape[1]:
-                continue
-            top = gain.argmax(axis=1)
-            better = gain[np.arange(nodes), top] > best
-            best = np.where(better, gain[np.arange(nodes), top], best)
-            chosen, where = np.where(better, f, chosen), np.where(better, top, where)
-        split = np.flatnonzero(chosen >= 0)
-        if not len(split):
-            break
-        children = np.full(nodes, -1)
-        children[split] = total + 2 * np.arange(len(split))
-        flat = [np.concatenate(a) for a in (feature, cut, left)]
-        flat[0][level[split]], flat[1][level[split]], flat[2][level[split]] = chosen[split], where[split], children[split]
-        feature, cut, left = [flat[0]], [flat[1]], [flat[2]]
-        own = place[live]
-        right = bins[live, np.maximum(chosen[own], 0)] > where[own]
-        place[live] = np.where(children[own] >= 0, children[own] - total + right, -1)
-        fresh = 2 * len(split)
-        inside = place >= 0
-        sizes = np.bincount(place[inside], minlength=fresh)
-        means = np.bincount(place[inside], y[inside], minlength=fresh) / np.maximum(sizes, 1)
-        feature.append(np.zeros(fresh, np.int64))
-        cut.append(np.zeros(fresh, np.int64))
-        left.append(np.full(fresh, -1))
-        value.append(means)
-        spread = np.bincount(place[inside], y[inside] ** 2, minlength=fresh) - sizes * means**2
-        grows = np.flatnonzero((sizes > 1) & (spread > 1e-12 * (1 + means**2)))  # the others stay leaves
-        renamed = np.full(fresh, -1)
-        renamed[grows] = np.arange(len(grows))
-        place[inside] = renamed[place[inside]]
-        level = total + grows
-        total += fresh
-        gains += np.bincount(chosen[split], (best - base)[split], minlength=width)
-    return gains, tuple(np.concatenate(a) for a in (feature, cut, left, value))
-
-
-def _leaf_values(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
-    feature, cut, left, value = tree
-    at = np.zeros(len(bins), np.int64)
-    while (inner := left[at] >= 0).any():
-        right = bins[np.arange(len(bins)), feature[at]] > cut[at]
-        at = np.where(inner, left[at] + right, at)
-    return value[at]
-
-
-class _Regressor:
-    """Bootstrapped trees on quantile bins of the features."""
+class _Regressor(forest.Grown):
+    """A forest over features of any kind, with bins between the quantiles of each."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int, depth: int, seed: int, bins: int):
-        self.edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
-        count = max(len(e) for e in self.edges) + 1
-        binned, rng = self._binned(x), np.random.default_rng(seed)
-        self.trees, gains = [], np.zeros(x.shape[1])
-        for _ in range(trees):
-            drawn = rng.integers(0, len(y), len(y))
-            gain, tree = _grow(binned[drawn], y[drawn], count, depth)
-            self.trees.append(tree)
-            gains += gain / max(gain.sum(), 1e-300)
-        self.importance = gains / max(gains.sum(), 1e-300)
-
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, column, "left") for e, column in zip(self.edges, x.T)], axis=1)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        binned = self._binned(x)
-        return np.mean([_leaf_values(tree, binned) for tree in self.trees], axis=0)
+        edges = [np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])) for column in x.T]
+        super().__init__(x, y, edges, np.arange(len(y)), trees, depth, seed)
 
 
 # --- ensemble and dispatch ----------------------------------------------------------
@@ -360,10 +321,10 @@ def forecast_report(series: Series, periods: int = PERIODS) -> dict[str, DataFra
     report = {}
     if series.lags:
         try:
-            forest = forest_forecast(series, periods)
-            parts.append(forest.forecast)
-            metrics = metrics.unionByName(forest.metrics, allowMissingColumns=True)
-            report["importance"] = forest.importance
+            found = forest_forecast(series, periods)
+            parts.append(found.forecast)
+            metrics = metrics.unionByName(found.metrics, allowMissingColumns=True)
+            report["importance"] = found.importance
         except TooShort:
             pass
     together = reduce(DataFrame.unionByName, [*parts, ensemble(parts, series.by)])

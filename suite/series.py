@@ -168,10 +168,49 @@ SELECT day, round(y, 2) AS y, i AS index, {', '.join(f'round(lag(y, {k}) OVER (O
 FROM s""", 2)
 _add("m02_forest_forecast", lambda spark, sf: forecast.forest_forecast(_daily(spark, sf, 7)).forecast)
 _add("m04_combined_forecast", lambda spark, sf: forecast.forecast(daily_orders(spark, sf), "day", "total"))
-_add("m02_forest_steps", lambda spark, sf: forecast.forest_forecast(_daily(spark, sf, 7)).forecast.crossJoin(F.broadcast(
-    daily_orders(spark, sf).agg(F.min("total").alias("low"), F.max("total").alias("high")))).select(
-        "method", "step", "date", F.col("value").between(F.col("low"), F.col("high")).alias("within")),
-    f"""{_INDEXED} SELECT 'random_forest' AS method, step, {_DAY}, true AS within FROM n, steps""")
+
+
+def _waves(spark, sf):
+    """A series over the days of the orders that repeats every eight days."""
+    days = daily_orders(spark, sf).select("day")
+    placed = forecast.prepare(days.withColumn("one", F.lit(1.0)), "day", "one").df
+    return placed.select(F.to_date("at").alias("day"), (100 + 10.0 * (F.col("index") * 5 % 8)).alias("total"))
+
+
+def _forest_steps(rows):
+    def steps(spark, sf):
+        found = forecast.forest_forecast(forecast.prepare(_waves(spark, sf), "day", "total", lags=7), trees=20, rows=rows)
+        good = found.metrics.select(F.col("r_squared") > 0.9, F.col("rmse") < 5).first()
+        return found.forecast.select("method", "step", "date", F.round(F.col("value") / 10).cast("long").alias("tens"),
+                                     F.lit(good[0]).alias("explains"), F.lit(good[1]).alias("is_near"))
+    return steps
+
+
+_STEPS = f"""{_INDEXED} SELECT 'random_forest' AS method, step, {_DAY}, CAST(10 + (n - 1 + step) * 5 % 8 AS BIGINT) AS tens,
+  true AS explains, true AS is_near FROM n, steps"""
+_add("m02_forest_steps", _forest_steps(forecast.FOREST_ROWS), _STEPS)
+_add("m02_forest_steps_spread", _forest_steps(0), _STEPS)
+_add("m06_linear_intervals", lambda spark, sf: forecast.linear_intervals(_daily(spark, sf)), f"""{_INDEXED},
+t AS (SELECT abs(y - a - b * i) AS miss, row_number() OVER (ORDER BY abs(y - a - b * i)) AS place, count(*) OVER () AS tested FROM s, f, n
+      WHERE i >= floor(n * 0.8)),
+q AS (SELECT miss FROM t WHERE place = ceil((tested + 1) * 0.9))
+SELECT 'linear_regression' AS method, step, {_DAY}, round(a + b * (n - 1 + step), 2) AS value,
+  round(a + b * (n - 1 + step) - miss, 2) AS lower, round(a + b * (n - 1 + step) + miss, 2) AS upper, 0.9::DOUBLE AS level
+FROM f, n, steps, q""", 2)
+_add("m06_intervals_by_type", lambda spark, sf: forecast.linear_intervals(forecast.prepare(
+    _by_type(spark, sf), "day", "total", by=["event_type"]), level=0.7), """
+WITH g AS (SELECT event_type, CAST(ts AS DATE) AS day, round(sum(value), 2) AS y FROM events GROUP BY 1, 2),
+s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i,
+      count(*) OVER (PARTITION BY event_type) AS n, max(day) OVER (PARTITION BY event_type) AS last FROM g),
+f AS (SELECT event_type, any_value(n) AS n, any_value(last) AS last, regr_slope(y, i) AS b, regr_intercept(y, i) AS a
+      FROM s WHERE i < floor(n * 0.8) GROUP BY 1),
+t AS (SELECT s.event_type, abs(y - a - b * i) AS miss, row_number() OVER (PARTITION BY s.event_type ORDER BY abs(y - a - b * i)) AS place,
+        count(*) OVER (PARTITION BY s.event_type) AS tested FROM s JOIN f USING (event_type) WHERE i >= floor(s.n * 0.8)),
+q AS (SELECT event_type, miss FROM t WHERE place = ceil((tested + 1) * 0.7))
+SELECT event_type, 'linear_regression' AS method, step, CAST(last + CAST(step AS INTEGER) AS DATE) AS date,
+  round(a + b * (n - 1 + step), 2) AS value, round(a + b * (n - 1 + step) - miss, 2) AS lower,
+  round(a + b * (n - 1 + step) + miss, 2) AS upper, 0.7::DOUBLE AS level
+FROM f LEFT JOIN q USING (event_type), (SELECT unnest(range(1, 13)) AS step)""", 2)
 
 
 def _ensemble_facts(frame, keys):

@@ -182,3 +182,84 @@ def test_forest_of_a_long_series_uses_all_rows(spark):
     assert found.forecast.count() == 9 and found.importance.count() == 21
     whole = forecast.prepare(df.filter("k = 'long'"), "d", "v", lags=7)
     assert forecast.forest_forecast(whole, periods=3, trees=5, depth=6, rows=100).metrics.first().test_rows == 60
+
+
+def test_both_ways_grow_the_same_forest(spark):
+    rows = [(k, date(2020, 1, 1) + timedelta(days=n), float((n * 37) % 11 * m + (n % 30 > 20) * 50) + 0.37)
+            for k, m, size in (("a", 1, 260), (None, -3, 190)) for n in range(size)]
+    series = forecast.prepare(spark.createDataFrame(rows, "k string, d date, v double"), "d", "v", ["k"], lags=7)
+    whole = forecast.forest_forecast(series, periods=5, trees=6, depth=8, leaves=60)
+    spread = forecast.forest_forecast(series, periods=5, trees=6, depth=8, rows=0, leaves=60)
+
+    def figures(found):
+        return [sorted(map(repr, part.collect())) for part in (found.forecast, found.importance)]
+
+    assert figures(whole) == figures(spread)
+    close = {r.k: r for r in spread.metrics.collect()}
+    for r in whole.metrics.collect():
+        assert (r.test_rows, r.rmse, r.r_squared) == (close[r.k].test_rows, pytest.approx(close[r.k].rmse), pytest.approx(close[r.k].r_squared))
+
+
+def test_forest_splits_equal_a_plain_search():
+    import numpy as np
+
+    from sievelark.operators import forest
+
+    rng = np.random.default_rng(2)
+    for least in (1, 3):
+        n = rng.integers(0, 3, (4, 3, 6)).astype(float)
+        n[:, 1:] = n[:, :1]  # every feature sees the same rows
+        s = rng.integers(-9, 10, (4, 3, 6)) * n
+        s[:, 1:, 0] += s[:, :1].sum(axis=2) - s[:, 1:].sum(axis=2)
+        gain, base, feature, cut, n0, s0, n1, s1 = forest._best(n, s, least)
+        for k in range(4):
+            best = max(((s[k, f, : c + 1].sum() ** 2 / a + s[k, f, c + 1 :].sum() ** 2 / b, -f, -c) for f in range(3) for c in range(5)
+                        if (a := n[k, f, : c + 1].sum()) >= least and (b := n[k, f, c + 1 :].sum()) >= least), default=None)
+            if best is None or best[0] <= base[k] * (1 + 1e-9):
+                assert gain[k] == -np.inf
+            else:
+                assert gain[k] == pytest.approx(best[0]) and best[0] == pytest.approx(s0[k] ** 2 / n0[k] + s1[k] ** 2 / n1[k])
+
+
+def test_poisson_weights():
+    import numpy as np
+
+    from sievelark.operators import forest
+
+    drawn = forest.weights(np.arange(200_000), 3, 42)
+    assert abs(drawn.mean() - 1) < 0.01 and abs(drawn.var() - 1) < 0.02 and abs((drawn == 0).mean() - np.exp(-1)) < 0.005
+    assert not np.array_equal(drawn, forest.weights(np.arange(200_000), 4, 42))
+    assert np.array_equal(drawn[500:600], forest.weights(np.arange(500, 600), 3, 42))
+
+
+def test_intervals_hold_their_level(spark):
+    """Of 150 series with a trend and noise, about the level's share has the next value inside."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    size, many = 150, 400
+    noise = rng.standard_t(4, (many, size + 1))
+    values = 3 + 0.5 * np.arange(size + 1) + noise
+    rows = [(k, date(2020, 1, 1) + timedelta(days=n), float(values[k, n])) for k in range(many) for n in range(size)]
+    series = forecast.prepare(spark.createDataFrame(rows, "k long, d date, v double"), "d", "v", ["k"])
+    for level in (0.6, 0.9):
+        found = forecast.linear_intervals(series, 1, level).collect()
+        inside = np.mean([r.lower <= values[r.k, size] <= r.upper for r in found])
+        assert len(found) == many and abs(inside - level) < 0.05
+
+
+def test_interval_ranks(spark):
+    steps = spark.createDataFrame([("a", 1, 10.0), ("b", 1, 20.0), (None, 1, 30.0)], "k string, step long, value double")
+    tested = spark.createDataFrame([("a", float(m), 0.0) for m in (5, -1, 3, 2, 4, 9, -7, 6, 8)] + [("b", 1.0, 0.0)] + [
+        (None, 2.0, 0.0)] * 30, "k string, y double, guess double")
+    for rows in (forecast.GROUP_ROWS, 4):
+        got = {r.k: (r.lower, r.upper) for r in forecast.with_intervals(steps, tested, ["k"], 0.7, rows).collect()}
+        assert got == {"a": (3.0, 17.0), "b": (None, None), None: (28.0, 32.0)}  # the 7th of 9 misses; one row is too few
+    with pytest.raises(ValueError):
+        forecast.with_intervals(steps, tested, ["k"], 1.0)
+
+
+def test_forest_intervals(spark):
+    s = forecast.prepare(series(spark, [10, 20, 30, 40] * 20), "d", "v", lags=7)
+    for r in forecast.forest_intervals(s, periods=3, level=0.8, trees=10).collect():
+        assert r.lower <= r.value <= r.upper and r.upper - r.lower < 20
