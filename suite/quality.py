@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievelark.functions import predicates
-from sievelark.operators import profile, quality
+from sievelark.operators import cleaning, profile, quality
 from suite.inputs import DIRTY_CTE, TRANSACTIONS_SQL, dirty_customers, rounded, table, transactions
 
 QUERIES = {}
@@ -16,11 +16,12 @@ TEXTS = "name email phone created_date balance_text score_text category".split()
 NUMBERS = "id quantity amount".split()
 ALL = ", ".join(COLUMNS)
 
-EMAIL = r"'^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}$'"
-NUMBER = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
+EMAIL = f"'{predicates.EMAIL_PATTERN}'"
+NUMBER = f"'{predicates.NUMBER_PATTERN}'"
 BAD_EMAIL = f"NOT regexp_matches(email, {EMAIL})"
 BAD_PHONE = r"NOT regexp_matches(regexp_replace(phone, '[^0-9+]', '', 'g'), '^(\+?1)?[2-9][0-9]{2}[2-9][0-9]{6}$')"
-DATE_TRIES = ", ".join(f"try_strptime({{c}}, '{f}')" for f in ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%Y/%m/%d"))
+DATE_FORMATS = ("%Y-%m-%d", "%d-%m-%Y", "%m-%d-%Y", "%Y/%m/%d", "%d/%m/%Y", "%m/%d/%Y", "%Y-%m-%d %H:%M:%S", "%d-%m-%Y %H:%M:%S")
+DATE_TRIES = ", ".join(f"try_strptime({{c}}, '{f}')" for f in DATE_FORMATS)
 BAD_DATE = f"created_date IS NOT NULL AND coalesce({DATE_TRIES.format(c='created_date')}) IS NULL"
 
 
@@ -229,12 +230,12 @@ def _recommended(d):
 
 _dirty("f13_recommendations", _recommended, f"""{_SCORE}
 SELECT unnest(list_filter([
-  CASE WHEN copies > 0 THEN concat('Remove ', copies, ' duplicate records found in dataset') END,
-  CASE WHEN emails > 0 THEN concat('Fix ', emails, ' invalid email addresses') END,
-  CASE WHEN phones > 0 THEN concat('Correct ', phones, ' invalid phone numbers') END,
-  CASE WHEN dates > 0 THEN concat('Standardize ', dates, ' invalid date formats') END,
-  CASE WHEN negatives > 0 THEN concat('Review ', negatives, ' negative quantity records') END,
-  CASE WHEN outliers > 0 THEN concat('Investigate ', outliers, ' potential outliers in numeric columns') END],
+  CASE WHEN copies > 0 THEN concat(copies, ' rows repeat another one: deduplicate') END,
+  CASE WHEN emails > 0 THEN concat(emails, ' values cannot be e-mail addresses: correct or empty them') END,
+  CASE WHEN phones > 0 THEN concat(phones, ' values fit no telephone plan: correct or empty them') END,
+  CASE WHEN dates > 0 THEN concat(dates, ' dates have an unknown form: bring them into one') END,
+  CASE WHEN negatives > 0 THEN concat(negatives, ' amounts or counts are below zero: check their signs') END,
+  CASE WHEN outliers > 0 THEN concat(outliers, ' values lie beyond the quartile fences: confirm them') END],
   lambda x: x IS NOT NULL)) AS recommendation FROM w""")
 
 
@@ -295,3 +296,36 @@ _add("f08_transaction_outliers", lambda spark, sf: quality.quality_report(
     + " FROM t) SELECT 'outlier' AS \"check\", " + " + ".join(
         f"count(*) FILTER (WHERE {c} < {c}1 - 1.5 * ({c}3 - {c}1) OR {c} > {c}3 + 1.5 * ({c}3 - {c}1))"
         for c in ("amount", "cost", "quantity")) + " AS count FROM t, b")
+
+
+# --- dates in every form ------------------------------------------------------------------
+
+DATES_CTE = """
+dates AS (SELECT o_orderkey AS id, CASE o_orderkey % 11
+    WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 2 THEN strftime(o_orderdate, '%m-%d-%Y')
+    WHEN 3 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 4 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 5 THEN strftime(o_orderdate, '%m/%d/%Y')
+    WHEN 6 THEN strftime(o_orderdate, '%Y-%m-%d 07:08:09') WHEN 7 THEN strftime(o_orderdate, '%d-%m-%Y 17:28:39')
+    WHEN 8 THEN strftime(o_orderdate, '%Y.%m.%d') WHEN 9 THEN concat(o_orderkey % 40, '/', o_orderkey % 15, '/2021') END AS created_date
+  FROM orders)"""
+_FORMS = ("yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy-MM-dd '07:08:09'", "dd-MM-yyyy '17:28:39'",
+          "yyyy.MM.dd")
+
+
+def every_date_form(spark, sf):
+    """Dates of orders in the eight accepted forms, a ninth that is none, days and months beyond the calendar, and gaps."""
+    orders = table(spark, sf, "orders")
+    which = F.col("o_orderkey") % 11
+    text = F.concat((F.col("o_orderkey") % 40).cast("string"), F.lit("/"), (F.col("o_orderkey") % 15).cast("string"), F.lit("/2021"))
+    made = F.when(which == 9, text)
+    for n, form in enumerate(_FORMS):
+        made = made.when(which == n, F.date_format("o_orderdate", form))
+    return orders.select(F.col("o_orderkey").alias("id"), made.alias("created_date"))
+
+
+_add("f06_every_date_form", lambda spark, sf: quality.violations(every_date_form(spark, sf), ["id"], ("date",)).select("id", "check", "column", "value"),
+     f"""WITH {DATES_CTE.strip()}
+SELECT id, 'date' AS "check", 'created_date' AS "column", created_date AS value FROM dates WHERE {BAD_DATE}""")
+_add("c04_every_date_form", lambda spark, sf: cleaning.standardize_dates(every_date_form(spark, sf)).select(
+    "id", F.date_format("created_date", "yyyy-MM-dd HH:mm:ss").alias("created_date")),
+     f"""WITH {DATES_CTE.strip()}
+SELECT id, strftime(coalesce({DATE_TRIES.format(c='created_date')}), '%Y-%m-%d %H:%M:%S') AS created_date FROM dates""")

@@ -108,7 +108,7 @@ def test_dirty_report(spark):
     s = report["scores"]
     assert 0 <= s.overall_quality_score <= 100 and s.critical_issues + s.warning_issues > 0
     assert s.invalid_emails == 1 and s.negative_quantities == 1 and s.outliers == 1
-    assert report["recommendations"][0] == "Address missing values in columns: id, email"
+    assert report["recommendations"][0] == "More than a fifth of the values is missing in: id, email"
     checks = {r["check"] for r in report["violations"].collect()}
     assert checks == {"email", "negative", "outlier"}
 
