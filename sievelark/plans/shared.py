@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def byte_setting(spark: SparkSession, name: str) -> int:
+    """A setting of the session in bytes; it may carry a unit."""
+    text = spark.conf.get(name).lower().removesuffix("b")
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
+
+
 @contextmanager
 def work_tables(spark: SparkSession) -> Iterator[str]:
     """A folder of one run: tables written inside the block go there and are removed at its end.

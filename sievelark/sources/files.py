@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelark.plans.longform import quoted
+from sievelark.plans.shared import byte_setting
 from sievelark.sources.splits import array_to_lines, largest_file, read_csv_splits
 
 # Texts that stand for a missing value in a CSV file.
@@ -85,13 +86,6 @@ def _is_array(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0]["v"].startswith("[")
 
 
-def _split_bytes(spark: SparkSession) -> int:
-    """The session's size of a file split; the setting may carry a unit."""
-    text = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").lower().removesuffix("b")
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
-
-
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=None,
                  null_tokens: tuple[str, ...] = NULL_TOKENS, encoding: str = "UTF-8",
                  multi_line: bool | None = None, split_bytes: int | None = None) -> DataFrame:
@@ -104,7 +98,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=
     Compressed files and CSV in other encodings than UTF-8 are read whole. JSON lines and Parquet split over tasks.
     """
     kind = format_of(path, fmt)
-    split_bytes = split_bytes or _split_bytes(spark)
+    split_bytes = split_bytes or byte_setting(spark, "spark.sql.files.maxPartitionBytes")
     if kind == "csv":
         return nan_to_null(_read_csv(spark, path, schema, null_tokens, encoding, multi_line, split_bytes))
     if kind == "json":

@@ -7,10 +7,11 @@ import uuid
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from sievelark.functions import roles
-from sievelark.operators import catalog, cleaning, kpi
+from sievelark.operators import catalog, cleaning, incremental, kpi
 from sievelark.plans.rowid import with_row_index
 from sievelark.plans.shared import shared_dir
 from sievelark.sources import files
@@ -279,6 +280,50 @@ WITH u AS (SELECT DISTINCT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS
 SELECT *, 'table' AS place FROM u UNION ALL SELECT *, 'csv' FROM u""")
 
 
+def _incremental(spark, sf):
+    """Orders in two appends: the second update scans the new files alone, the profile is that of all rows."""
+    place, state = _place(spark, "grown"), _place(spark, "state")
+    orders, seen = table(spark, sf, "orders"), []
+    for part in (0, 1):
+        orders.filter(F.col("o_orderkey") % 2 == part).write.mode("append").parquet(place)
+        before = seen[-1][0] if seen else 0
+        files_now = incremental.files_of(spark, place).filter(F.col("file").endswith(".parquet")).count()
+        seen.append((files_now, incremental.update(spark, place, state) == files_now - before))
+    again = incremental.update(spark, place, state) == 0
+    found = incremental.profile(spark, place, state)
+    near = F.abs(F.col("distinct_estimate") / F.lit(orders.count()) - 1) < 0.05
+    return rounded(found.select(
+        "column", "kind", "rows", "nulls", "mean", "std", "least", "largest", "suggested",
+        F.when(F.col("column") == "o_orderkey", near).alias("distinct_is_near"), F.lit(seen[1][1] and again).alias("new_files_only")), 3, 0.0)
+
+
+_NUMERIC = ("o_orderkey", "o_custkey", "o_totalprice")
+_add("p01_p08_incremental_profile", _incremental, " UNION ALL ".join(
+    [f"""SELECT '{c}' AS "column", 'numeric' AS kind, count(*) AS rows, count(*) - count({c}) AS nulls, round(avg({c}), 3) AS mean,
+  round(stddev_samp({c}), 3) AS std, round(min({c})::DOUBLE, 3) AS least, round(max({c})::DOUBLE, 3) AS largest, 'numeric' AS suggested,
+  {'true' if c == 'o_orderkey' else 'NULL::BOOLEAN'} AS distinct_is_near, true AS new_files_only FROM orders""" for c in _NUMERIC]
+    + [f"""SELECT c.column_name, CASE WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'other' END, n.n, 0, NULL, NULL, NULL, NULL,
+  CASE WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'other' END, NULL, true FROM (DESCRIBE orders) AS c, (SELECT count(*) AS n FROM orders) AS n
+  WHERE c.column_name NOT IN {_NUMERIC}""".replace("data_type", "column_type")]))
+
+
+def _refused(spark, sf):
+    """How many commands against an existing view are refused by the parser, and the rows the view has afterwards."""
+    view = f"guarded_{uuid.uuid4().hex}"
+    table(spark, sf, "nation").createOrReplaceTempView(view)
+    commands = (f"DROP VIEW {view}", f"INSERT INTO {view} SELECT * FROM {view}", f"CREATE OR REPLACE TEMP VIEW {view} AS SELECT 1",
+                f"SELECT * FROM {view}); DROP VIEW {view}; SELECT (1", f"TRUNCATE TABLE {view}", "SET spark.sql.ansi.enabled = false")
+    refused = 0
+    for command in commands:
+        try:
+            catalog.run_sql(spark, command).collect()
+        except ParseException:
+            refused += 1
+    left = catalog.run_sql(spark, f"WITH created_at AS (SELECT * FROM {view}) SELECT * FROM created_at ORDER BY 1").count()
+    spark.catalog.dropTempView(view)
+    return refused, left
+
+
 def _stored_lookups(spark, sf):
     """Search by name, runs by status, history and a run by its id, all through the registry."""
     registry, ids = _registry(spark, sf)
@@ -290,19 +335,14 @@ def _stored_lookups(spark, sf):
               (registry.history("validation", ids["part"], 1), "t04_history_of_one"), (again, "t10_run_by_id"), (exported, "s06_export")]
     parts = [frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("lookup"), "rows") for frame, name in counts]
     shown = reduce(lambda a, b: a.unionByName(b), parts)
-    refused = 0
-    for command in ("DROP TABLE x", "INSERT INTO x VALUES (1)", "SET a = b"):
-        try:
-            catalog.run_sql(spark, command).collect()
-        except Exception:  # any refusal counts
-            refused += 1
-    return shown.unionByName(spark.createDataFrame([("f21_commands_refused", refused), ("f18_total", total)], "lookup string, rows long"))
+    refused, kept = _refused(spark, sf)
+    return shown.unionByName(spark.createDataFrame([("f21_commands_refused", refused), ("f21_rows_left", kept), ("f18_total", total)], "lookup string, rows long"))
 
 
 _add("s06_f18_f21_f23_t04_t10_lookups", _stored_lookups, """
 SELECT 'f18_name_search' AS lookup, CAST(1 AS BIGINT) AS rows UNION ALL SELECT 'f18_total', 1 UNION ALL
 SELECT 'f23_runs_of_a_dataset', 2 UNION ALL SELECT 't04_history_of_one', 1 UNION ALL SELECT 't10_run_by_id', 1 UNION ALL
-SELECT 'f21_commands_refused', 3 UNION ALL SELECT 's06_export', count(*) FROM supplier""")
+SELECT 'f21_commands_refused', 6 UNION ALL SELECT 'f21_rows_left', count(*) FROM nation UNION ALL SELECT 's06_export', count(*) FROM supplier""")
 
 
 def _catalog(spark, sf):
