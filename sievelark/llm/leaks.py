@@ -9,8 +9,9 @@ target recall. That holds for unbroken passages; an item scattered over a long d
 sets: ``|item and document| / |item|``. Items of up to eight shingles, for which hashing saves
 nothing, are looked up by their shingles directly.
 
-Documents are read once and never shuffled. The items travel to the tasks, in blocks of
-at most ``BLOCK_CHARS`` characters (one pass over the documents for each block).
+Documents are read once and never shuffled; only their texts go through Python. The items travel to the tasks, in blocks of
+at most ``BLOCK_CHARS`` characters, one block after the other: with several blocks each has a pass over the documents of its own, whose
+result is written, so a task never holds more than one.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelark.llm import text as texts
+from sievelark.llm.names import hidden
+from sievelark.plans.shared import write_shared
 
 THRESHOLD = 0.8
 RECALL = 0.9999
@@ -159,7 +163,7 @@ class Items:
 
 
 def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text"))
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).dropDuplicates()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
     for block in range(blocks):
@@ -167,6 +171,17 @@ def _item_blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tup
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").toLocalIterator()]
 
 
+def _finder(index: Broadcast):
+    """The items of a broadcast block that each text contains."""
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_shingles", pa.int64()), ("containment", pa.float64())]))
+
+    @F.arrow_udf(MATCHES)
+    def found(column: pa.Array) -> pa.Array:
+        return pa.array(index.value.matches(column), kind)
+
+    return found
+
+
 def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
                item_text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL,
                out: str = "matches") -> DataFrame:
@@ -175,25 +190,22 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
 
     NULL and empty texts hold no item, an item without words is in no text, an empty table of items
     gives empty lists. Items of fewer than five words count as one shingle of that many words. Repeated
-    rows each get their list. A column of ``docs`` named like ``out`` is replaced; others pass
-    through untouched.
+    rows each get their list. An item is a distinct row of ``items``: rows repeated with id and text are one, rows that share
+    an id and differ in text are items of their own, and so are rows with a NULL id. A column of ``docs`` named like ``out`` is
+    replaced; others pass through untouched.
     """
     spark = docs.sparkSession
-    docs = docs.drop(out).withColumn(out, F.array().cast(MATCHES))
+    docs = docs.drop(out)
+    columns, seen = docs.columns, None
     for rows in _item_blocks(items, item_id, item_text):
         index = spark.sparkContext.broadcast(Items(rows, threshold, recall))
 
-        def marked(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names
-                found = index.value.matches(batch.column(names.index(text)))
-                at = names.index(out)
-                merged = [(a or []) + b for a, b in zip(batch.column(at).to_pylist(), found, strict=True)]
-                columns = [pa.array(merged, batch.schema.field(at).type) if n == at else c
-                           for n, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        docs = docs.mapInArrow(marked, docs.schema)
+        matches = _finder(index)(F.col(text).cast("string"))
+        if seen is not None:
+            docs = write_shared(docs, "marked")  # the block before is done with
+            matches = F.concat(F.col(out), matches)
+        docs = docs.select(*[F.col(f"`{c}`") for c in columns], matches.alias(out))
+        seen = index
     return docs
 
 
@@ -206,5 +218,6 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with their columns."""
-    marked = mark_leaks(docs, items, out="__matches", **options)
-    return marked.filter(F.size("__matches") == 0).drop("__matches")
+    names, own = docs.columns, hidden(docs.columns)
+    marked = mark_leaks(docs.withColumnsRenamed(own), items, out="__matches", **options)
+    return marked.filter(F.size("__matches") == 0).select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

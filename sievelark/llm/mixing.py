@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievelark.llm.names import hidden
 from sievelark.plans.rowid import is_scan, with_place
 from sievelark.plans.shared import write_shared
 
@@ -36,7 +37,7 @@ CELL = 4096
 def placed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__row``, the file and the place in it: what tells repeated rows apart, also when a task runs again.
 
-    Rows of a file scan have a place; any other frame is written first.
+    Rows of a file scan have a place; any other frame is written first. Columns of these names are the caller's to keep elsewhere.
     """
     docs = docs.drop("__row", "__file", "__at")
     placed = with_place(docs, "__file", "__at") if is_scan(docs) else None
@@ -197,6 +198,9 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others the text is what the pass takes, in order, and ``length`` its characters. Documents that the mix
     does not take are absent, twice-taken ones appear twice. All columns of ``docs`` stay.
     """
+    names = docs.columns
+    own = hidden(names)
+    docs = docs.withColumnsRenamed(own)
     placed = placed_documents(docs)
     sized = sized_documents(placed, doc_id, text, source)
     sources = write_shared(targets(sized), "sources")
@@ -208,4 +212,4 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     mixed = placed.join(spans.drop("use"), "__row").withColumn("__words", tokens).withColumn(text, joined)
     if length in docs.columns:
         mixed = mixed.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return mixed.select(*docs.columns)
+    return mixed.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sievelark.llm import text as texts
 from sievelark.llm.components import components
+from sievelark.llm.names import hidden
 from sievelark.plans.shared import write_shared
 
 THRESHOLD = 0.8
@@ -183,7 +184,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """A row for each document: doc_id, class_id (least doc_id of its class) and n_links (other
     documents with a similarity of ``threshold`` or more, exact copies included).
 
-    NULL, empty and white-space texts have no links and are classes of their own. Repeated rows are
+    NULL, empty and white-space texts have no links and are classes of their own. A row with a NULL id links like any other; a
+    class of which no id is known has class_id NULL. Repeated rows and rows that share an id are
     documents like any other: they link to each other and share a class. Only ``doc_id`` and ``text`` are
     read, so other columns cannot clash; an empty table gives an empty result.
     """
@@ -191,14 +193,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, the two hashes of the text, class_id, n_links."""
+    """doc_id, the two hashes of the text, whether the row is the first of its class, class_id, n_links.
+
+    The first row is the least by (NULL ids last, doc_id, hashes of the text); texts without words are classes of their own.
+    """
     keys = ["node", "check"]
     sketch = write_shared(sketches(docs, threshold, recall, doc_id, text), "sketch")
     nodes = sketch.filter("size > 0").groupBy(*keys).agg(
         F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
     nodes = write_shared(nodes, "nodes")
 
-    one = sketch.filter("size > 0").join(nodes.select(*keys, "doc_id"), [*keys, "doc_id"], "left_semi")
+    sized, least = sketch.filter("size > 0"), nodes.select(*keys, "doc_id")
+    one = sized.join(least, [*(sized[k] == least[k] for k in keys), sized["doc_id"].eqNullSafe(least["doc_id"])], "left_semi")
     buckets = one.select("node", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("most > hub")
     ties = buckets.join(hubs, "bucket").filter(F.col("node") > F.col("hub"))
@@ -232,25 +238,28 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float = THRESHO
     found = nodes.join(links, keys, "left").join(roots, "node", "left").select(
         *keys, "doc_id", F.coalesce("root", "node").alias("root"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    classes = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    found = found.join(classes, "root").select(*keys, "class_id", "n_links")
+    leader = F.struct(F.col("doc_id").isNull(), "doc_id", *keys)
+    classes = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(leader).alias("leader"))
+    found = found.join(classes, "root").select(*keys, "class_id", "n_links", "leader")
     documents = sketch.select("doc_id", "size", *keys)
     return documents.join(found, keys, "left").select(
-        "doc_id", *keys, F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        "doc_id", *keys, (F.col("leader").isNull() | leader.eqNullSafe(F.col("leader"))).alias("first"), F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("size") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are first (by doc_id) of their near-duplicate class, with all columns.
+    """One document of each near-duplicate class, the first by doc_id (NULL last, then by the hashes of the text), with all columns.
 
     Of rows that repeat the id and the text of the first document one stays. The others are removed by a join with their
     keys, which is broadcast while they are at most ``BROADCAST_ROWS``.
     """
     keys = ["__id", "node", "check"]
+    names, own = docs.columns, hidden(docs.columns, ("node", "check"))
+    docs = docs.withColumnsRenamed(own)
     classes = _classes(docs, doc_id, text, **options).withColumnRenamed("doc_id", "__id")
-    marked = write_shared(classes.select(*keys, F.col("__id").eqNullSafe(F.col("class_id")).alias("first")), "firsts")
+    marked = write_shared(classes.select(*keys, "first"), "firsts")
     others = marked.filter(~F.col("first")).select(*keys)
-    kept = docs.withColumnsRenamed({c: f"__own_{c}" for c in keys if c in docs.columns}).withColumns({"__id": F.col(doc_id).cast("long"), "node": F.xxhash64(text), "check": F.xxhash64(F.lit(7), F.col(text))})
+    kept = docs.withColumns({"__id": F.col(doc_id).cast("long"), "node": F.xxhash64(text), "check": F.xxhash64(F.lit(7), F.col(text))})
     if others.count() <= BROADCAST_ROWS:
         others = F.broadcast(others)
 
@@ -263,4 +272,4 @@ def one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         single = kept.join(repeated, same(kept, repeated), "left_anti")
         again = kept.join(repeated, same(kept, repeated), "left_semi").dropDuplicates(keys)
         kept = single.unionByName(again)
-    return kept.select(*[F.col(f"`__own_{c}`").alias(c) if c in keys else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(f"`{own.get(c, c)}`").alias(c) for c in names])

@@ -91,3 +91,22 @@ def test_shingles_agree_with_the_plain_way():
 def test_every_size_partition_has_enough_hash_functions():
     items = leaks.Items([(1, " ".join(f"w{n}" for n in range(40)))], leaks.THRESHOLD, leaks.RECALL)
     assert all(items.count >= leaks.hash_count(leaks.THRESHOLD, leaks.RECALL, leaks.SMALLEST << level) for level in range(20))
+
+
+def test_repeated_items(spark):
+    text = sentence(random.Random(4), 30)
+    rows = [(1, "before " + text + " after", "en", "s"), (2, text[:40], "en", "s")]
+    items = [(1, text), (1, text), (1, text + " and more of it that is only here"), (None, text), (None, text)]
+    result = leaks.leaks(documents(spark, rows), spark.createDataFrame(items, ITEMS))
+    assert found(result) == plain(rows, list(dict.fromkeys(items)))
+    assert [r[1] for r in found(result)].count(None) == 1
+
+
+def test_a_pass_for_each_block_of_items(spark, monkeypatch):
+    rows, items = planted(7)
+    whole = found(leaks.leaks(documents(spark, rows), spark.createDataFrame(items, ITEMS)))
+    monkeypatch.setattr(leaks, "BLOCK_CHARS", 900)
+    docs = clashing(documents(spark, rows), "__matches", "matches")
+    assert found(leaks.leaks(documents(spark, rows), spark.createDataFrame(items, ITEMS))) == whole
+    kept = leaks.without_leaks(docs, spark.createDataFrame(items, ITEMS))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {w[0] for w in whole}

@@ -75,6 +75,26 @@ def test_one_per_class(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "class_id", "node"]
 
 
+def test_null_ids_link_like_others(spark):
+    rng = random.Random(8)
+    text = sentence(rng, 200)
+    rows = [(None, text + " extra", "en", "s"), (None, text + " more extra", "en", "s"), (7, text, "en", "s"), (None, sentence(rng, 50), "en", "s"),
+            (None, sentence(rng, 60), None, None)]
+    found = got(neardup.jaccard_classes(documents(spark, rows)))
+    assert found == sorted([(7, 7, 2), (None, 7, 2), (None, 7, 2), (None, None, 0), (None, None, 0)], key=str)
+    kept = neardup.one_per_class(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(7, text), (0, rows[3][1]), (0, rows[4][1])])
+    alone = neardup.one_per_class(documents(spark, rows[:2])).collect()
+    assert len(alone) == 1 and alone[0].doc_id is None
+
+
+def test_one_row_of_a_class_that_shares_an_id(spark):
+    text = sentence(random.Random(9), 200)
+    rows = [(1, text, "en", "s"), (1, text + " extra", "en", "s"), (2, text + " extra more", "en", "s"), (1, "quite another text of six words", "en", "s")]
+    kept = sorted((r.doc_id, r.text) for r in neardup.one_per_class(documents(spark, rows)).collect())
+    assert len(kept) == 2 and kept[1][0] == 1 and rows[3][1] in (kept[0][1], kept[1][1])
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(n + 1, n) for n in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(60)] + [(7, 7)]
