@@ -7,7 +7,7 @@ import pytest
 from sievelark.llm import queries
 from tests.compare import connect, difference
 from tests.conftest import SF
-from tests.llm.common import documents, odd_rows
+from tests.llm.common import clashing, documents, odd_rows
 from tests.llm.test_language import corpus
 from tests.llm.test_leaks import plain
 from tests.llm.test_neardup import plain_classes
@@ -57,3 +57,22 @@ def test_stages_on_odd_rows(spark):
             result = stage(spark, docs, SF)
             assert name == "token_files" or result.columns == docs.columns
             result.count()
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = odd_rows() + corpus(60)
+    names = ["__language", "__matches", "__row", "__file", "__at", "__words", "__spans", "__id", "node", "check", "__own_node", "matches"]
+    docs = clashing(documents(spark, rows), *names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        result = stage(spark, docs, SF)
+        assert result.columns == docs.columns, name
+        kept = result.collect()
+        assert kept and all(r[n] == f"own {n}" for r in kept for n in names), name
+
+
+def test_two_runs_do_not_disturb_each_other(spark):
+    docs = documents(spark, corpus(120))
+    first = corpus_pipeline.STAGES[-1][1](spark, docs, "one")
+    other = corpus_pipeline.STAGES[0][1](spark, docs, "two")
+    corpus_pipeline.STAGES[1][1](spark, docs, "one")
+    assert first.count() == 120 and other.count() > 0
