@@ -6,8 +6,8 @@ centroid. A query probes as many lists as held the target share of true neighbou
 
 Vectors are rotated at random, so that a partial distance over the first ``d`` of ``D`` dimensions estimates the whole one.
 Within a list, dimensions are scanned in column blocks of ``COLUMNS``; after each block a
-candidate is abandoned if its estimate exceeds the query's bound by the factor ``(1 + EPSILON / sqrt(d))^2``, a test of the
-hypothesis that it belongs to the result. The bound is the distance of the query's (``BOUND_FACTOR`` k)-th neighbour in
+candidate is abandoned if its estimate exceeds the query's bound by the factor ``(1 + EPSILON * sqrt((1 - d / D) / d))^2``, a test
+of the hypothesis that it belongs to the result (the dimensions are drawn without replacement: the estimate gets surer as fewer are left). The bound is the distance of the query's (``BOUND_FACTOR`` k)-th neighbour in
 the sample. What survives all blocks is ranked by the exact inner product of the original vectors. A query that
 found fewer than k candidates is asked again, of all lists and without a bound.
 
@@ -33,7 +33,7 @@ SAMPLE_BYTES = 64_000_000
 """The fit sees about so many vectors at most, drawn by the hash of the id."""
 
 COLUMNS = 16
-EPSILON = 2.1
+EPSILON = 1.3
 BOUND_FACTOR = 3
 RECALL = 0.97
 PART_ROWS = 2048
@@ -142,7 +142,7 @@ def scan(part: np.ndarray, queries: np.ndarray, limits: np.ndarray) -> tuple[np.
 
 
 def _slack(seen: int, dimension: int) -> float:
-    return 1.001 if seen >= dimension else (1 + EPSILON / math.sqrt(seen)) ** 2
+    return 1.001 if seen >= dimension else (1 + EPSILON * math.sqrt((1 - seen / dimension) / seen)) ** 2
 
 
 def _searched(index: Index, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec
     rows = rows.filter(F.size("vector") == shape.d)
     wanted = min(SAMPLE_ROWS, max(1024, SAMPLE_BYTES // (8 * shape.d)))
     share = F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 40)) / float(1 << 40)
-    sample = rows if shape.n <= wanted else rows.filter(share < wanted / shape.n).limit(2 * wanted)
+    sample = rows if shape.n <= wanted else rows.filter(share < wanted / shape.n).orderBy(share, "vector").limit(2 * wanted)
     sample = sorted((r.vec_id, r.vector) for r in sample.collect())
     index = fit(np.array([v for _, v in sample]), np.array([i for i, _ in sample]), shape.n, shape.largest, k, recall, seed)
     sent = spark.sparkContext.broadcast(index)
