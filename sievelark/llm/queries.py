@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievelark.llm import (
@@ -36,6 +36,20 @@ def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
 
 
+def quoting_conversations(conversations: DataFrame) -> DataFrame:
+    """The given conversations, every third turn quoting the first sentence of the turn before it."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    first = F.split(F.trim(F.regexp_replace(F.lag("text").over(before), r"\s+", " ")), r"(?<=[.!?]) ", 2)[0]
+    quoted = F.when((F.col("turn") % 3 == 1) & (first != ""), F.concat(F.lit("> "), first, F.lit("\n"), "text"))
+    return conversations.select("conv_id", "turn", "role", F.coalesce(quoted, "text").alias("text"))
+
+
+def quote_links_of_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking where it has something to link: conversations derived from the given ones."""
+    found = quotes.linked_conversations(quoting_conversations(table(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "turn", "text", "reply_to", "thread", "depth", "n_quotes", "n_linked")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.learnable(docs))
@@ -88,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_blocks, op2_toxicity, op3_quote_links, op4_language, op5_nearest, op6_warc_derivatives, op7_main_text,
+    op1_token_blocks, op2_toxicity, op3_quote_links, quote_links_of_replies, op4_language, op5_nearest, op6_warc_derivatives, op7_main_text,
     op8_mixture, op9_jaccard_classes, op10_leaks, op11_infill, op12_clusters, op13_licences, pipeline)}
 
 
@@ -129,6 +143,26 @@ ORACLES = {
         CAST(0 AS BIGINT) AS n_quotes, CAST(0 AS BIGINT) AS n_linked,
         concat('<|', coalesce(role, 'unknown'), '|>', chr(10), coalesce(text, ''), chr(10), '<|end|>') AS formatted
       FROM conversations WHERE (SELECT count(*) FROM conversations WHERE regexp_matches(text, '(^|\n)[ \t]*>')) = 0""",
+    "quote_links_of_replies": r"""
+      WITH RECURSIVE c AS (SELECT *, trim(regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '\s+', ' ', 'g')) AS p
+                           FROM conversations),
+      q AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN p END AS quoted FROM
+            (SELECT conv_id, turn, text, CASE WHEN p <> '' THEN CASE WHEN regexp_matches(p, '[.!?] ')
+               THEN regexp_extract(p, '^(.*?[.!?]) ', 1) ELSE p END END AS p FROM c)),
+      pieces AS (SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(unnest(list_concat([text], regexp_split_to_array(text, '\n'),
+                   regexp_split_to_array(text, '\n[ \t]*\n'), string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+                   '([.!?\x{2026}\x{3002}]) ', '\1' || chr(1), 'g'), chr(1))))), '\s+', ' ', 'g')) AS piece
+                 FROM conversations WHERE text IS NOT NULL),
+      r AS (SELECT q.conv_id, q.turn, max(o.turn) AS reply_to FROM q JOIN pieces o ON o.conv_id = q.conv_id AND o.turn < q.turn
+              AND o.piece = lower(q.quoted) GROUP BY 1, 2),
+      t AS (SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM r
+            UNION ALL SELECT t.conv_id, t.turn, r.reply_to, t.depth + 1 FROM t JOIN r ON r.conv_id = t.conv_id AND r.turn = t.thread),
+      d AS (SELECT conv_id, turn, min(thread) AS thread, max(depth) AS depth FROM t GROUP BY 1, 2)
+      SELECT q.conv_id, q.turn, CASE WHEN coalesce(quoted, '') <> '' THEN regexp_replace(text, '^\s+|\s+$', '', 'g') ELSE text END AS text, r.reply_to,
+        coalesce(d.thread, q.turn) AS thread, CAST(coalesce(d.depth, 0) AS INTEGER) AS depth,
+        CAST(CASE WHEN coalesce(quoted, '') <> '' THEN 1 ELSE 0 END AS BIGINT) AS n_quotes,
+        CAST(CASE WHEN r.reply_to IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_linked
+      FROM q LEFT JOIN r ON r.conv_id = q.conv_id AND r.turn = q.turn LEFT JOIN d ON d.conv_id = q.conv_id AND d.turn = q.turn""",
     "op9_jaccard_classes": f"""
       WITH RECURSIVE s AS ({_shingles("documents", "doc_id")}),
       n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),

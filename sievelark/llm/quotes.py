@@ -2,9 +2,9 @@
 
 1. Lines of messages that quote are parsed: their level is the number of leading ``>``. Neighbouring lines of one level
    form a passage; blank lines end it. A line that announces the quote below it ("... wrote:") belongs to the quote.
-2. Passages, and their lines one by one, are normalised (lower case, single spaces) and hashed.
-3. A quoted passage is joined to the latest earlier message of its conversation whose own text, a paragraph of it or
-   a line of it has the same hash. The lookup runs in blocks of ``BLOCK_TURNS`` turns, with the last hit of earlier
+2. Passages, and their lines and sentences one by one, are normalised (lower case, single spaces) and hashed.
+3. A quoted passage is joined to the latest earlier message of its conversation whose own text, a paragraph, a line or a sentence
+   of it has the hash of the passage or of one of its lines or sentences. The lookup runs in blocks of ``BLOCK_TURNS`` turns, with the last hit of earlier
    blocks carried forward, so neither a long conversation nor a common passage gathers in one task.
 4. A message replies to the message that its longest linked passage of the lowest level comes from. Threads are followed to
    their first message by pointer doubling. Rows come ordered by conversation, thread and turn: a reply comes after what
@@ -24,6 +24,8 @@ LINE_END = r"\r\n|\r|\n"
 PREFIX = r"^[ \t]*>(?:[ \t]*>)*"
 ANNOUNCED = r"(?i)\b(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 
+SENTENCE_END = r"(?<=[.!?\u2026\u3002]) "
+
 _KEY = ["conv_id", "turn"]
 
 
@@ -31,6 +33,11 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a normalised text, with their signs."""
+    return F.split(text, SENTENCE_END)
+
+
 def quote_lines(messages: DataFrame) -> DataFrame:
     """A row for each line of the messages: level, body, number of its passage (run) and whether it announces a quote."""
     lines = messages.select("row", *_KEY, F.posexplode(F.split("text", LINE_END)).alias("place", "line"))
@@ -48,18 +55,19 @@ def quote_lines(messages: DataFrame) -> DataFrame:
 
 
 def passages(lines: DataFrame) -> DataFrame:
-    """row, conv_id, turn, level, run, key (hash) and weight of all passages and of their single lines."""
+    """row, conv_id, turn, level, run, key (hash) and weight of all passages and of their single lines and sentences."""
     whole = lines.filter(~F.col("breaks")).groupBy("row", *_KEY, "level", "run").agg(
         F.sort_array(F.collect_list(F.struct("place", "body"))).alias("lines"))
     bodies = F.transform("lines", lambda s: normalised(s.body))
-    pieces = F.array_distinct(F.concat(F.array(normalised(F.array_join(bodies, " "))), bodies))
-    return whole.select("row", *_KEY, "level", "run", F.explode(pieces).alias("piece")).filter("piece <> ''").select(
+    joined = whole.select("row", *_KEY, "level", "run", bodies.alias("bodies"), normalised(F.array_join(bodies, " ")).alias("joined"))
+    pieces = F.array_distinct(F.concat(F.array("joined"), "bodies", sentences(F.col("joined"))))
+    return joined.select("row", *_KEY, "level", "run", F.explode(pieces).alias("piece")).filter("piece <> ''").select(
         "row", *_KEY, "level", "run", F.xxhash64("piece").alias("key"), F.length("piece").alias("weight"))
 
 
 def own_passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn and key of the whole text, the paragraphs and the lines of messages without quotes."""
-    parts = F.concat(F.array(F.col("text")), F.split("text", r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)"), F.split("text", LINE_END))
+    """conv_id, turn and key of the whole text, the paragraphs, the lines and the sentences of messages without quotes."""
+    parts = F.concat(sentences(normalised(F.col("text"))), F.array(F.col("text")), F.split("text", r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)"), F.split("text", LINE_END))
     pieces = F.array_distinct(F.transform(parts, normalised))
     return messages.select(*_KEY, F.explode(pieces).alias("piece")).filter("piece <> ''").select(
         *_KEY, F.xxhash64("piece").alias("key"))

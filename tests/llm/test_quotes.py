@@ -81,6 +81,14 @@ def test_long_text(spark):
     assert got[1].reply_to == 0 and got[1].text == body
 
 
+def test_sentences_are_linked(spark):
+    rows = [(1, 0, "user", "I like tea. Coffee is too strong for me. What about you?"), (1, 1, "assistant", "> Coffee is too strong for me.\nTry half of it."),
+            (1, 2, "user", "> coffee is too\n> strong for me. What about you?\nI asked first! You know."), (1, 3, "user", "> Try half\nno whole sentence"),
+            (1, 4, "assistant", "> What about you? Something else.\nhalf a quote"), (1, 5, "user", "> You know.\nDo I?")]
+    got = {r.turn: (r.reply_to, r.n_quotes, r.n_linked) for r in found(spark, rows)}
+    assert got == {0: (None, 0, 0), 1: (0, 1, 1), 2: (0, 1, 1), 3: (None, 1, 0), 4: (0, 1, 1), 5: (2, 1, 1)}
+
+
 def test_no_python_on_the_main_path(spark):
     import re
 
