@@ -7,7 +7,7 @@ largest one), so sums do not depend on their order and the same rows always give
 
 Two ways grow them, equal to the last bit:
 
-* :class:`Grown` in the task that holds a series, from histograms of its nodes;
+* :class:`Grown` in the task that holds a series, from its rows sorted by node and bin;
 * :func:`grow_spread` over all tasks, a level of all trees in each job: tasks add up counts and sums by tree, node, lag and bin, Spark
   adds those of the tasks and finds the best split of each node with windows. The driver gets a row a node, ``LEAVES`` bounds these.
 """
@@ -104,27 +104,34 @@ class Forest:
         return values
 
 
-def _best(n: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """For counts and sums by (node, feature, bin): gain, feature and bin of each node's best split, with the counts and sums of its
-    children; gain is -inf where there is none. Ties go to the smaller feature, then bin."""
-    nodes, features, _ = n.shape
-    total_n, total_s = n[:, 0].sum(axis=1), s[:, 0].sum(axis=1)
+def _best(place: np.ndarray, bins: np.ndarray, weight: np.ndarray, weighed: np.ndarray, nodes: int, count: int,
+          least: int) -> tuple[np.ndarray, ...]:
+    """For rows with the number of their node: gain, feature and bin of each node's best split, with the counts and sums of its
+    children; gain is -inf where there is none. Every node has rows. Ties go to the smaller feature, then bin.
+
+    Rows are sorted by node and bin, so the work grows with the rows, not with nodes times bins.
+    """
+    total_n, total_s = np.bincount(place, weight, nodes), np.bincount(place, weighed, nodes)
     gain, chosen, where = np.full(nodes, -np.inf), np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
-    left_n, left_s = np.zeros(nodes), np.zeros(nodes)
-    base = total_s * total_s / np.maximum(total_n, 1)
-    for f in range(features):
-        below, sums = np.cumsum(n[:, f], axis=1)[:, :-1], np.cumsum(s[:, f], axis=1)[:, :-1]
-        above, rest = total_n[:, None] - below, total_s[:, None] - sums
-        if not below.shape[1]:
-            continue
-        fits = (below >= least) & (above >= least)
-        own = np.where(fits, sums * sums / np.maximum(below, 1) + rest * rest / np.maximum(above, 1), -np.inf)
-        top = own.argmax(axis=1)
-        best = own[np.arange(nodes), top]
+    left_n, left_s, base = np.zeros(nodes), np.zeros(nodes), total_s * total_s / total_n
+    every = np.arange(nodes)
+    for f in range(bins.shape[1]):
+        key = place * count + bins[:, f]
+        order = np.argsort(key, kind="stable")
+        key, n, s = key[order], np.cumsum(weight[order]), np.cumsum(weighed[order])  # whole numbers: differences are exact
+        node = key // count
+        first = np.searchsorted(node, every)
+        n -= np.concatenate([[0.0], n])[first][node]
+        s -= np.concatenate([[0.0], s])[first][node]
+        above, rest = total_n[node] - n, total_s[node] - s
+        fits = (np.append(key[1:] != key[:-1], True)) & (n >= least) & (above >= least)
+        own = np.where(fits, s * s / n + rest * rest / np.maximum(above, 1), -np.inf)
+        best = np.maximum.reduceat(own, first)
+        hits = np.flatnonzero(own == best[node])
+        at = hits[np.searchsorted(node[hits], every)]
         better = best > gain
-        gain, chosen, where = np.where(better, best, gain), np.where(better, f, chosen), np.where(better, top, where)
-        left_n = np.where(better, below[np.arange(nodes), top], left_n)
-        left_s = np.where(better, sums[np.arange(nodes), top], left_s)
+        gain, chosen, where = np.where(better, best, gain), np.where(better, f, chosen), np.where(better, key[at] % count, where)
+        left_n, left_s = np.where(better, n[at], left_n), np.where(better, s[at], left_s)
     gain = np.where(gain > base + _GAIN * base, gain, -np.inf)
     return gain, base, chosen, where, left_n, left_s, total_n - left_n, total_s - left_s
 
@@ -155,11 +162,7 @@ def _grow(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, count: int, depth
         live = np.flatnonzero(place >= 0)
         if not len(live) or not len(active):
             break
-        cell = (place[live, None] * features + np.arange(features)) * count + bins[live]
-        shape, size = (len(active), features, count), len(active) * features * count
-        n = np.bincount(cell.ravel(), np.repeat(weight[live], features), size).reshape(shape)
-        s = np.bincount(cell.ravel(), np.repeat(weighed[live], features), size).reshape(shape)
-        gain, base, chosen, where, n0, s0, n1, s1 = _best(n, s, least)
+        gain, base, chosen, where, n0, s0, n1, s1 = _best(place[live], bins[live], weight[live], weighed[live], len(active), count, least)
         split = np.flatnonzero(gain > -np.inf)
         if not len(split):
             break

@@ -206,19 +206,25 @@ def test_forest_splits_equal_a_plain_search():
     from sievelark.operators import forest
 
     rng = np.random.default_rng(2)
-    for least in (1, 3):
-        n = rng.integers(0, 3, (4, 3, 6)).astype(float)
-        n[:, 1:] = n[:, :1]  # every feature sees the same rows
-        s = rng.integers(-9, 10, (4, 3, 6)) * n
-        s[:, 1:, 0] += s[:, :1].sum(axis=2) - s[:, 1:].sum(axis=2)
-        gain, base, feature, cut, n0, s0, n1, s1 = forest._best(n, s, least)
-        for k in range(4):
-            best = max(((s[k, f, : c + 1].sum() ** 2 / a + s[k, f, c + 1 :].sum() ** 2 / b, -f, -c) for f in range(3) for c in range(5)
-                        if (a := n[k, f, : c + 1].sum()) >= least and (b := n[k, f, c + 1 :].sum()) >= least), default=None)
+    for least in (1, 3, 6):
+        place = np.concatenate([np.arange(5), rng.integers(0, 5, 40)])
+        bins, weight = rng.integers(0, 6, (45, 3)), rng.integers(1, 4, 45).astype(float)
+        weighed = weight * rng.integers(-9, 10, 45)
+        gain, base, feature, cut, n0, s0, n1, s1 = forest._best(place, bins, weight, weighed, 5, 6, least)
+        for k in range(5):
+            found = []
+            for f in range(3):
+                for c in range(5):
+                    low, high = (place == k) & (bins[:, f] <= c), (place == k) & (bins[:, f] > c)
+                    if weight[low].sum() >= least and weight[high].sum() >= least:
+                        value = weighed[low].sum() ** 2 / weight[low].sum() + weighed[high].sum() ** 2 / weight[high].sum()
+                        found.append((value, -f, -c, weight[low].sum(), weighed[low].sum()))
+            best = max(found, default=None)
             if best is None or best[0] <= base[k] * (1 + 1e-9):
                 assert gain[k] == -np.inf
             else:
-                assert gain[k] == pytest.approx(best[0]) and best[0] == pytest.approx(s0[k] ** 2 / n0[k] + s1[k] ** 2 / n1[k])
+                assert (gain[k], n0[k], s0[k]) == (pytest.approx(best[0]), best[3], best[4]) and feature[k] == -best[1]
+                assert n0[k] + n1[k] == weight[place == k].sum() and s0[k] + s1[k] == weighed[place == k].sum()
 
 
 def test_poisson_weights():
