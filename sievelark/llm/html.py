@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +33,12 @@ REMARK_PARTS = frozenset("list section area thread form wrapper box container us
 _TAG_END = re.compile(r"[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+>")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _BROKEN = re.compile(r"[^<>]*+>?")
+_SOUND = re.compile(
+    r"<(?!(?i:script|style)[\s/>])(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)"
+    r"(?P<attributes>[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+)>"
+    r"|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?](?!--|\[CDATA\[)[^>]*+>"
+    r"|(?i:<(?P<raw>script|style)(?=[\s/>])[^\"'>]*+(?:\"[^\"]*+\"[^\"'>]*+|'[^']*+'[^\"'>]*+)*+>.*?</(?P=raw)\s*>)"
+    r"|(?P<odd><(?:[!?]|/?[a-zA-Z]))", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _LONG = re.compile(r"&#(?:0*[1-9][0-9]{7,}+|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,}+);?")
 _ZEROS = re.compile(r"&#([xX]?)0{8,}+")
@@ -88,20 +94,28 @@ class _Ends:
         return -1
 
 
-@dataclass(slots=True)
-class Tag:
-    start: int
-    end: int
-    """Behind the tag, and for a script or style behind its content."""
-    name: str
-    """Empty for comments, declarations, scripts, styles and broken tags."""
-    closing: bool
-    attributes: str
+Tag = tuple[int, int, str, bool, str]
+"""Start; end, behind the content of a script or style; name, empty for comments, declarations, scripts, styles and broken
+tags; whether it is an end tag; attributes."""
 
 
 def tags(page: str) -> Iterator[Tag]:
-    """The tags of a page in order, every character looked at a bounded number of times."""
-    ends, at = _Ends(page), page.find("<")
+    """The tags of a page in order. From the first one that does not end as it should on, :func:`_careful_tags` reads the page."""
+    for tag in _SOUND.finditer(page):
+        start, end = tag.span()
+        slash, name, attributes, _, odd = tag.groups()
+        if odd:
+            yield from _careful_tags(page, start)
+            return
+        if name is None:
+            yield start, end, "", False, ""
+        else:
+            yield start, end, name.lower(), slash == "/", attributes
+
+
+def _careful_tags(page: str, at: int) -> Iterator[Tag]:
+    """The tags from ``at`` on, however they are broken, every character looked at a bounded number of times."""
+    ends, at = _Ends(page), page.find("<", at)
     while at >= 0:
         end, name, closing, attributes = -1, "", False, ""
         if page.startswith("<!--", at):
@@ -126,26 +140,36 @@ def tags(page: str) -> Iterator[Tag]:
         else:
             at = page.find("<", at + 1)
             continue
-        yield Tag(at, end, name, closing, attributes)
+        yield at, end, name, closing, attributes
         at = page.find("<", end)
 
 
+class Facts:
+    """Title, language of a page and the targets of its links, references decoded."""
+
+    def __init__(self, page: str):
+        self.page, self.title, self.language, self.links, self._titles = page, None, None, [], 0
+
+    def take(self, tag: Tag) -> None:
+        name = tag[2]
+        if name == "a":
+            if found := _HREF.search(tag[4]):
+                self.links.append(decode_references(found[1] or found[2] or found[3] or ""))
+        elif name == "title":
+            self._titles += 1
+            if self._titles == 1 and (found := _TITLE_END.search(self.page, tag[1])):
+                self.title = decode_references(self.page[tag[1] : found.start()]) or None
+        elif name == "html" and self.language is None and (found := _LANG.search(tag[4])):
+            self.language = found[1]
+
+
 def facts(page: str) -> tuple[str | None, str | None, list[str]]:
-    """Title, language of the page and the targets of its links, references decoded."""
-    title = language = None
-    links = []
+    """Title, language and links alone."""
+    found = Facts(page)
     for tag in tags(page):
-        if tag.closing:
-            continue
-        if tag.name == "title" and title is None:
-            title = ""
-            if found := _TITLE_END.search(page, tag.end):
-                title = decode_references(page[tag.end : found.start()])
-        elif tag.name == "html" and language is None:
-            language = _LANG.search(tag.attributes)
-        elif tag.name == "a" and (found := _HREF.search(tag.attributes)):
-            links.append(decode_references(found[1] or found[2] or found[3] or ""))
-    return title or None, language[1] if language else None, links
+        if not tag[3]:
+            found.take(tag)
+    return found.title, found.language, found.links
 
 
 @dataclass(slots=True)
@@ -188,7 +212,7 @@ def _is_remark(name: str) -> bool:
     return bool(parts & REMARKS) and parts <= REMARKS | REMARK_PARTS
 
 
-def blocks(page: str | None) -> list[Block]:
+def blocks(page: str | None, seen: Facts | None = None) -> list[Block]:
     """Visible text blocks of a page in order, references decoded and white space made single.
 
     Scripts, styles, comments and the head are no text. Tags may be left open: a block element ends an open
@@ -196,11 +220,12 @@ def blocks(page: str | None) -> list[Block]:
     Inline elements that a whole name marks as an advert are no text either, up to their end tag or that of the block around them.
     A class or id that marks furniture does not count for an article or main element inside, nor where it holds more than half of
     the text and, if there are articles, more blocks than these; marks of reader comments always count, since comments are
-    often longer than the page. Time and memory grow with the page, also where it is long, broken or deeply nested.
+    often longer than the page. Time and memory grow with the page, also where it is long, broken or deeply nested. ``seen`` is shown
+    the tags.
     """
     found: list[Block] = []
     stack: list[tuple[str, bool, bool, bool, int, bool]] = []  # name and the state around it
-    open_names: Counter = Counter()
+    open_names: defaultdict[str, int] = defaultdict(int)
     silent = article = furniture = advert = False
     mark = -1  # the innermost open mark
     within: list[int] = []  # the innermost mark of each block
@@ -218,18 +243,20 @@ def blocks(page: str | None) -> list[Block]:
     at = 0
     page = page or ""
     for tag in tags(page):
-        if tag.start > at and not silent and not advert:
-            parts.append(page[at : tag.start])
-        at = tag.end
-        name, attributes = tag.name, tag.attributes
+        start, end, name, closing, attributes = tag
+        if start > at and not silent and not advert:
+            parts.append(page[at:start])
+        at = end
         if not name:
             continue
+        if seen is not None and not closing:
+            seen.take(tag)
         block = name in BLOCKS
         if block:
             flush()
         elif name == "br":
             parts.append(" ")
-        if tag.closing:
+        if closing:
             if open_names[name]:
                 if not block and name in SILENT:
                     flush()
@@ -237,7 +264,8 @@ def blocks(page: str | None) -> list[Block]:
                 while stack[depth][0] != name:
                     depth -= 1
                 _, silent, article, furniture, mark, advert = stack[depth]
-                open_names.subtract(s[0] for s in stack[depth:])
+                for level in stack[depth:]:
+                    open_names[level[0]] -= 1
                 del stack[depth:]
             continue
         if name in VOID:

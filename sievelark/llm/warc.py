@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelark.llm.html import blocks, facts
+from sievelark.llm.html import Facts, blocks
 
 CRLF = b"\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the standard name space of URLs
@@ -130,14 +130,15 @@ def derivatives(response: dict) -> list[dict]:
     given = {h["name"].lower(): h["value"] for h in response["headers"] or []}
     source_digest = given.get("warc-payload-digest") or digest(payload)
     identity, target, date = response["record_id"], response["target_uri"], response["warc_date"]
-    title, language, links = facts(page)
+    seen = Facts(page)
+    found = blocks(page, seen)
     fields = [("http-status", status)] if status else []
     fields += [(f"source-{name.lower()}", value) for name, value in headers]
-    fields += [("title", title)] if title else []
-    fields += [("language", language)] if language else []
-    fields += [("outlink", link) for link in links]
+    fields += [("title", seen.title)] if seen.title else []
+    fields += [("language", seen.language)] if seen.language else []
+    fields += [("outlink", link) for link in seen.links]
     listed = "".join(f"{name}: {_one_line(value)}\r\n" for name, value in fields).encode()
-    text = "\n".join(b.text for b in blocks(page)).encode()
+    text = "\n".join(b.text for b in found).encode()
     kept = [("WARC-Refers-To-Payload-Digest", source_digest),
             ("WARC-Refers-To-Block-Digest", given.get("warc-block-digest") or digest(block))]
     kept += [(name, given[name.lower()]) for name in ("WARC-IP-Address", "WARC-Concurrent-To") if name.lower() in given]
@@ -176,10 +177,13 @@ def build_derivatives(records: DataFrame, *extra: str) -> DataFrame:
 
 def _text_digest(data: Column) -> Column:
     """``sha1:`` and the base32 digest, from the hexadecimal one: five hexadecimal digits are four of base32."""
-    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.lpad(
-        F.conv(F.substring(F.sha1(data), (n * 5 + 1).cast("int"), F.lit(5)), 16, 32), 4, "0"))
-    return F.concat(F.lit("sha1:"), F.translate(F.upper(F.array_join(bits, "")), "0123456789ABCDEFGHIJKLMNOPQRSTUV",
-                                                "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+    def coded(hexadecimal: Column) -> Column:
+        bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda n: F.lpad(
+            F.conv(F.substring(hexadecimal, (n * 5 + 1).cast("int"), F.lit(5)), 16, 32), 4, "0"))
+        return F.concat(F.lit("sha1:"), F.translate(F.upper(F.array_join(bits, "")), "0123456789ABCDEFGHIJKLMNOPQRSTUV",
+                                                    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+
+    return F.transform(F.array(F.sha1(data)), coded)[0]  # hashed once, not for each of the eight parts
 
 
 def responses(pages: DataFrame, url: str = "url", html_column: str = "html", page_id: str = "page_id",

@@ -4,7 +4,7 @@ import time
 import pytest
 
 from sievelark.llm import pages
-from sievelark.llm.html import blocks, decode_references, facts, tags
+from sievelark.llm.html import _careful_tags, blocks, decode_references, facts, tags
 
 BROKEN = {
     "long reference": "<p>x &#" + "9" * 5000 + "; y</p>", "zeros": "<p>&#" + "0" * 6000 + "65;&#x" + "0" * 6000 + "42;</p>",
@@ -41,8 +41,10 @@ def test_random_tag_soup():
         assert all(b.text == " ".join(b.text.split()) and b.text for b in found)
         last = 0
         for tag in tags(page):
-            assert last <= tag.start < tag.end <= len(page)
-            last = tag.end
+            assert last <= tag[0] < tag[1] <= len(page)
+            last = tag[1]
+        careful = list(_careful_tags(page, 0))
+        assert list(tags(page)) == careful  # both ways read a page alike
         facts(page)
         pages.main_text(found, set())
 
