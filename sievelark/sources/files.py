@@ -70,13 +70,17 @@ def _read_csv(spark: SparkSession, path: str, schema, null_tokens, encoding: str
     if schema is not None:
         return raw
     # all text; types are found after the missing values are known
-    known = raw.withColumns({c: F.when(~quoted(c).isin(*null_tokens), quoted(c)) for c in raw.columns})
+    texts = [f.name for f in raw.schema if isinstance(f.dataType, T.StringType)]  # columns named by folders have types
+    known = raw.withColumns({c: F.when(~quoted(c).isin(*null_tokens), quoted(c)) for c in texts})
     return infer_types(known)
 
 
 def _splits(spark: SparkSession, path: str, split_bytes: int) -> bool:
-    """Whether a file is larger than a split and can be cut; a compressed one is read from its beginning to its end."""
-    return largest_file(spark, path) > split_bytes and not path.rstrip("/*").lower().endswith(COMPRESSED)
+    """Whether a file is larger than a split and can be cut. Compressed files are read from beginning to end, and folders whose names hold
+    columns by Spark's reader, which knows these."""
+    if largest_file(spark, path) <= split_bytes or path.rstrip("/*").lower().endswith(COMPRESSED):
+        return False
+    return spark.read.text(path).columns == ["value"]
 
 
 def _is_array(spark: SparkSession, path: str) -> bool:
@@ -95,7 +99,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema=
     split size) are read by many tasks also if they are CSV with line breaks inside quotes or one array of JSON records: see
     :mod:`sievelark.sources.splits`. Smaller ones are read whole, a task a file. ``multi_line=True`` reads every
     file whole; ``multi_line=False`` splits CSV at any line break, for data without breaks in quotes, and reads JSON as lines.
-    Compressed files and CSV in other encodings than UTF-8 are read whole. JSON lines and Parquet split over tasks.
+    Compressed files, folders with columns in their names and CSV in other encodings than UTF-8 are read whole. JSON lines and Parquet split over tasks.
     """
     kind = format_of(path, fmt)
     split_bytes = split_bytes or byte_setting(spark, "spark.sql.files.maxPartitionBytes")

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sievelark.operators import catalog, cleaning, explore, profile, quality
+from sievelark.plans.shared import write_shared
 from sievelark.sources.files import read_dataset, write_dataset
 
 DATASETS = (
@@ -73,6 +74,20 @@ class Registry:
     def append_runs(self, kind: str, rows: list[dict]) -> None:
         self._append(kind, RUNS[kind], rows, ["run_date"])
 
+    def compact(self, kind: str, before: date) -> int:
+        """Rewrite the runs of the days before ``before`` as one file a day, without rows that a run's end replaced; the days rewritten.
+
+        An append writes a file of its own, so the history of a busy day is many small files. The runs are stored in the shared folder
+        first, so a lost driver leaves either the old files or the new ones to be written again. Nothing else may write to these
+        days meanwhile.
+        """
+        old = write_shared(self.runs(kind).filter(F.col("run_date") < F.lit(before)), "runs")
+        days = old.select("run_date").distinct().count()
+        if days:
+            old.repartition("run_date").sortWithinPartitions("run_date", "created_at").write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(f"{self.root}/{kind}")
+        return days
+
     # --- datasets -------------------------------------------------------------------
 
     def register(self, name: str, path: str, fmt: str | None = None, describe: bool = True, **options) -> str:

@@ -132,3 +132,20 @@ def test_stored_analysis(spark, registry, tmp_path):
     assert run["status"] == "completed", run.get("error")
     assert registry.latest_insights(one, 1) == ["8 rows in 4 columns"]
     assert spark.read.parquet(f"{run['sections_path']}/dataset_shape").first()["rows"] == 8
+
+
+def test_history_is_compacted(spark, registry):
+    from datetime import date, datetime
+
+    def run(n, day, status):
+        return {"run_id": f"r{n}", "dataset_id": "d", "created_at": datetime(2024, 1, day, 10, n), "run_date": date(2024, 1, day), "status": status}
+
+    for n in range(6):
+        for status in ("processing", "completed"):
+            registry.append_runs("validation", [run(n, 1 + n % 3, status)])
+    before = sorted(map(repr, registry.runs("validation").collect()))
+    assert registry.compact("validation", date(2024, 1, 3)) == 2 and registry.compact("validation", date(2023, 1, 1)) == 0
+    assert sorted(map(repr, registry.runs("validation").collect())) == before
+    files_of_day = spark.read.parquet(f"{registry.root}/validation").groupBy("run_date").agg(
+        F.count_distinct("_metadata.file_path").alias("files"), F.count(F.lit(1)).alias("rows"))
+    assert {r.run_date.day: (r.files, r.rows) for r in files_of_day.collect()} == {1: (1, 2), 2: (1, 2), 3: (4, 4)}

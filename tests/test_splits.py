@@ -126,3 +126,11 @@ def test_a_changed_file_is_an_error(spark, tmp_path):
     pieces = splits._pieces(splits.split_session(spark, 3), str(tmp_path / "c.csv"), "\n")
     with pytest.raises(Exception, match="was changed"):
         splits._cut(pieces, {}, splits._CsvCutter, str(tmp_path / "out"), spark).count()
+
+
+def test_folders_that_name_columns(spark, tmp_path):
+    place = str(tmp_path / "parts.csv")
+    spark.createDataFrame([(n, f"a\n{n}", n % 2) for n in range(6)], "k long, t string, side long").write.partitionBy("side").csv(
+        place, header=True, escape='"')
+    assert sorted(map(tuple, read_dataset(spark, place, "csv", split_bytes=3).select("k", "t", "side").collect())) == [
+        (n, f"a\n{n}", n % 2) for n in range(6)]
