@@ -4,6 +4,10 @@ Each tree is grown from a small random sample of rows, so fitting needs one scan
 draws the samples; the trees grow in parallel, one group per tree. All trees together are
 some ten thousand nodes, whatever the size of the data: they are broadcast and every
 executor scores its own rows in Arrow batches.
+
+A small sample often misses the far rows, and then they end where its outermost rows do. So a
+branch counts for a row only within its acceptable range (Liu, Ting and Zhou, 2010: SCiForest): a value
+farther from the cut than the sample of that branch is wide is isolated already, and the branch adds nothing to its path.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.05
 _DRAWS = 1 << 53  # draws are whole numbers a double holds exactly
 _SPARE = 3  # candidates drawn per wanted row, so that each tree gets its full sample
 _EULER = 0.5772156649015329
-_NODES = "tree int, node int, feature int, threshold double, length double"
+_NODES = "tree int, node int, feature int, threshold double, reach double, length double"
 SPREAD_ROWS = 20_000_000
 """Below this many rows a frame may lie in few partitions and is spread for scoring."""
 
@@ -63,8 +67,9 @@ def draw_samples(df: DataFrame, ids: list[str], trees: int, sample: int, seed: i
 def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
     """Nodes of one tree as a full binary tree: node ``i`` has the children 2i+1 and 2i+2.
 
-    Each tuple is (node, feature, threshold, path length). A leaf above the last level sends
-    all rows to the left; its path length is kept at the bottom of that way.
+    Each tuple is (node, feature, threshold, reach, path length). A leaf above the last level sends
+    all rows to the left; its path length is kept at the bottom of that way. ``reach`` is the width of the
+    sample at the node: how far from the threshold a value may lie for the branch to count.
     """
     nodes: list[tuple] = []
     waiting = [(0, np.arange(len(values)), 0)]
@@ -75,14 +80,15 @@ def _grow(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tupl
         if depth >= limit or not len(splittable):
             length = depth + float(average_path(len(rows)))
             for _ in range(depth, limit):
-                nodes.append((node, 0, np.inf, 0.0))
+                nodes.append((node, 0, np.inf, np.inf, 0.0))
                 node = 2 * node + 1
-            nodes.append((node, 0, np.inf, length))
+            nodes.append((node, 0, np.inf, np.inf, length))
             continue
         feature = int(rng.choice(splittable))
-        cut = float(rng.uniform(part[:, feature].min(), part[:, feature].max()))
+        low, high = float(part[:, feature].min()), float(part[:, feature].max())
+        cut = float(rng.uniform(low, high))
         goes_right = part[:, feature] > cut
-        nodes.append((node, feature, cut, 0.0))
+        nodes.append((node, feature, cut, high - low, 0.0))
         waiting += [(2 * node + 1, rows[~goes_right], depth + 1), (2 * node + 2, rows[goes_right], depth + 1)]
     return nodes
 
@@ -94,6 +100,7 @@ class Forest:
     columns: list[str]
     feature: np.ndarray
     threshold: np.ndarray
+    reach: np.ndarray
     length: np.ndarray
     depth: int
     sample: int
@@ -103,11 +110,12 @@ class Forest:
         flat = np.ascontiguousarray(values).ravel()
         start = np.arange(len(values), dtype=np.int64) * values.shape[1]
         total = np.zeros(len(values))
-        for feature, threshold, length in zip(self.feature, self.threshold, self.length):
+        for feature, threshold, reach, length in zip(self.feature, self.threshold, self.reach, self.length):
             at = np.zeros(len(values), dtype=np.int64)
             for _ in range(self.depth):
-                right = flat.take(start + feature.take(at)) > threshold.take(at)
-                at = 2 * at + 1 + right
+                beyond = flat.take(start + feature.take(at)) - threshold.take(at)
+                total -= np.abs(beyond) > reach.take(at)
+                at = 2 * at + 1 + (beyond > 0)
             total += length.take(at)
         usual = max(float(average_path(self.sample)), 1e-12)
         return -np.power(2.0, -(total / len(self.feature)) / usual)
@@ -127,17 +135,17 @@ def fit(df: DataFrame, ids: list[str], columns: list[str], trees: int = TREES, s
         group = group.sort_values(["draw", *features])
         tree = int(group["tree"].iloc[0])
         nodes = _grow(group[features].to_numpy(dtype=float), limit, np.random.default_rng([seed, tree]))
-        listed = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "length"])
-        return listed.assign(tree=tree)[["tree", "node", "feature", "threshold", "length"]]
+        listed = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "reach", "length"])
+        return listed.assign(tree=tree)[["tree", "node", "feature", "threshold", "reach", "length"]]
 
     grown = drawn.select("tree", "draw", *features).groupBy("tree").applyInPandas(grow, _NODES).toPandas()
     numbers = sorted(grown["tree"].unique())
     shape = (len(numbers), 2 ** (limit + 1) - 1)
-    feature, threshold, length = np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.zeros(shape)
+    feature, threshold, reach, length = np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.full(shape, np.inf), np.zeros(shape)
     row, node = grown["tree"].map({t: i for i, t in enumerate(numbers)}).to_numpy(), grown["node"].to_numpy()
-    feature[row, node], threshold[row, node], length[row, node] = (
-        grown[name].to_numpy() for name in ("feature", "threshold", "length"))
-    return Forest(list(columns), feature, threshold, length, limit, sample)
+    feature[row, node], threshold[row, node], reach[row, node], length[row, node] = (
+        grown[name].to_numpy() for name in ("feature", "threshold", "reach", "length"))
+    return Forest(list(columns), feature, threshold, reach, length, limit, sample)
 
 
 def score(df: DataFrame, forest: Forest, name: str = "anomaly_score") -> DataFrame:

@@ -68,6 +68,16 @@ def test_isolation_ranks_far_points_first(spark):
     assert 20 <= found.count() <= 26  # five per cent of 505
 
 
+def test_isolation_finds_far_rows_that_most_samples_miss(spark):
+    """Three far rows among 60,000: hardly a sample of 256 holds one, yet they come before the corners of the rest."""
+    x = np.random.default_rng(3).uniform(size=(60_000, 3))
+    x[::20_000] = x[::20_000] * 50 + 1000
+    df = spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(x)], "id int, x double, y double, z double")
+    found = isolation_forest(df, ["id"], contamination=0.01)
+    ranked = [r.id for r in anomaly.top(found, 3, "anomaly_score", ascending=True).collect()]
+    assert sorted(ranked) == [0, 20_000, 40_000] and 590 <= found.count() <= 600
+
+
 def test_isolation_does_not_depend_on_partitions(spark):
     a, b = (sorted((r.id, r.anomaly_score) for r in isolation_forest(cloud(spark, n), ["id"], trees=20).collect())
             for n in (1, 7))
