@@ -3,7 +3,7 @@
 A state row holds what one column of one file adds: rows, known values, mean, sum of squares about it, least and largest value,
 number and truth texts, a distinct sketch and a quantile sketch. Files are known by path, length and time of change. An
 update scans the files without a state and appends theirs; a profile merges the states of the files that are there now, so
-removed and rewritten files drop out by themselves.
+removed and rewritten files drop out by themselves. A file without rows has one state row, without a column.
 
 Counts, means, deviations, extremes and text kinds are exact (sums of squares are merged about the common mean). Distinct values and the
 median come from sketches (relative error about 2 %, rank within 2 %) and are named estimates.
@@ -21,6 +21,7 @@ from sievelark.plans.longform import quoted
 STATE = ("file string, length long, changed timestamp, `column` string, kind string, rows long, known long, mean double, squares double, "
          "least double, largest double, numbers long, truths long, distinct binary, quantiles binary")
 _FILE = ["file", "length", "changed"]
+_LISTED = "file string, length long, changed timestamp"
 _NAMES = [f.split()[0].strip("`") for f in STATE.split(", ")]
 _TRUTH = r"^(True|TRUE|true|False|FALSE|false)\z"
 
@@ -64,8 +65,11 @@ def states(df: DataFrame) -> DataFrame:
 
 def new_files(spark: SparkSession, path: str, state: str) -> list[str]:
     """Files without a state; one that was changed counts as new."""
-    known = _read(spark, state).select(*_FILE).distinct()
-    return [r.file for r in files_of(spark, path).join(known, _FILE, "left_anti").select("file").toLocalIterator()]
+    return [r.file for r in _without_state(spark, files_of(spark, path), state).toLocalIterator()]
+
+
+def _without_state(spark: SparkSession, files: DataFrame, state: str) -> DataFrame:
+    return files.join(_read(spark, state).select(*_FILE).distinct(), _FILE, "left_anti")
 
 
 def _read(spark: SparkSession, state: str) -> DataFrame:
@@ -77,9 +81,15 @@ def _read(spark: SparkSession, state: str) -> DataFrame:
 
 def update(spark: SparkSession, path: str, state: str, fmt: str = "parquet") -> int:
     """Scan the files of ``path`` without a state and append theirs to ``state``; how many they were."""
-    fresh = new_files(spark, path, state)
+    fresh = [tuple(r) for r in _without_state(spark, files_of(spark, path), state).select(*_FILE).toLocalIterator()]
     if fresh:
-        states(spark.read.format(fmt).option("mergeSchema", True).load(fresh)).write.mode("append").parquet(state)
+        states(spark.read.format(fmt).option("mergeSchema", True).load([f[0] for f in fresh])).write.mode("append").parquet(state)
+        listed = spark.createDataFrame(fresh, _LISTED)  # as they were before the scan: one rewritten since stays new
+        empty = _without_state(spark, listed, state).withColumn("rows", F.lit(0).cast("long"))
+        kinds = {f.name: f.dataType for f in _read(spark, state).schema}
+        marks = empty.select(*[F.col(c) if c in empty.columns else F.lit(None).cast(kinds[c]).alias(c) for c in _NAMES])
+        if not marks.isEmpty():
+            marks.write.mode("append").parquet(state)
     return len(fresh)
 
 
@@ -91,7 +101,7 @@ def profile(spark: SparkSession, path: str, state: str) -> DataFrame:
     there are no rows.
     """
     here = files_of(spark, path)
-    rows = _read(spark, state).dropDuplicates([*_FILE, "column"]).join(here, _FILE, "left_semi")
+    rows = _read(spark, state).filter(F.col("column").isNotNull()).dropDuplicates([*_FILE, "column"]).join(here, _FILE, "left_semi")
     total = F.lit(rows.select(*_FILE, "rows").distinct().agg(F.sum("rows")).first()[0] or 0).cast("long").alias("rows")
     weighed = rows.groupBy("column").agg(
         F.max("kind").alias("kind"), F.sum("known").alias("known"), (F.sum(F.col("mean") * F.col("known")) / F.sum(

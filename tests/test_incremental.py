@@ -71,6 +71,22 @@ def test_a_changed_schema_and_repeated_updates(spark, tmp_path):
     assert got["k"]["rows"] == got["new"]["rows"] == 25 and got["k"]["nulls"] == 0 and got["new"]["nulls"] == 20
 
 
+def test_files_without_rows_are_looked_at_once(spark, tmp_path):
+    place, state = str(tmp_path / "p"), str(tmp_path / "s")
+    written(spark, place, 0, 40, 1)
+    assert incremental.update(spark, place, state) == 1
+    before = figures(incremental.profile(spark, place, state))
+    written(spark, place, 0, 0, 1)
+    files = len([f for f in os.listdir(place) if f.endswith(".parquet")])
+    assert files > 1 and incremental.update(spark, place, state) == files - 1
+    assert incremental.update(spark, place, state) == 0 and incremental.new_files(spark, place, state) == []
+    assert figures(incremental.profile(spark, place, state)) == before
+    alone, other = str(tmp_path / "alone"), str(tmp_path / "o")
+    written(spark, alone, 0, 0, 1)
+    assert incremental.update(spark, alone, other) > 0 and incremental.update(spark, alone, other) == 0
+    assert incremental.profile(spark, alone, other).count() == 0
+
+
 def _folder(place):
     os.makedirs(place)
     return place
