@@ -12,7 +12,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FOLDER: ContextVar[str | None] = ContextVar("work_folder", default=None)
 
@@ -86,3 +88,35 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether the frame holds every row of a file scan once (a scan, or columns of one)."""
+    return _source(df, ("Project", "SubqueryAlias"))
+
+
+def is_picked(df: DataFrame) -> bool:
+    """Whether each row of the frame is a row of a file scan, none twice (a scan, filtered or not)."""
+    return _source(df, ("Project", "SubqueryAlias", "Filter"))
+
+
+def _source(df: DataFrame, passed: tuple[str, ...]) -> bool:
+    node = df._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in passed and node.deterministic():
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
+def with_place(df: DataFrame, file: str, at: str) -> DataFrame | None:
+    """``df`` with file and place of each row, None where it has none (joins, unions, aggregates)."""
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+        placed.schema  # resolve now
+        return placed
+    except AnalysisException:
+        return None
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` for several passes: joins, unions and aggregates are written once, what only picks rows of a scan is read again."""
+    return df if _source(df, ("Project", "SubqueryAlias", "Filter", "Generate")) else write_shared(df, label)
