@@ -17,7 +17,7 @@ from sievelark.functions.predicates import to_number
 from sievelark.functions.statistics import percent
 from sievelark.plans.ordered import BLOCK, BROADCAST_ROWS, GROUP_ROWS, POSITION, ordered, running_sum
 from sievelark.plans.quantiles import QUANTILE_ROWS, quantiles
-from sievelark.plans.shared import write_shared
+from sievelark.plans.shared import stored, write_shared
 
 # Limits of the customer, revenue and frequency classes.
 SEGMENTS = ((5000, "Premium"), (1000, "Gold"), (100, "Silver"))
@@ -285,7 +285,7 @@ def running_total_sales(t: DataFrame, limit: int | None = NEWEST_ROWS,
     them is one sum. So neither the running total nor the rolling sum needs all rows in
     order. ``limit=None`` gives all rows over the split window.
     """
-    known = _known(t, "amount").withColumn("value", amount())
+    known = stored(_known(t, "amount").select(*_TIES), "sales").withColumn("value", amount())  # read three times
     if limit is None:
         return _running_total_of_all(known, group_rows)
     order = [F.desc(c) for c in _TIES]
@@ -311,10 +311,11 @@ def running_total_sales(t: DataFrame, limit: int | None = NEWEST_ROWS,
 def _running_total_of_all(known: DataFrame, group_rows: int) -> DataFrame:
     per_date = known.groupBy(sold_at().alias("day")).agg(F.sum("value").alias("s"))
     totals = running_sum(per_date, "s", "running_total", [], ["day"], unique=True, group_rows=group_rows)
-    rows = ordered(known, [], _TIES, before=ROLLING_ROWS, group_rows=group_rows)
+    rows = ordered(known.drop("value"), [], _TIES, before=ROLLING_ROWS, group_rows=group_rows)
     rolling = rows.finish(rows.df.withColumn(
-        "rolling_30day_total", F.sum("value").over(rows.window.rowsBetween(-ROLLING_ROWS, 0))
+        "rolling_30day_total", F.sum(amount()).over(rows.window.rowsBetween(-ROLLING_ROWS, 0))
     ))
+    totals = write_shared(totals, "totals")  # its exact size lets the planner broadcast it if it is small
     return rolling.join(totals, F.col("transaction_date").eqNullSafe(F.col("day")), "left").select(
         "transaction_date", "amount", "running_total", "rolling_30day_total"
     )

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelark.plans.joins import null_safe_join
-from sievelark.plans.shared import write_shared
+from sievelark.plans.shared import is_scan, with_place, write_shared
 
 GROUP_ROWS = 4_000_000
 """Most rows of one group that a single task sorts."""
@@ -67,12 +67,14 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def located(df: DataFrame) -> DataFrame:
-    """``df`` written once, each row with its place: file and position in the file.
+    """``df``, written once unless it is a scan, each row with its place: a hash of the file and the position in it.
 
     The place tells equal rows apart and stays the same when a task runs again.
     """
-    stored = write_shared(df, "rows")
-    return stored.select("*", F.struct("_metadata.file_name", "_metadata.row_index").alias(PLACE))
+    placed = with_place(df, "__file", "__at") if is_scan(df) else None
+    if placed is None:
+        placed = with_place(write_shared(df, "rows"), "__file", "__at")
+    return placed.select(*df.columns, F.struct(F.xxhash64("__file").alias("file"), F.col("__at").alias("at")).alias(PLACE))
 
 
 def slices_in_order(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,
@@ -82,7 +84,7 @@ def slices_in_order(df: DataFrame, keys: list[str], order: list[str], descending
     Keys, order columns and, if the frame has it, the place of the row decide the order, so
     a group of equal rows is spread over slices like any other.
     """
-    place = [F.col(f"{PLACE}.file_name"), F.col(f"{PLACE}.row_index")] if PLACE in df.columns else []
+    place = [F.col(f"{PLACE}.file"), F.col(f"{PLACE}.at")] if PLACE in df.columns else []
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = _sort_columns(keys, order, descending) + place
     sliced = (
@@ -164,9 +166,9 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], descending: bool =
         placed = cold.select(
             "*", none.alias(POSITION), F.lit(0).cast("long").alias(HOME), F.lit(0).cast("long").alias(BLOCK)
         ).unionByName(placed)
-    window = Window.partitionBy(*keys, BLOCK).orderBy(
-        F.col(POSITION), *_sort_columns([], order, descending)
-    )
+    # Positions alone order split rows, so the order columns need not be carried on; the rows of small groups have none.
+    others = [] if cold is None else _sort_columns([], order, descending)
+    window = Window.partitionBy(*keys, BLOCK).orderBy(F.col(POSITION), *others)
     return Ordered(placed, window, keys, True, total / block_rows)
 
 
