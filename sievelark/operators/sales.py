@@ -377,7 +377,7 @@ def _ntile(n: int, place: Column, size: Column) -> Column:
 
 def percentile_sales(t: DataFrame, approx: bool = False, limit: int = QUANTILE_ROWS) -> DataFrame:
     names = {"q1": 0.25, "median": 0.5, "q3": 0.75, "p90": 0.9, "p95": 0.95}
-    known = _known(t, "category", "amount").select("category", amount().alias("value"))
+    known = stored(_known(t, "category", "amount").select("category", amount().alias("value")), "sales")
     found = quantiles(known, ["value"], list(names.values()), ["category"], approx, limit)
     return found.select("category", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
 

@@ -4,7 +4,7 @@ Small frames use the built-in ``percentile``. It keeps every distinct value in o
 so beyond ``QUANTILE_ROWS`` the wanted ranks are searched: each pass counts the values of
 the current bracket in bins and goes on with the bin that holds the rank. Bins are counted
 exactly and combined before the shuffle, so a pass moves a few thousand rows per task and
-the result is exact. When few values are left in the bracket they are ranked.
+the result is exact. Values that come from joins or groups are written once for all passes. When few values are left in the bracket they are ranked.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievelark.plans.joins import null_safe_join
 from sievelark.plans.longform import cells, quoted
-from sievelark.plans.shared import write_shared
+from sievelark.plans.shared import stored, write_shared
 
 QUANTILE_ROWS = 1_000_000
 """Most rows per group for the built-in aggregate."""
@@ -42,7 +42,8 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
         return wide.unpivot(
             [F.col(b) for b in by], [quoted(c) for c in columns], "column", "quantiles"
         ).filter(F.col("quantiles").isNotNull())
-    return _searched(cells(df, columns, by, "double"), [*by, "column"], probabilities, limit)
+    wanted = df.select(*[F.col(b) for b in by], *[quoted(c).cast("double").alias(c) for c in columns if c not in by])
+    return _searched(cells(stored(wanted, "quantile-values"), columns, by, "double"), [*by, "column"], probabilities, limit)
 
 
 def collect_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
