@@ -19,7 +19,7 @@ from sievelark.operators.quality import keep_valid
 from sievelark.plans.longform import all_rows_distinct_counts, per_column, quoted, top_values, value_counts
 from sievelark.plans.ordered import GROUP_ROWS, carry_last
 from sievelark.plans.quantiles import QUANTILE_ROWS, collect_quantiles
-from sievelark.plans.rowid import with_row_index
+from sievelark.plans.rowid import in_file_order, with_row_index
 from sievelark.plans.shared import write_shared
 
 CATEGORY_LIMIT = 100
@@ -46,7 +46,7 @@ def remove_duplicates(df: DataFrame, subset: list[str] | None = None, keep: str
         return df.dropDuplicates()
     placed, order = df, list(order_by or [])
     if not order:
-        placed, order = with_row_index(df, "__index"), ["__index"]
+        placed, order = in_file_order(df)
     by = [quoted(c).desc() if keep == "last" else quoted(c).asc() for c in order]
     window = Window.partitionBy(*[quoted(k) for k in keys]).orderBy(*by)
     return placed.withColumn("__n", F.row_number().over(window)).filter(F.col("__n") == 1).select(

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelark.plans.ordered import ordered
-from sievelark.plans.shared import write_shared
+from sievelark.plans.shared import is_picked, is_scan, with_place, write_shared
 
 BROADCAST_FILES = 500_000
 """Most files whose sizes are sent to all tasks; more are joined by a shuffle."""
@@ -15,22 +14,27 @@ BROADCAST_FILES = 500_000
 _SOURCE = ["__source_file", "__source_at"]
 
 
-def is_scan(df: DataFrame) -> bool:
-    """Whether the frame holds every row of a file scan once (a scan, or columns of one)."""
-    node = df._jdf.queryExecution().analyzed()
-    while node.getClass().getSimpleName() in ("Project", "SubqueryAlias"):
-        node = node.child()
-    return node.getClass().getSimpleName() == "LogicalRelation"
+def _numbered_files(placed: DataFrame) -> DataFrame:
+    """Numbers in place of paths, so that a sorted row carries a few bytes: source files by name, written files by a hash."""
+    source = _SOURCE[0]
+    names = write_shared(placed.select(source).distinct().withColumn(
+        "__number", F.row_number().over(Window.orderBy(source))), "files")  # one row per file
+    if len(placed.inputFiles()) <= BROADCAST_FILES:
+        names = F.broadcast(names)
+    return placed.withColumn("__file", F.xxhash64("__file")).join(names, source).drop(source).withColumnRenamed("__number", source)
+
 
+def in_file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that put its rows in file order: files by name, rows as they lie in the file.
 
-def with_place(df: DataFrame, file: str, at: str) -> DataFrame | None:
-    """``df`` with file and place of each row, None where it has none (joins, unions, aggregates)."""
-    try:
-        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
-        placed.schema  # resolve now
-        return placed
-    except AnalysisException:
-        return None
+    Unlike positions they need no sort of all rows. Rows picked from a scan keep their place there; of any other frame
+    the written rows have one, after the place they come from if there is any.
+    """
+    origin = with_place(df, *_SOURCE)
+    if origin is not None and is_picked(df):
+        return origin, list(_SOURCE)
+    order = ["__file", "__at"] if origin is None else [*_SOURCE, "__file", "__at"]
+    return with_place(write_shared(df if origin is None else origin, "file-order"), "__file", "__at"), order
 
 
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
@@ -47,7 +51,7 @@ def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
         stored = write_shared(df if origin is None else origin, "row-index")
         placed = with_place(stored, "__file", "__at")
         if origin is not None:
-            rows = ordered(placed, [], [*_SOURCE, "__file", "__at"], unique=True)
+            rows = ordered(_numbered_files(placed), [], [*_SOURCE, "__file", "__at"], unique=True)
             numbered = rows.finish(rows.df.withColumn(name, rows.row_number() - 1))
             return numbered.drop(*_SOURCE, "__file", "__at")
     files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("__rows"))
