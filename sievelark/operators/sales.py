@@ -328,7 +328,7 @@ def sales_rank_by_customer(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFr
     gets positions from a range shuffle; rank and quartile follow from the position, the
     number of rows and the best position among equal amounts.
     """
-    known = _known(t, "customer_id", "amount").select(*_TIES, amount().alias("value"))
+    known = stored(_known(t, "customer_id", "amount").select(*_TIES), "sales").select(*_TIES, amount().alias("value"))
     by_date = ["transaction_date", "value", "product_id", "quantity", "cost"]
     by_value = ["value", "transaction_date", "product_id", "quantity", "cost"]
     shown = ["customer_id", "transaction_date", "amount", "purchase_sequence", "amount_rank", "quartile"]
@@ -340,6 +340,7 @@ def sales_rank_by_customer(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFr
             "amount_rank": F.rank().over(customer.orderBy(F.desc("value"))).cast("long"),
             "quartile": F.ntile(4).over(customer.orderBy(*by_value)).cast("long"),
         }).select(*shown)
+    numbered = write_shared(numbered, "numbered")  # read by the size check and by the split
     second = ordered(numbered, ["customer_id"], by_value, group_rows=group_rows)
     if not second.split:
         return second.df.withColumns({
