@@ -384,7 +384,7 @@ def percentile_sales(t: DataFrame, approx: bool = False, limit: int = QUANTILE_R
 
 
 def lag_lead_analysis(t: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    known = _known(t, "customer_id", "amount").select(*_TIES)
+    known = stored(_known(t, "customer_id", "amount").select(*_TIES), "sales")
     rows = ordered(known, ["customer_id"], [c for c in _TIES if c != "customer_id"],
                    before=1, after=1, group_rows=group_rows)
     seen = rows.df.withColumns({
