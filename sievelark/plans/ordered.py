@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelark.plans.joins import null_safe_join
-from sievelark.plans.shared import is_scan, with_place, write_shared
+from sievelark.plans.shared import is_scan, with_source, write_shared
 
 GROUP_ROWS = 4_000_000
 """Most rows of one group that a single task sorts."""
@@ -69,12 +69,12 @@ def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
 def located(df: DataFrame) -> DataFrame:
     """``df``, written once unless it is a scan, each row with its place: a hash of the file and the position in it.
 
-    The place tells equal rows apart and stays the same when a task runs again.
+    The place tells equal rows apart and stays the same when a task runs again. No column but the place is added on the way,
+    so the frame's own columns may have any name.
     """
-    placed = with_place(df, "__file", "__at") if is_scan(df) else None
-    if placed is None:
-        placed = with_place(write_shared(df, "rows"), "__file", "__at")
-    return placed.select(*df.columns, F.struct(F.xxhash64("__file").alias("file"), F.col("__at").alias("at")).alias(PLACE))
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(PLACE)
+    placed = with_source(df, place) if is_scan(df) else None
+    return placed if placed is not None else write_shared(df, "rows").select("*", place)
 
 
 def slices_in_order(df: DataFrame, keys: list[str], order: list[str], descending: bool, rows: int,

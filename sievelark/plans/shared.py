@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDER: ContextVar[str | None] = ContextVar("work_folder", default=None)
@@ -109,8 +109,13 @@ def _source(df: DataFrame, passed: tuple[str, ...]) -> bool:
 
 def with_place(df: DataFrame, file: str, at: str) -> DataFrame | None:
     """``df`` with file and place of each row, None where it has none (joins, unions, aggregates)."""
+    return with_source(df, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+
+
+def with_source(df: DataFrame, *columns: Column) -> DataFrame | None:
+    """``df`` with columns made of the file and place of each row, None where it has none."""
     try:
-        placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+        placed = df.select("*", *columns)
         placed.schema  # resolve now
         return placed
     except AnalysisException:
