@@ -174,8 +174,9 @@ def spikes(df: DataFrame, date: str, value: str, threshold: float = SPIKE_THRESH
     """
     by, ties = list(by or []), list(ties or [])
     x = F.col("__x")
-    base = df.withColumns({"__x": quoted(value).cast("double"), "__undated": as_time(df, date).isNull(),
-                           "__at": as_time(df, date)})
+    shown = {c.lower() for c in [*by, *ties]}  # a large series is written, so all other columns are left behind
+    base = df.select(*[quoted(c) for c in df.columns if c.lower() in shown], quoted(value).cast("double").alias("__x"),
+                     as_time(df, date).isNull().alias("__undated"), as_time(df, date).alias("__at"))
     order = ["__undated", "__at", *ties]
     series = ordered(base, by, order, before=rows - 1, group_rows=group_rows)
     frame = series.window.rowsBetween(-(rows - 1), 0)

@@ -3,9 +3,11 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievelark.operators import anomaly
-from sievelark.plans.ordered import PLACE, located
+from sievelark.plans.ordered import GROUP_ROWS, PLACE, located
+from sievelark.plans.shared import remove_folder, work_folder
 
 ROWS = 400
 
@@ -40,3 +42,20 @@ def test_a_place_clashes_with_no_column(spark, tmp_path, scan):
     assert placed.columns == [*df.columns, PLACE]
     assert sorted(map(repr, placed.drop(PLACE).collect())) == sorted(map(repr, df.collect()))
     assert placed.select(f"{PLACE}.*").distinct().count() == ROWS
+
+
+def test_spikes_beyond_the_usual_limit(spark):
+    """The second far value lies just behind the edge of a block, its six earlier rows before it."""
+    far = [1000, GROUP_ROWS + 2]
+    df = spark.range(GROUP_ROWS + 50).select("id", F.timestamp_seconds("id").alias("ts"), F.when(
+        F.col("id").isin(far), 900.0).otherwise(10.0 + F.col("id") % 2).alias("amount"))
+    assert sorted((r.id, r.spike_type) for r in anomaly.spikes(df, "ts", "amount", ties=["id"]).collect()) == [(n, "spike") for n in far]
+
+
+def test_large_series_leave_other_columns_behind(spark, tmp_path):
+    df = events(spark, tmp_path)
+    with work_folder(spark) as folder:
+        anomaly.spikes(df, "ts", "amount", by=["kind"], ties=["id"], group_rows=60).collect()
+    written = spark.read.option("pathGlobFilter", "*.parquet").parquet(f"{folder}/slices-*").columns
+    remove_folder(spark, folder)
+    assert set(written) - {"__serial"} == {"id", "kind", "__x", "__undated", "__at"}
